@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skilltide.plans.candidates import CandidateRules
 from skilltide.plans.persisting import Batch
+from skilltide.sources.tables import spread_small
 
 # The warning catalog of the message adapter. w6 has two categories, w9 none.
 CATALOG = [
@@ -198,11 +199,27 @@ class Data:
 
     # --- search pages from orders ---
 
-    @cached_property
+    @property
     def responses(self) -> DataFrame:
-        """One response per order. Open orders are found by the search; others appear below their
-        owner; dear ones are pinned too. Responses of two order kinds carry errors or nothing."""
-        joined = self.table("orders").join(
+        """One response per order; the cheapest orders carry errors or nothing."""
+        bad = F.concat(F.lit('{"errors": [{"message": "failed '), F.col("key"), F.lit('"}]}'))
+        good = F.to_json(F.struct(F.struct(F.col("page").alias("search")).alias("data")))
+        price = F.col("o_totalprice")
+        return self.page_rows.select(
+            F.when(price < 5000, bad).when(price < 8000, F.lit('{"data": null}'))
+            .otherwise(good).alias("value"))
+
+    @property
+    def pages(self) -> DataFrame:
+        """The pages of the good responses."""
+        return self.page_rows.filter("o_totalprice >= 8000").select(
+            F.to_json("page").alias("value"))
+
+    @property
+    def page_rows(self) -> DataFrame:
+        """One page per order. Open orders are found by the search; others appear below their
+        owner; dear ones are pinned too."""
+        joined = spread_small(self.table("orders")).join(
             self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         key = F.col("o_orderkey").cast("string")
         priority = F.substring("o_orderpriority", 1, 1)
@@ -211,51 +228,47 @@ class Data:
             .when(priority == "3", "Perl").when(priority == "5", "C++")
         )
         kind = F.when(F.col("c_mktsegment") == "MACHINERY", "012:Organization").otherwise("04:User")
-        owner_id = b64(F.concat(kind, F.col("c_custkey").cast("string")))
-        pushed = F.col("o_orderdate")
-        created = F.date_sub(pushed.cast("date"), F.floor(F.col("o_totalprice") / 2500).cast("int"))
-        day = lambda d: F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T00:00:00Z"))
-        status = F.col("o_orderstatus")
-        base = [
+        span = F.floor(F.col("o_totalprice") / 2500).cast("int")
+        created = F.date_sub(F.col("o_orderdate").cast("date"), span)
+
+        def day(date: Column) -> Column:
+            return F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+
+        facts = joined.select(
+            key.alias("key"), "o_orderstatus", "o_totalprice", priority.alias("priority"),
+            F.lower("c_name").alias("login"), language.alias("language"),
+            b64(F.concat(kind, F.col("c_custkey").cast("string"))).alias("owner_id"),
             b64(F.concat(F.lit("010:Repository"), key)).alias("id"),
-            F.concat(F.lit("repo-"), key).alias("name"),
-            day(created).alias("createdAt"), day(pushed).alias("pushedAt"),
-            F.when(language.isNotNull(), F.struct(language.alias("name"))).alias("primaryLanguage"),
-            F.struct(F.array(F.struct(F.lit("HTML").alias("name")),
-                             F.struct(F.coalesce(language, F.lit("CSS")).alias("name")))
-                     .alias("nodes")).alias("languages"),
-            F.struct(F.lit("master").alias("name")).alias("defaultBranchRef"),
-        ]
-        owned = F.struct(
-            *base, F.struct(owner_id.alias("id")).alias("owner"),
-            (status == "P").alias("isFork"), F.lit(False).alias("isMirror"))
-        node = F.struct(
-            *base,
-            F.struct(
-                owner_id.alias("id"), F.lower("c_name").alias("login"),
-                F.struct(F.when(F.col("o_totalprice") > 250000, F.array(owned)).alias("nodes"))
-                .alias("pinnedRepositories"),
-                F.struct(F.array(owned).alias("nodes")).alias("repositories"),
-            ).alias("owner"),
-        )
+            day(created).alias("createdAt"), day(F.col("o_orderdate")).alias("pushedAt"))
+
+        def named(column: Column) -> Column:
+            return F.when(column.isNotNull(), F.struct(column.alias("name")))
+
+        def repository(main_language: Column, *more: Column) -> Column:
+            return F.struct(
+                "id", F.concat(F.lit("repo-"), F.col("key")).alias("name"), "createdAt", "pushedAt",
+                named(main_language).alias("primaryLanguage"),
+                F.struct(F.array(
+                    F.struct(F.lit("HTML").alias("name")),
+                    F.struct(F.coalesce("language", F.lit("CSS")).alias("name")),
+                ).alias("nodes")).alias("languages"),
+                F.struct(F.lit("master").alias("name")).alias("defaultBranchRef"), *more)
+
+        owned = facts.withColumn("owned", repository(
+            F.col("language"), F.struct(F.col("owner_id").alias("id")).alias("owner"),
+            (F.col("o_orderstatus") == "P").alias("isFork"), F.lit(False).alias("isMirror")))
+        owners = owned.withColumn("owner", F.struct(
+            F.col("owner_id").alias("id"), "login",
+            F.struct(F.when(F.col("o_totalprice") > 250000, F.array("owned")).alias("nodes"))
+            .alias("pinnedRepositories"),
+            F.struct(F.array("owned").alias("nodes")).alias("repositories")))
         # an order that was not found is listed below a node nobody would analyse
-        hidden = node.withField("primaryLanguage", F.lit(None).cast("struct<name:string>"))
+        shown = F.when(F.col("o_orderstatus") == "O", F.col("language"))
         page = F.struct(
-            F.struct(key.alias("endCursor"), (priority != "5").alias("hasNextPage"))
-            .alias("pageInfo"),
-            F.array(F.when(status == "O", node).otherwise(hidden)).alias("nodes"))
-        good = F.struct(F.struct(page.alias("search")).alias("data"))
-        bad = F.struct(F.array(F.struct(F.concat(F.lit("failed "), key).alias("message")))
-                       .alias("errors"))
-        cheap = F.col("o_totalprice")
-        return joined.select(
-            F.when(cheap < 5000, F.to_json(bad)).when(cheap < 8000, F.lit('{"data": null}'))
-            .otherwise(F.to_json(good)).alias("value"))
-
-    @property
-    def pages(self) -> DataFrame:
-        from skilltide.sources.pages import route_pages
-        return route_pages(self.responses).results
+            F.struct(F.col("key").alias("endCursor"), (F.col("priority") != "5")
+                     .alias("hasNextPage")).alias("pageInfo"),
+            F.array(repository(shown, F.col("owner"))).alias("nodes"))
+        return owners.select("key", "o_totalprice", page.alias("page"))
 
     @property
     def analysed(self) -> DataFrame:
@@ -285,8 +298,7 @@ class Data:
     def conversation_queries(self) -> DataFrame:
         """One query per turn, its text and a nation."""
         nation = self.table("nation")
-        turns = self.table("conversations")
-        return turns.join(
+        return self.table("conversations").join(
             nation, F.pmod(F.col("conv_id"), F.lit(25)) == F.col("n_nationkey")
         ).select(
             F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -337,7 +349,7 @@ class Data:
             .otherwise("docs/README%s.md"))
         content = F.regexp_replace(
             "text", r"(^|\n)([A-Za-z]+) ", "$1#include <$2.h> ")
-        return self.table("documents").select(
+        return spread_small(self.table("documents")).select(
             F.concat_ws("-", "source", "lang").alias("repo_id"),
             F.concat(F.lit("project-"), F.col("source")).alias("repo_name"),
             F.concat(F.lit("owner-"), F.col("lang")).alias("login"),

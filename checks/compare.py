@@ -17,7 +17,7 @@ def connect(folder: str):
 
 
 def _text(value) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return "null"
     if isinstance(value, bool):
         return str(value)
