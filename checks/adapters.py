@@ -7,8 +7,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from skilltide.operators.extract import attach_profiles, contacts_of
+from skilltide.operators.grade import dependencies_of
 from skilltide.plans.candidates import CandidateRules
-from skilltide.plans.persisting import Batch
+from skilltide.plans.grading import grade
 from skilltide.sources.tables import spread_small
 
 # The warning catalog of the message adapter. w6 has two categories, w9 none.
@@ -63,7 +65,7 @@ class Data:
             F.get_json_object("props", "$.k").cast("int").alias("k"), "value",
         )
 
-    @property
+    @cached_property
     def messages(self) -> DataFrame:
         return self.messages_from(self.event_facts)
 
@@ -158,7 +160,6 @@ class Data:
 
     @property
     def contact_rows(self) -> DataFrame:
-        from skilltide.operators.extract import contacts_of
         return contacts_of(self.profile_users)
 
     # --- profiles from customers ---
@@ -193,7 +194,6 @@ class Data:
     @property
     def profile_users(self) -> DataFrame:
         """Users with their profiles in the columns of a batch."""
-        from skilltide.operators.extract import attach_profiles
         return attach_profiles(self.owners, self.profiles).withColumnsRenamed(
             {"owner_id": "user_id", "owner_login": "login"})
 
@@ -396,21 +396,38 @@ class Data:
 
     # --- a batch for the stored tables ---
 
-    @property
-    def batch(self) -> Batch:
-        from skilltide.operators.grade import dependencies_of
-        from skilltide.plans.grading import grade
-        user = F.substring_index("raw_id", "-", 1).cast("long")
-        grades = grade(self.messages, self.catalog).withColumnRenamed("repo_id", "raw_id")
-        return Batch(
-            users=self.profile_users,
-            repositories=grades.select(
-                user.alias("user_id"), "raw_id", F.lit("JavaScript").alias("primary_language"),
-                F.array(F.lit("C++"), F.lit("Perl")).alias("languages")).distinct(),
-            grades=grades,
-            technologies=dependencies_of(self.messages).select(
-                F.col("repo_id").alias("raw_id"), "language", "technology"),
-            locations=self.profile_users.select(
-                "user_id", F.split("location", ", ")[1].alias("country"),
-                F.split("location", ", ")[0].alias("city")),
-        )
+    @cached_property
+    def batch(self) -> "EventBatch":
+        return EventBatch(self)
+
+
+class EventBatch:
+    """Graded event repositories and customers with the fields of a ``Batch``, each made on use."""
+
+    def __init__(self, data: Data):
+        self.data = data
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return self.data.profile_users
+
+    @cached_property
+    def repositories(self) -> DataFrame:
+        return self.data.event_facts.select(
+            F.substring_index("repo_id", "-", 1).cast("long").alias("user_id"),
+            F.col("repo_id").alias("raw_id"), F.lit("JavaScript").alias("primary_language"),
+            F.array(F.lit("C++"), F.lit("Perl")).alias("languages")).distinct()
+
+    @cached_property
+    def grades(self) -> DataFrame:
+        return grade(self.data.messages, self.data.catalog).withColumnRenamed("repo_id", "raw_id")
+
+    @cached_property
+    def technologies(self) -> DataFrame:
+        return dependencies_of(self.data.messages).select(
+            F.col("repo_id").alias("raw_id"), "language", "technology")
+
+    @cached_property
+    def locations(self) -> DataFrame:
+        place = F.split("location", ", ")
+        return self.users.select("user_id", place[1].alias("country"), place[0].alias("city"))

@@ -14,7 +14,12 @@ def query(sql: str | None = None):
     """Register a function of ``Data`` under its name, with its SQL if there is one."""
     def add(function: Callable[[Data], DataFrame]):
         name = function.__name__
-        QUERIES[name] = lambda spark, folder: function(Data(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return function(Data(spark, folder))
+
+        run.__module__ = function.__module__
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return function

@@ -51,46 +51,86 @@ RULES = {
 }
 
 
-def batch_rows(batch: Batch, now: Column) -> Tables:
-    """Rows the batch brings to each table."""
-    users = batch.users
-    located = users.join(batch.locations, "user_id", "left")
-    graded = batch.grades.join(batch.repositories.select("raw_id", "user_id"), "raw_id")
-    technologies = batch.technologies.join(
-        batch.repositories.select("raw_id", "user_id"), "raw_id"
-    ).select("language", "technology", "user_id").distinct()
+def _owned(batch: Batch, rows: DataFrame) -> DataFrame:
+    """Rows about repositories with the owner of the repository."""
+    return rows.join(batch.repositories.select("raw_id", "user_id"), "raw_id")
+
+
+def language_rows(batch: Batch, now: Column) -> DataFrame:
+    return ex.languages_of(batch.repositories)
+
+
+def country_rows(batch: Batch, now: Column) -> DataFrame:
+    return batch.locations.select("country").filter("country IS NOT NULL").distinct()
+
+
+def city_rows(batch: Batch, now: Column) -> DataFrame:
+    return batch.locations.select("city").filter("city IS NOT NULL").distinct()
+
+
+def user_rows(batch: Batch, now: Column) -> DataFrame:
+    return batch.users.select(
+        "user_id", "login", F.coalesce("full_name", F.lit("")).alias("full_name"),
+        F.lit(None).cast("timestamp_ntz").alias("updated_by_user"),
+    )
+
+
+def developer_rows(batch: Batch, now: Column) -> DataFrame:
     none = F.lit(None)
-    return {
-        "languages": ex.languages_of(batch.repositories),
-        "countries": batch.locations.select("country").filter("country IS NOT NULL").distinct(),
-        "cities": batch.locations.select("city").filter("city IS NOT NULL").distinct(),
-        "users": users.select(
-            "user_id", "login", F.coalesce("full_name", F.lit("")).alias("full_name"),
-            none.cast("timestamp_ntz").alias("updated_by_user"),
-        ),
-        "developers": located.select(
-            "user_id", none.cast("boolean").alias("show_email"),
-            F.coalesce("job_seeker", F.lit(False)).alias("job_seeker"),
-            none.cast("boolean").alias("available_for_relocation"),
-            none.cast("smallint").alias("programming_experience_months"),
-            none.cast("smallint").alias("work_experience_months"),
-            F.coalesce("description", F.lit("")).alias("description"),
-            F.coalesce("location", F.lit("")).alias("raw_location"),
-            "country", "city", F.lit(0).alias("viewed"),
-        ),
-        "contacts": ex.contacts_of(users),
-        "technologies": synonym_flags(
-            technology_synonyms(batch.technologies.select("language", "technology"))
-        ),
-        "technologies_users": technologies,
-        "technologies_users_settings": technologies.withColumn("verified", F.lit(True)),
-        "repositories": graded.groupBy("raw_id").agg(
-            F.min("user_id").alias("user_id"), F.min("name").alias("name"),
-            F.max("lines_of_code").alias("lines_of_code"),
-        ).withColumn("updated_by_analyzer", now.cast("timestamp_ntz")),
-        "grades": graded.select(
-            F.col("grade_category").alias("category"), "raw_id", "value"),
-    }
+    return batch.users.join(batch.locations, "user_id", "left").select(
+        "user_id", none.cast("boolean").alias("show_email"),
+        F.coalesce("job_seeker", F.lit(False)).alias("job_seeker"),
+        none.cast("boolean").alias("available_for_relocation"),
+        none.cast("smallint").alias("programming_experience_months"),
+        none.cast("smallint").alias("work_experience_months"),
+        F.coalesce("description", F.lit("")).alias("description"),
+        F.coalesce("location", F.lit("")).alias("raw_location"),
+        "country", "city", F.lit(0).alias("viewed"),
+    )
+
+
+def contact_rows(batch: Batch, now: Column) -> DataFrame:
+    return ex.contacts_of(batch.users)
+
+
+def technology_rows(batch: Batch, now: Column) -> DataFrame:
+    return synonym_flags(technology_synonyms(batch.technologies.select("language", "technology")))
+
+
+def user_technology_rows(batch: Batch, now: Column) -> DataFrame:
+    return _owned(batch, batch.technologies).select("language", "technology", "user_id").distinct()
+
+
+def setting_rows(batch: Batch, now: Column) -> DataFrame:
+    return user_technology_rows(batch, now).withColumn("verified", F.lit(True))
+
+
+def repository_rows(batch: Batch, now: Column) -> DataFrame:
+    return _owned(batch, batch.grades).groupBy("raw_id").agg(
+        F.min("user_id").alias("user_id"), F.min("name").alias("name"),
+        F.max("lines_of_code").alias("lines_of_code"),
+    ).withColumn("updated_by_analyzer", now.cast("timestamp_ntz"))
+
+
+def grade_rows(batch: Batch, now: Column) -> DataFrame:
+    graded = _owned(batch, batch.grades)
+    return graded.select(F.col("grade_category").alias("category"), "raw_id", "value")
+
+
+# Rows a batch brings to each table, in the order in which tables refer to each other.
+ROWS = {
+    "languages": language_rows,
+    "technologies": technology_rows,
+    "countries": country_rows,
+    "cities": city_rows,
+    "users": user_rows,
+    "developers": developer_rows,
+    "contacts": contact_rows,
+    "technologies_users": user_technology_rows,
+    "technologies_users_settings": setting_rows,
+    "repositories": repository_rows,
+    "grades": grade_rows,
+}
 
 
 def merge_table(name: str, target: DataFrame, rows: DataFrame) -> DataFrame:
@@ -105,5 +145,5 @@ def merge_table(name: str, target: DataFrame, rows: DataFrame) -> DataFrame:
 
 def persist(batch: Batch, tables: Tables, now: Column) -> Tables:
     """The stored tables after the batch. Pure: nothing is written."""
-    rows = batch_rows(batch, now)
-    return {**tables, **{name: merge_table(name, tables[name], rows[name]) for name in rows}}
+    merged = {name: merge_table(name, tables[name], rows(batch, now)) for name, rows in ROWS.items()}
+    return {**tables, **merged}

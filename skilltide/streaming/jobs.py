@@ -6,11 +6,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.grade import dependencies_of
 from ..operators.locations import resolve_location
 from ..plans.candidates import CandidateRules, Developers, enrich_users, extract_candidates
 from ..plans.grading import grade
-from ..operators.grade import dependencies_of
-from ..plans.persisting import Batch, batch_rows
+from ..plans.persisting import ROWS, Batch
 from .changes import append_changes, read_stored
 
 
@@ -55,6 +55,7 @@ class DeveloperJob:
         developers = enrich_users(repos, self.profiles, self.weeks, self.rules)
         repositories = developers.repositories.persist()
         messages = self.analyse(Developers(developers.users, repositories)).persist()
+        grades = grade(messages, self.catalog).withColumnRenamed("repo_id", "raw_id").persist()
         try:
             users = developers.users.withColumnsRenamed(
                 {"owner_id": "user_id", "owner_login": "login"})
@@ -63,15 +64,16 @@ class DeveloperJob:
                 repositories=repositories.select(
                     F.col("owner_id").alias("user_id"), F.col("repo_id").alias("raw_id"),
                     "primary_language", "languages"),
-                grades=grade(messages, self.catalog).withColumnRenamed("repo_id", "raw_id"),
+                grades=grades,
                 technologies=dependencies_of(messages).select(
                     F.col("repo_id").alias("raw_id"), "language", "technology"),
                 locations=resolve_location(
                     users.filter("location IS NOT NULL"), ["user_id"], "location", self.gazetteer),
             )
-            for table, rows in batch_rows(batch, now).items():
-                append_changes(rows, self.root, table, batch_id)
+            for table, rows in ROWS.items():
+                append_changes(rows(batch, now), self.root, table, batch_id)
         finally:
+            grades.unpersist()
             messages.unpersist()
             repositories.unpersist()
 
