@@ -40,7 +40,7 @@ PREFIXES = [("C++", "La", "LibLa"), ("C", "Ei", "LibEi"), ("C", "D", "LibDas")]
 
 @query(f"WITH {FILES}, {LINES} SELECT * FROM lines")
 def lines_of_code(d: Data) -> DataFrame:
-    return f.lines_of_code(d.files)
+    return f.lines_of_code(f.file_facts(d.files))
 
 
 @query(f"WITH {FILES} SELECT repo_id, repo_name, bool_or(path LIKE '%/tests/%') AS tests_dir_exists "
@@ -51,7 +51,7 @@ def tests_dir(d: Data) -> DataFrame:
 
 @query(f"WITH {INCLUDES} SELECT * FROM includes")
 def include_extract(d: Data) -> DataFrame:
-    return f.includes(d.files)
+    return f.includes(f.file_facts(d.files))
 
 
 @query(f"""WITH {INCLUDES}
@@ -64,7 +64,7 @@ JOIN (VALUES {', '.join(str(h) for h in PREFIXES)}) h(language, prefix, library)
   ON h.language = i.language AND starts_with(i.header, h.prefix)""")
 def header_library(d: Data) -> DataFrame:
     exact = d.values(HEADERS, "language string, header string, library string")
-    return f.header_libraries(f.includes(d.files), exact, PREFIXES)
+    return f.header_libraries(f.includes(f.file_facts(d.files)), exact, PREFIXES)
 
 
 @query("""SELECT DISTINCT regexp_extract(url, '://([^/]+)', 1) AS repo_id, 'site' AS repo_name, tool
@@ -77,8 +77,8 @@ def badge_scan(d: Data) -> DataFrame:
     pages = d.table("pages").select(
         F.regexp_extract("url", "://([^/]+)", 1).alias("repo_id"), F.lit("site").alias("repo_name"),
         F.concat(F.lit("./p"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"),
-        F.col("html").alias("content"))
-    return f.tools_by_badge(pages, BADGES)
+        F.lit("").alias("login"), F.length("html").alias("size"), F.col("html").alias("content"))
+    return f.tools_by_badge(f.file_facts(pages, BADGES))
 
 
 @query("""SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS repo_id, 'r' AS repo_name,
@@ -202,7 +202,7 @@ tops AS (
 
 
 def own_manifests(d: Data) -> DataFrame:
-    return m.manifests(d.package_files)
+    return m.manifests(f.file_facts(d.package_files))
 
 
 @query(f"""WITH {PACKAGES}
@@ -216,7 +216,7 @@ def manifest_dependencies(d: Data) -> DataFrame:
 SELECT DISTINCT repo_id, repo_name FROM manifests
 WHERE l_tax > 0.05 OR repo_id IN (SELECT repo_id FROM packages WHERE NOT is_manifest AND flag = 'R')""")
 def node_dependence(d: Data) -> DataFrame:
-    return m.uses_node(own_manifests(d), f.uses_node_shebang(d.package_files))
+    return m.uses_node(own_manifests(d), f.node_repositories(f.file_facts(d.package_files)))
 
 
 @query(f"""WITH {PACKAGES}, stated AS (
@@ -239,7 +239,7 @@ def vendored_dirs(d: Data) -> DataFrame:
 SELECT p.repo_id, p.path FROM packages p WHERE NOT EXISTS (
   SELECT 1 FROM vendored v WHERE v.repo_id = p.repo_id AND starts_with(p.path, v.dir || '/'))""")
 def files_without_vendored(d: Data) -> DataFrame:
-    return m.drop_vendored(d.package_files, own_manifests(d)).select("repo_id", "path")
+    return m.drop_vendored(d.package_files, m.vendored_dirs(own_manifests(d))).select("repo_id", "path")
 
 
 # --- all messages ---

@@ -1,7 +1,8 @@
-"""Findings from repository files (repo_id, repo_name, login, path, size, content).
+"""Findings from repository files.
 
-Paths are relative to the repository. Whole contents are read; per-repository results are partial
-aggregates, so a repository that holds a third of all files is spread like any other.
+``file_facts`` reads each content once and keeps what the other operators need; they work on those
+facts, so contents are never shuffled. Paths are relative to the repository. Per-repository results
+are partial aggregates, so a repository that holds a third of all files is spread like any other.
 """
 
 from collections.abc import Mapping, Sequence
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import (
     AUTOMATION_BADGES, AUTOMATION_FILES, BINARY_FILE_PATTERN, HEADER_LIBRARIES, HEADER_PREFIXES,
-    INCLUDE_PATTERN, INVALID_EXTENSION_PATTERN, LANGUAGE_ANALYZERS, MIN_TOOL_FILE_BYTES,
-    NODE_SHEBANG_PATTERN, NOISE_FILE_PATTERN, TESTS_DIR_PATTERN, VALID_PATH_PATTERN,
+    INCLUDE_PATTERN, INVALID_EXTENSION_PATTERN, LANGUAGE_ANALYZERS, MANIFEST_PATTERN,
+    MIN_TOOL_FILE_BYTES, NODE_SHEBANG_PATTERN, NOISE_FILE_PATTERN, TESTS_DIR_PATTERN, VALID_PATH_PATTERN,
     VENDOR_DIR_PATTERN,
 )
 from ..sources.languages import extension, language_of
@@ -19,14 +20,67 @@ from ..sources.languages import extension, language_of
 REPO = ("repo_id", "repo_name")
 
 
-def _bad_path() -> Column:
+def count_code_lines(content: Column) -> Column:
+    """Lines with a visible character; matched in place, no list of lines is built."""
+    return F.regexp_count(content, F.lit(r"\S[^\r\n]*")).cast("long")
+
+
+def badge_tools(content: Column, badges: Mapping[str, str] = AUTOMATION_BADGES,
+                max_chars: int | None = None) -> Column:
+    """Tools whose address occurs in a text. The whole text is searched unless ``max_chars`` limits
+    it to the beginning; missing text matches nothing."""
+    text = content if max_chars is None else F.substring(content, 1, max_chars)
+    hits = [F.when(F.contains(text, F.lit(address)), F.lit(tool)) for address, tool in badges.items()]
+    return F.array_distinct(F.array_compact(F.array(*hits)))
+
+
+def included_headers(content: Column, pattern: str = INCLUDE_PATTERN) -> Column:
+    """Distinct headers of a source, the first include of each line."""
+    return F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)))
+
+
+def file_facts(files: DataFrame, badges: Mapping[str, str] = AUTOMATION_BADGES,
+               max_badge_chars: int | None = None) -> DataFrame:
+    """What is needed of each file (repo_id, repo_name, login, path, size, content), without its
+    content unless it is a package manifest. A narrow projection: unused columns are never computed.
+    """
+    path, content = F.col("path"), F.col("content")
+    language = language_of(path)
+    return files.select(
+        *REPO, "login", "path", "size", language.alias("language"),
+        F.when(language.isNotNull(), F.coalesce(count_code_lines(content), F.lit(0)))
+        .alias("code_lines"),
+        F.when(language.isin("C", "C++"), included_headers(content)).alias("headers"),
+        F.when(extension(path) == ".md", badge_tools(content, badges, max_badge_chars))
+        .alias("badge_tools"),
+        content.rlike(NODE_SHEBANG_PATTERN).alias("node_shebang"),
+        F.when(path.rlike(MANIFEST_PATTERN), content).alias("manifest"),
+    )
+
+
+def is_bad_path() -> Column:
+    """The path has unusual characters or belongs to a compiled file."""
     path = F.replace(F.col("path"), F.col("repo_id"), F.lit(""))
     return ~path.rlike(VALID_PATH_PATTERN) | extension(path).rlike(INVALID_EXTENSION_PATTERN)
 
 
+def is_binary_path() -> Column:
+    """The path belongs to a compiled file or a folder of installed packages."""
+    return F.col("path").rlike(BINARY_FILE_PATTERN) | F.col("path").rlike(VENDOR_DIR_PATTERN)
+
+
+def repository_verdicts(facts: DataFrame) -> DataFrame:
+    """(repo_id, total_size, has_bad_path, has_binary, has_node_shebang) in one aggregation."""
+    return facts.groupBy("repo_id").agg(
+        F.sum("size").alias("total_size"), F.bool_or(is_bad_path()).alias("has_bad_path"),
+        F.bool_or(is_binary_path()).alias("has_binary"),
+        F.bool_or(F.coalesce("node_shebang", F.lit(False))).alias("has_node_shebang"),
+    )
+
+
 def invalid_repositories(files: DataFrame) -> DataFrame:
     """Ids of repositories with a path of unusual characters or a compiled file."""
-    return files.filter(_bad_path()).select("repo_id").distinct()
+    return files.filter(is_bad_path()).select("repo_id").distinct()
 
 
 def veto_invalid(files: DataFrame) -> DataFrame:
@@ -36,8 +90,7 @@ def veto_invalid(files: DataFrame) -> DataFrame:
 
 def binary_repositories(files: DataFrame) -> DataFrame:
     """Ids of repositories with a compiled file or a folder of installed packages."""
-    bad = F.col("path").rlike(BINARY_FILE_PATTERN) | F.col("path").rlike(VENDOR_DIR_PATTERN)
-    return files.filter(bad).select("repo_id").distinct()
+    return files.filter(is_binary_path()).select("repo_id").distinct()
 
 
 def veto_binaries(files: DataFrame) -> DataFrame:
@@ -60,26 +113,14 @@ def tools_by_filename(files: DataFrame, names: Mapping[str, str] = AUTOMATION_FI
     )
 
 
-def tools_by_badge(files: DataFrame, badges: Mapping[str, str] = AUTOMATION_BADGES,
-                   max_chars: int | None = None, file_extension: str = ".md") -> DataFrame:
-    """Distinct (repository, tool) by an address in a Markdown file.
-
-    The whole text is searched; ``max_chars`` limits it to the beginning. Missing text matches
-    nothing.
-    """
-    text = F.col("content") if max_chars is None else F.substring(F.col("content"), 1, max_chars)
-    hits = F.array(*[F.when(F.contains(text, F.lit(address)), F.lit(tool))
-                     for address, tool in badges.items()])
-    return (
-        files.filter(extension(F.col("path")) == file_extension)
-        .select(*REPO, F.explode(F.array_distinct(F.array_compact(hits))).alias("tool")).distinct()
-    )
+def tools_by_badge(facts: DataFrame) -> DataFrame:
+    """Distinct (repository, tool) by an address in a Markdown file."""
+    return facts.select(*REPO, F.explode("badge_tools").alias("tool")).distinct()
 
 
-def automation_tools(files: DataFrame, names: Mapping[str, str] = AUTOMATION_FILES,
-                     badges: Mapping[str, str] = AUTOMATION_BADGES) -> DataFrame:
+def automation_tools(facts: DataFrame, names: Mapping[str, str] = AUTOMATION_FILES) -> DataFrame:
     """Distinct (repository, tool) by file name or badge."""
-    return tools_by_filename(files, names).unionByName(tools_by_badge(files, badges)).distinct()
+    return tools_by_filename(facts, names).unionByName(tools_by_badge(facts)).distinct()
 
 
 def tests_dir(files: DataFrame) -> DataFrame:
@@ -89,30 +130,15 @@ def tests_dir(files: DataFrame) -> DataFrame:
     )
 
 
-def count_code_lines(content: Column) -> Column:
-    """Lines with a visible character; matched in place, no list of lines is built."""
-    return F.regexp_count(content, F.lit(r"\S[^\r\n]*")).cast("long")
-
-
-def lines_of_code(files: DataFrame) -> DataFrame:
+def lines_of_code(facts: DataFrame) -> DataFrame:
     """(repository, language, lines_of_code) of files an analyzer reads."""
-    return (
-        files.withColumn("language", language_of(F.col("path")))
-        .filter(F.col("language").isNotNull())
-        .groupBy(*REPO, "language")
-        .agg(F.sum(F.coalesce(count_code_lines(F.col("content")), F.lit(0))).alias("lines_of_code"))
-    )
+    return facts.filter(F.col("language").isNotNull()).groupBy(*REPO, "language").agg(
+        F.sum("code_lines").alias("lines_of_code"))
 
 
-def includes(files: DataFrame, pattern: str = INCLUDE_PATTERN) -> DataFrame:
-    """Distinct (repository, language, header), the first include of each line."""
-    headers = F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(1))
-    return (
-        files.withColumn("language", language_of(F.col("path")))
-        .filter(F.col("language").isin("C", "C++"))
-        .select(*REPO, "language", F.explode(F.array_distinct(headers)).alias("header"))
-        .distinct()
-    )
+def includes(facts: DataFrame) -> DataFrame:
+    """Distinct (repository, language, header)."""
+    return facts.select(*REPO, "language", F.explode("headers").alias("header")).distinct()
 
 
 def standard_headers(spark) -> DataFrame:
@@ -133,9 +159,9 @@ def header_libraries(headers: DataFrame, exact: DataFrame,
     return by_name.unionByName(by_prefix).distinct()
 
 
-def uses_node_shebang(files: DataFrame) -> DataFrame:
+def node_repositories(facts: DataFrame) -> DataFrame:
     """Ids of repositories with a script for Node.js."""
-    return files.filter(F.col("content").rlike(NODE_SHEBANG_PATTERN)).select("repo_id").distinct()
+    return facts.filter("node_shebang").select("repo_id").distinct()
 
 
 def dispatch(repositories: DataFrame,

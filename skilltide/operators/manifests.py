@@ -2,8 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.fixed import MANIFEST_PATTERN
-
 MANIFEST = (
     "scripts MAP<STRING, STRING>, dependencies MAP<STRING, STRING>, "
     "devDependencies MAP<STRING, STRING>"
@@ -16,13 +14,12 @@ def folder(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
-def manifests(files: DataFrame) -> DataFrame:
+def manifests(facts: DataFrame) -> DataFrame:
     """Manifest files with their parsed content, folder and repository address."""
-    rows = files.filter(F.col("path").rlike(MANIFEST_PATTERN))
-    return rows.select(
+    return facts.filter(F.col("manifest").isNotNull()).select(
         "repo_id", "repo_name", "login", "path", folder(F.col("path")).alias("dir"),
-        F.from_json("content", MANIFEST).alias("manifest"),
-        F.get_json_object("content", "$.repository.url").alias("url"),
+        F.from_json("manifest", MANIFEST).alias("manifest"),
+        F.get_json_object("manifest", "$.repository.url").alias("url"),
     )
 
 
@@ -63,8 +60,8 @@ def vendored_dirs(manifest_rows: DataFrame) -> DataFrame:
         top, ["repo_id", "dir"], "left_anti").distinct()
 
 
-def drop_vendored(files: DataFrame, manifest_rows: DataFrame) -> DataFrame:
-    """Files that do not lie below a vendored folder.
+def drop_vendored(files: DataFrame, vendored: DataFrame) -> DataFrame:
+    """Files that do not lie below a vendored folder (repo_id, dir).
 
     Each file is looked up by its parent folders, an equality per level instead of a comparison
     with every folder of the repository.
@@ -76,7 +73,7 @@ def drop_vendored(files: DataFrame, manifest_rows: DataFrame) -> DataFrame:
     )
     inside = (
         files.select("repo_id", "path", F.explode(parents).alias("dir"))
-        .join(vendored_dirs(manifest_rows), ["repo_id", "dir"], "left_semi")
+        .join(vendored, ["repo_id", "dir"], "left_semi")
         .select("repo_id", "path").distinct()
     )
     return files.join(inside, ["repo_id", "path"], "left_anti")

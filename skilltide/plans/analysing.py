@@ -6,6 +6,7 @@ from ..functions.fixed import (
     ALL_LANGUAGES, AUTOMATION_TOOL, DEPENDENCE, LINES_OF_CODE, TESTS_DIR_EXISTS, WARNING,
 )
 from ..operators import files as f, manifests as m
+from ..storage import settle
 
 
 def _message(rows: DataFrame, kind: str, language: Column, message: Column) -> DataFrame:
@@ -15,52 +16,51 @@ def _message(rows: DataFrame, kind: str, language: Column, message: Column) -> D
     )
 
 
-def _of(files: DataFrame, dispatched: DataFrame, analyzer: str) -> DataFrame:
-    repos = dispatched.filter(F.col("analyzer") == analyzer).select("repo_id")
-    return files.join(repos, "repo_id", "left_semi")
-
-
-def general_messages(files: DataFrame) -> DataFrame:
+def general_messages(facts: DataFrame) -> DataFrame:
     """Automation tools and the tests directory."""
     every = F.lit(ALL_LANGUAGES)
     exists = F.when(F.col("tests_dir_exists"), "True").otherwise("False")
-    return _message(f.automation_tools(files), AUTOMATION_TOOL, every, F.col("tool")).unionByName(
-        _message(f.tests_dir(files), TESTS_DIR_EXISTS, every, exists))
+    return _message(f.automation_tools(facts), AUTOMATION_TOOL, every, F.col("tool")).unionByName(
+        _message(f.tests_dir(facts), TESTS_DIR_EXISTS, every, exists))
 
 
-def cpp_messages(files: DataFrame, findings: DataFrame) -> DataFrame:
+def cpp_messages(facts: DataFrame, findings: DataFrame) -> DataFrame:
     """Warnings, libraries and lines of C and C++; both languages always report their lines."""
     language = F.col("language")
-    repos = files.select("repo_id", "repo_name").distinct()
-    both = repos.withColumn("language", F.explode(F.array(F.lit("C"), F.lit("C++"))))
-    counted = f.lines_of_code(files).filter(language.isin("C", "C++"))
-    lines = both.join(counted, ["repo_id", "repo_name", "language"], "left")
-    libraries = f.header_libraries(f.includes(files), f.standard_headers(files.sparkSession))
+    none = facts.select(*f.REPO).distinct().select(
+        *f.REPO, F.explode(F.array(F.lit("C"), F.lit("C++"))).alias("language"),
+        F.lit(0).cast("long").alias("lines_of_code"))
+    counted = f.lines_of_code(facts.filter(language.isin("C", "C++")))
+    lines = counted.unionByName(none).groupBy(*f.REPO, "language").agg(
+        F.max("lines_of_code").alias("lines_of_code"))
+    libraries = f.header_libraries(f.includes(facts), f.standard_headers(facts.sparkSession))
+    repos = facts.select(*f.REPO).distinct()
     warnings = findings.filter(language.isin("C", "C++")).join(repos, "repo_id")
     return (
         _message(warnings, WARNING, language, F.col("rule"))
         .unionByName(_message(libraries, DEPENDENCE, language, F.col("library")))
-        .unionByName(_message(lines, LINES_OF_CODE, language,
-                              F.coalesce("lines_of_code", F.lit(0))))
+        .unionByName(_message(lines, LINES_OF_CODE, language, F.col("lines_of_code")))
     )
 
 
-def javascript_messages(files: DataFrame, findings: DataFrame) -> DataFrame:
+def javascript_messages(facts: DataFrame, findings: DataFrame) -> DataFrame:
     """Dependencies, warnings and lines of repositories with a manifest of the right origin and
-    nothing compiled; copied libraries are left out."""
+    nothing compiled; copied libraries are left out.
+
+    ``facts`` with the columns has_binary and has_node_shebang of the repository.
+    """
     language = F.lit("JavaScript")
-    valid = f.veto_binaries(files)
-    all_manifests = m.manifests(valid)
-    origin = m.manifest_origin_ok(all_manifests)
-    found = all_manifests.join(origin, "repo_id", "left_semi")
+    clean = facts.filter(~F.col("has_binary"))
+    every = m.manifests(clean)
+    known = settle(every.join(m.manifest_origin_ok(every), "repo_id", "left_semi"), "manifests")
     own = f.clean_sources(m.drop_vendored(
-        valid.join(found.select("repo_id"), "repo_id", "left_semi"), found))
-    top = m.top_manifests(found)
-    node = m.uses_node(top, f.uses_node_shebang(valid)).withColumn("dependency", F.lit("Node.js"))
+        clean.filter(F.col("language") == "JavaScript"), m.vendored_dirs(known)))
+    top = m.top_manifests(known)
+    shebang = clean.filter("has_node_shebang").select("repo_id").distinct()
+    node = m.uses_node(top, shebang).withColumn("dependency", F.lit("Node.js"))
     dependencies = m.manifest_dependencies(top).unionByName(node)
-    repos = top.select("repo_id", "repo_name").distinct()
-    counted = f.lines_of_code(own).filter(F.col("language") == "JavaScript").drop("language")
-    lines = repos.join(counted, ["repo_id", "repo_name"], "left")
+    repos = known.select(*f.REPO).distinct()
+    lines = repos.join(f.lines_of_code(own).drop("language"), list(f.REPO), "left")
     warnings = findings.filter(F.col("language") == "JavaScript").join(repos, "repo_id")
     return (
         _message(dependencies, DEPENDENCE, language, F.col("dependency"))
@@ -73,14 +73,21 @@ def javascript_messages(files: DataFrame, findings: DataFrame) -> DataFrame:
 def analyze_files(files: DataFrame, repositories: DataFrame, findings: DataFrame,
                   max_bytes: int | None = None) -> DataFrame:
     """All messages about repositories (repo_id, languages) from their files and the findings of
-    linters (repo_id, language, rule). Too large or suspicious repositories give none."""
-    sized = files if max_bytes is None else f.cap_repo_size(files, max_bytes)
-    valid = f.veto_invalid(sized)
-    dispatched = f.dispatch(repositories)
-    cpp = _of(valid, dispatched, "cpp")
-    javascript = _of(valid, dispatched, "javascript")
+    linters (repo_id, language, rule). Too large or suspicious repositories give none.
+
+    Contents are read once, into a table of facts in the shared folder; verdicts about whole
+    repositories are made from the facts, so no content is ever shuffled.
+    """
+    facts = settle(f.file_facts(files), "file-facts")
+    good = f.repository_verdicts(facts).filter(~F.col("has_bad_path"))
+    if max_bytes is not None:
+        good = good.filter(F.col("total_size") <= max_bytes)
+    analyzers = f.dispatch(repositories).groupBy("repo_id").agg(
+        F.bool_or(F.col("analyzer") == "cpp").alias("cpp"),
+        F.bool_or(F.col("analyzer") == "javascript").alias("javascript"))
+    valid = settle(facts.join(good.join(analyzers, "repo_id", "left"), "repo_id"), "valid-facts")
     return (
         general_messages(valid)
-        .unionByName(cpp_messages(cpp, findings))
-        .unionByName(javascript_messages(javascript, findings))
+        .unionByName(cpp_messages(valid.filter("cpp"), findings))
+        .unionByName(javascript_messages(valid.filter("javascript"), findings))
     )
