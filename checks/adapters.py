@@ -3,6 +3,7 @@
 Every table is derived by Spark from whole driver tables; the rules are restated in ``oracle.py``.
 """
 
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +12,9 @@ from skilltide.operators.extract import attach_profiles, contacts_of
 from skilltide.operators.grade import dependencies_of
 from skilltide.plans.candidates import CandidateRules
 from skilltide.plans.grading import grade
+from skilltide.schemas import TABLES
 from skilltide.sources.tables import spread_small
+from skilltide.storage import settle
 
 # The warning catalog of the message adapter. w6 has two categories, w9 none.
 CATALOG = [
@@ -42,6 +45,10 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        return spread_small(self.table("documents"))
+
     def values(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 
@@ -103,60 +110,8 @@ class Data:
     # --- stored tables ---
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
-        customer, orders, part = self.table("customer"), self.table("orders"), self.table("part")
-        nation, region = self.table("nation"), self.table("region")
-        line = self.table("lineitem")
-        technology = F.replace("p_name", F.lit(" "), F.lit("-"))
-        used = (
-            line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy(F.col("p_brand").alias("language"), technology.alias("technology"),
-                     F.col("o_custkey").alias("user_id"))
-            .agg(F.bool_or(F.col("l_linestatus") == "F").alias("verified"))
-        )
-        places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        flags = F.create_map(*[F.lit(x) for pair in CATEGORY_OF_FLAG.items() for x in pair])
-        return {
-            "languages": part.select(F.col("p_brand").alias("language")).distinct(),
-            "technologies": part.groupBy(
-                F.col("p_brand").alias("language"), technology.alias("technology")
-            ).agg(F.bool_or(F.col("p_size") > 40).alias("synonym")),
-            "countries": region.select(F.col("r_name").alias("country")),
-            "cities": nation.select(F.col("n_name").alias("city")),
-            "users": customer.select(
-                F.col("c_custkey").alias("user_id"),
-                F.replace("c_name", F.lit("Customer#"), F.lit("user")).alias("login"),
-                F.col("c_name").alias("full_name"),
-                F.lit(None).cast("timestamp_ntz").alias("updated_by_user")),
-            "developers": customer.filter(F.col("c_mktsegment") != "MACHINERY").join(
-                places, F.col("c_nationkey") == F.col("n_nationkey")
-            ).select(
-                F.col("c_custkey").alias("user_id"), F.lit(None).cast("boolean").alias("show_email"),
-                (F.col("c_acctbal") > 0).alias("job_seeker"),
-                F.lit(None).cast("boolean").alias("available_for_relocation"),
-                F.lit(None).cast("smallint").alias("programming_experience_months"),
-                F.lit(None).cast("smallint").alias("work_experience_months"),
-                F.col("c_mktsegment").alias("description"),
-                F.concat("n_name", F.lit(", "), "r_name").alias("raw_location"),
-                F.col("r_name").alias("country"), F.col("n_name").alias("city"),
-                F.lit(0).alias("viewed")),
-            "contacts": self.contact_rows.groupBy("category", "contact").agg(
-                F.min("user_id").alias("user_id")),
-            "technologies_users": used.select("language", "technology", "user_id"),
-            "technologies_users_settings": used,
-            "repositories": orders.select(
-                F.col("o_orderkey").cast("string").alias("raw_id"),
-                F.col("o_custkey").alias("user_id"),
-                F.concat(F.lit("repo-"), F.col("o_orderkey").cast("string")).alias("name"),
-                (F.floor("o_totalprice") % 10000).alias("lines_of_code"),
-                F.col("o_orderdate").alias("updated_by_analyzer")),
-            # multiples of 1/128 add up exactly, so equal averages are equal in any order
-            "grades": line.groupBy(
-                flags[F.col("l_returnflag")].alias("category"),
-                F.col("l_orderkey").cast("string").alias("raw_id"),
-            ).agg((1 - F.round(F.max("l_discount") * 100) / 128).alias("value")),
-        }
+    def tables(self) -> "StoredTables":
+        return StoredTables(self)
 
     @property
     def contact_rows(self) -> DataFrame:
@@ -349,7 +304,7 @@ class Data:
             .otherwise("docs/README%s.md"))
         content = F.regexp_replace(
             "text", r"(^|\n)([A-Za-z]+) ", "$1#include <$2.h> ")
-        return spread_small(self.table("documents")).select(
+        return self.documents.select(
             F.concat_ws("-", "source", "lang").alias("repo_id"),
             F.concat(F.lit("project-"), F.col("source")).alias("repo_name"),
             F.concat(F.lit("owner-"), F.col("lang")).alias("login"),
@@ -431,3 +386,102 @@ class EventBatch:
     def locations(self) -> DataFrame:
         place = F.split("location", ", ")
         return self.users.select("user_id", place[1].alias("country"), place[0].alias("city"))
+
+
+class StoredTables(Mapping):
+    """The stored tables by name, each made on first use."""
+
+    def __init__(self, data: Data):
+        self.data = data
+        self.made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = getattr(self, "make_" + name)()
+        return self.made[name]
+
+    def __iter__(self):
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+    @cached_property
+    def part_names(self) -> DataFrame:
+        return self.data.table("part").select(
+            "p_partkey", F.col("p_brand").alias("language"),
+            F.replace("p_name", F.lit(" "), F.lit("-")).alias("technology"), "p_size")
+
+    def make_languages(self) -> DataFrame:
+        return self.part_names.select("language").distinct()
+
+    def make_technologies(self) -> DataFrame:
+        return self.part_names.groupBy("language", "technology").agg(
+            F.bool_or(F.col("p_size") > 40).alias("synonym"))
+
+    def make_countries(self) -> DataFrame:
+        return self.data.table("region").select(F.col("r_name").alias("country"))
+
+    def make_cities(self) -> DataFrame:
+        return self.data.table("nation").select(F.col("n_name").alias("city"))
+
+    def make_users(self) -> DataFrame:
+        return self.data.table("customer").select(
+            F.col("c_custkey").alias("user_id"),
+            F.replace("c_name", F.lit("Customer#"), F.lit("user")).alias("login"),
+            F.col("c_name").alias("full_name"),
+            F.lit(None).cast("timestamp_ntz").alias("updated_by_user"))
+
+    def make_developers(self) -> DataFrame:
+        places = self.data.table("nation").join(
+            self.data.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        none = F.lit(None)
+        return self.data.table("customer").filter("c_mktsegment <> 'MACHINERY'").join(
+            places, F.col("c_nationkey") == F.col("n_nationkey")
+        ).select(
+            F.col("c_custkey").alias("user_id"), none.cast("boolean").alias("show_email"),
+            (F.col("c_acctbal") > 0).alias("job_seeker"),
+            none.cast("boolean").alias("available_for_relocation"),
+            none.cast("smallint").alias("programming_experience_months"),
+            none.cast("smallint").alias("work_experience_months"),
+            F.col("c_mktsegment").alias("description"),
+            F.concat("n_name", F.lit(", "), "r_name").alias("raw_location"),
+            F.col("r_name").alias("country"), F.col("n_name").alias("city"),
+            F.lit(0).alias("viewed"))
+
+    def make_contacts(self) -> DataFrame:
+        return self.data.contact_rows.groupBy("category", "contact").agg(
+            F.min("user_id").alias("user_id"))
+
+    @cached_property
+    def used(self) -> DataFrame:
+        """What customers bought, verified once a line was finished. Stored, as these tables are."""
+        lines = self.data.table("lineitem").select("l_orderkey", "l_partkey", "l_linestatus")
+        orders = self.data.table("orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+        return settle(
+            lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(self.part_names, F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy("language", "technology", "user_id")
+            .agg(F.bool_or(F.col("l_linestatus") == "F").alias("verified")), "used")
+
+    def make_technologies_users(self) -> DataFrame:
+        return self.used.drop("verified")
+
+    def make_technologies_users_settings(self) -> DataFrame:
+        return self.used
+
+    def make_repositories(self) -> DataFrame:
+        key = F.col("o_orderkey").cast("string")
+        return self.data.table("orders").select(
+            key.alias("raw_id"), F.col("o_custkey").alias("user_id"),
+            F.concat(F.lit("repo-"), key).alias("name"),
+            (F.floor("o_totalprice") % 10000).alias("lines_of_code"),
+            F.col("o_orderdate").alias("updated_by_analyzer"))
+
+    def make_grades(self) -> DataFrame:
+        """Multiples of 1/128 add up exactly, so equal averages are equal in any order."""
+        flags = F.create_map(*[F.lit(x) for pair in CATEGORY_OF_FLAG.items() for x in pair])
+        return self.data.table("lineitem").groupBy(
+            flags[F.col("l_returnflag")].alias("category"),
+            F.col("l_orderkey").cast("string").alias("raw_id"),
+        ).agg((1 - F.round(F.max("l_discount") * 100) / 128).alias("value"))

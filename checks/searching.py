@@ -78,7 +78,7 @@ def extract_lexemes(d: Data) -> DataFrame:
   list_transform(s[greatest(1, len(s) - 9):], lambda x: {STRIP}), lambda x: x <> ''), ' ') AS lexemes
 FROM (SELECT doc_id, {SPLIT} AS s FROM documents)""")
 def last_lexemes(d: Data) -> DataFrame:
-    return d.table("documents").select(
+    return d.documents.select(
         "doc_id", joined(tx.extract_lexemes(F.col("text"), 10)).alias("lexemes"))
 
 
@@ -131,7 +131,7 @@ _TOKENS = f"""list_filter(list_distinct(list_concat(
     AND length(list_filter({_TOKENS}, lambda t: starts_with(t, 'on'))) > 0 AS all_prefixes
 FROM documents""")
 def token_arrays(d: Data) -> DataFrame:
-    rows = d.table("documents").select("doc_id", tx.text_tokens(F.col("text")).alias("t"))
+    rows = d.documents.select("doc_id", tx.text_tokens(F.col("text")).alias("t"))
     return rows.select(
         "doc_id", joined(F.array_sort("t")).alias("tokens"),
         tx.match_any(F.col("t"), F.array(F.lit("nation"), F.lit("est"), F.lit("thaner")))
@@ -293,7 +293,7 @@ WHERE position > (page - 1) * 20 AND position <= page * 20"""
 
 def search(d: Data, queries: DataFrame) -> DataFrame:
     ranks = ranking.rank_users(d.tables)
-    return searching.search(queries, ranks, d.tables)
+    return searching.search(queries, ranks, searching.search_index(d.tables, ranks), d.tables)
 
 
 def brands(d: Data) -> DataFrame:
@@ -343,7 +343,7 @@ def search_json(d: Data) -> DataFrame:
     queries = brands(d).select(F.col("p_brand").alias("query_id"), F.col("p_brand").alias("text"),
                                F.lit(1).alias("page"))
     ranks = ranking.rank_users(d.tables)
-    results = searching.search(queries, ranks, d.tables)
+    results = searching.search(queries, ranks, searching.search_index(d.tables, ranks), d.tables)
     return searching.search_documents(results, ranks, d.tables)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from skilltide.functions import ids
-from skilltide.operators import merge, ranked
+from skilltide.operators import grade as g, merge, ranked
 from skilltide.plans import persisting
 from skilltide.sources import tables as src
 from skilltide.storage import settle
@@ -283,12 +283,10 @@ def persist_grades(d: Data) -> DataFrame:
 SELECT owner, language AS key, string_agg(message, ',' ORDER BY message) AS values
 FROM maps GROUP BY owner, language""")
 def merge_map_of_lists(d: Data) -> DataFrame:
-    from skilltide.operators import grade as g
     maps = g.technology_maps(g.dependencies_of(d.messages)).withColumn(
         "owner", F.substring_index("repo_id", "-", 1))
     merged = g.collect_map(g.merge_maps(maps, ["owner"], "language_to_technologies"), ["owner"])
-    return merged.select("owner", F.explode("map").alias("key", "v")).select(
-        "owner", "key", F.array_join("v", ",").alias("values"))
+    return merged.select("owner", "key", F.array_join("values", ",").alias("values"))
 
 
 @query(f"""{PERSIST}

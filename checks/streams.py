@@ -119,24 +119,18 @@ def run_developers(d: Data) -> str:
 _FRESH = ENRICHED.replace("WHERE o_orderkey NOT IN (SELECT l_orderkey FROM recent)", "")
 
 
-@query(f"""WITH {_FRESH}, {PROFILES}
+@query(f"""WITH {_FRESH}, {PROFILES}, analysed AS (
+  SELECT repo_id, name, primary_language, CAST(sum(floor(l_quantity)) AS BIGINT) AS lines,
+    'part-' || min(l_partkey) AS part
+  FROM kept JOIN lineitem ON l_orderkey = o_orderkey GROUP BY repo_id, name, primary_language),
+owners AS (SELECT * FROM profiles WHERE owner_id IN (SELECT owner_id FROM kept))
 SELECT 'user' AS kind, CAST(owner_id AS VARCHAR) AS id, owner_login AS text,
-  CAST(NULL AS BIGINT) AS number FROM profiles WHERE owner_id IN (SELECT owner_id FROM kept)
-UNION ALL
-SELECT 'repository', repo_id, name, CAST(sum(floor(l_quantity)) AS BIGINT)
-FROM kept JOIN lineitem ON l_orderkey = o_orderkey GROUP BY repo_id, name
-UNION ALL
-SELECT 'technology', 'part-' || min(l_partkey), primary_language, 1
-FROM kept JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, primary_language
-UNION ALL
-SELECT 'developer', CAST(owner_id AS VARCHAR),
+  CAST(NULL AS BIGINT) AS number FROM owners
+UNION ALL SELECT 'repository', repo_id, name, lines FROM analysed
+UNION ALL SELECT DISTINCT 'technology', part, primary_language, 1 FROM analysed
+UNION ALL SELECT 'developer', CAST(owner_id AS VARCHAR),
   coalesce(split_part(location, ', ', 1) || '/' || split_part(location, ', ', 2), ''), 0
-FROM profiles WHERE owner_id IN (SELECT owner_id FROM kept)""".replace(
-    "'part-' || min(l_partkey), primary_language, 1\nFROM kept JOIN lineitem ON l_orderkey = "
-    "o_orderkey GROUP BY o_orderkey, primary_language",
-    "part, primary_language, 1 FROM (SELECT DISTINCT 'part-' || min(l_partkey) AS part, "
-    "primary_language FROM kept JOIN lineitem ON l_orderkey = o_orderkey "
-    "GROUP BY o_orderkey, primary_language)"))
+FROM owners""")
 def stream_developers(d: Data) -> DataFrame:
     root = run_developers(d)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ids import archive_url, decode_owner_id
 from ..functions.text import empty_to_null
 from ..schemas import OWNED_REPOSITORY
+from .lists import collect_in_parts
 
 OWNER = ("owner_id", "owner_login")
 REPOSITORY = (
@@ -88,9 +89,13 @@ def filter_candidates(repos: DataFrame, min_age_days: int, languages: Sequence[s
 
 
 def recently_analysed(analysed: DataFrame, as_of: Column, days: int) -> DataFrame:
-    """Ids analysed less than ``days`` before ``as_of``."""
-    age = F.datediff(as_of, F.col("updated_by_analyzer").cast("date"))
-    return analysed.filter(age < days).select(F.col("raw_id").alias("repo_id"))
+    """Ids analysed less than ``days`` before ``as_of``; a comparison the scan can use.
+
+    ``analysed`` may hold several rows per id, such as stored changes: any recent one counts.
+    """
+    first = F.date_sub(as_of, days - 1).cast("timestamp_ntz")
+    return analysed.filter(F.col("updated_by_analyzer") >= first).select(
+        F.col("raw_id").alias("repo_id"))
 
 
 def drop_recent(repos: DataFrame, analysed: DataFrame, as_of: Column, days: int) -> DataFrame:
@@ -109,11 +114,9 @@ def with_min_group(rows: DataFrame, min_rows: int, keys: Sequence[str] = OWNER)
 
 
 def group_users(repos: DataFrame) -> DataFrame:
-    """Display form: one row per owner with a list of repositories. Apply to selected owners."""
+    """Display form (owner, part, repositories): one row per owner, more for very long lists."""
     rest = [c for c in repos.columns if c not in OWNER]
-    return repos.groupBy(*OWNER).agg(
-        F.array_sort(F.collect_list(F.struct(*rest))).alias("repositories")
-    )
+    return collect_in_parts(repos, OWNER, F.struct(*rest), "repositories")
 
 
 def commit_ratios(weeks: DataFrame, keys: Sequence[str] = ("owner_login", "name")) -> DataFrame:
@@ -137,14 +140,16 @@ def attach_profiles(users: DataFrame, profiles: DataFrame) -> DataFrame:
     """Add profile fields by id, empty texts as null. Without a matching profile the user stays
     with null fields.
 
-    ``profiles``: requested_id, id and the fields; a response for another id is not believed.
+    ``profiles``: requested_id, id and the fields; a response for another id is not believed. They
+    are first cut down to the users, so that a few users do not make all profiles move.
     """
     sane = profiles.filter(F.col("id") == F.col("requested_id")).select(
         F.col("requested_id").alias("owner_id"),
         *[empty_to_null(F.col(c)).alias(c) for c in PROFILE_FIELDS],
         F.col("job_seeker"),
     )
-    return users.join(sane, "owner_id", "left")
+    known = sane.join(users.select("owner_id"), "owner_id", "left_semi")
+    return users.join(known, "owner_id", "left")
 
 
 def with_archive_url(repos: DataFrame) -> DataFrame:

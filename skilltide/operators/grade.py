@@ -9,6 +9,7 @@ from ..functions.fixed import (
     TESTS_DIR_EXISTS, WARNING,
 )
 from ..functions.numbers import automation_penalty_value, category_value, clamp01
+from .lists import collect_in_parts
 
 REPO = ("repo_id", "name")
 REPO_LANGUAGE = ("repo_id", "name", "language")
@@ -30,17 +31,13 @@ def matched_warning_counts(messages: DataFrame, catalog: DataFrame) -> DataFrame
     """Warnings per repository, language and category. A warning of two categories counts in both,
     one missing from the catalog in none.
 
-    Repeats of a finding are counted map-side before the catalog is joined, so that neither a
-    noisy rule nor a huge repository is carried through a shuffle row by row.
+    The catalog is small, so Spark joins it in the scan by its size, and the findings are counted
+    map-side: one shuffle of at most one row per repository, language, category and task.
     """
-    findings = (
-        messages_of(messages, WARNING)
-        .groupBy(*REPO_LANGUAGE, F.col("message").alias("warning"))
-        .agg(F.count("*").alias("_n"))
-    )
+    findings = messages_of(messages, WARNING).withColumnRenamed("message", "warning")
     return (
         findings.join(catalog, ["language", "warning"])
-        .groupBy(*REPO_LANGUAGE, "grade_category").agg(F.sum("_n").alias("warnings"))
+        .groupBy(*REPO_LANGUAGE, "grade_category").agg(F.count("*").alias("warnings"))
     )
 
 
@@ -139,14 +136,12 @@ def grade_lists(grades: DataFrame) -> DataFrame:
 
 
 def technology_maps(dependencies: DataFrame) -> DataFrame:
-    """(repository, {language: [technologies]}), one row per language.
-
-    For display of single repositories. The list is as long as the language has distinct
-    technologies in the repository; large jobs should stay with the long table.
-    """
-    return dependencies.groupBy(*REPO_LANGUAGE).agg(
-        F.array_sort(F.collect_set("technology")).alias("technologies")
-    ).select(*REPO, F.create_map("language", "technologies").alias("language_to_technologies"))
+    """(repository, part, {language: [technologies]}), for display: one row per language, more for
+    very long lists. Large jobs should stay with the long table."""
+    lists = collect_in_parts(dependencies.distinct(), REPO_LANGUAGE, F.col("technology"),
+                             "technologies")
+    return lists.select(
+        *REPO, "part", F.create_map("language", "technologies").alias("language_to_technologies"))
 
 
 def merge_maps(maps: DataFrame, keys: Sequence[str], map_col: str) -> DataFrame:
@@ -157,9 +152,7 @@ def merge_maps(maps: DataFrame, keys: Sequence[str], map_col: str) -> DataFrame:
 
 
 def collect_map(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Display form of ``merge_maps``: one map per group, values sorted, nulls dropped."""
-    lists = long.groupBy(*keys, "key").agg(
-        F.array_sort(F.collect_list("value")).alias("_values")
-    )
-    entries = F.array_sort(F.collect_list(F.struct("key", "_values")))
-    return lists.groupBy(*keys).agg(F.map_from_entries(entries).alias("map"))
+    """(keys, part, key, values): display form of ``merge_maps``, one row per key of each map and
+    more for very long lists. Values are sorted; an empty list stays."""
+    lists = collect_in_parts(long, [*keys, "key"], F.col("value"), "values")
+    return lists.withColumn("values", F.array_compact("values"))

@@ -1,6 +1,7 @@
 """Ranked search for many queries at once.
 
-The index is two tables: postings (kind, token, user_id) and users_ranks (rank, user_id, login).
+The index is two tables: postings (kind, token, rank) and users_ranks (rank, user_id, login). A
+rank names its user and is the sort key, so matches are found, combined and cut by rank alone.
 Only users that share a token with a query are touched; a query without languages and technologies
 matches everyone, and is answered from the top of the ranking without listing everyone.
 """
@@ -11,15 +12,15 @@ from ..functions.text import text_tokens
 from .ranked import top_n_per_group
 
 
-def postings(technologies: DataFrame) -> DataFrame:
-    """(kind, token, user_id) from (user_id, language, technology)."""
+def postings(technologies: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(kind, token, rank) from (user_id, language, technology) and the ranking."""
     return (
-        technologies.select("user_id", F.explode(F.array(
+        technologies.join(ranks.select("user_id", "rank"), "user_id")
+        .select("rank", F.explode(F.array(
             F.struct(F.lit("language").alias("kind"), F.col("language").alias("text")),
             F.struct(F.lit("technology").alias("kind"), F.col("technology").alias("text")),
         )).alias("x"))
-        .distinct()
-        .select("user_id", "x.kind", F.explode(text_tokens(F.col("x.text"))).alias("token"))
+        .select("rank", "x.kind", F.explode(text_tokens(F.col("x.text"))).alias("token"))
         .distinct()
     )
 
@@ -44,81 +45,89 @@ def matched_tokens(tokens: DataFrame, index: DataFrame) -> DataFrame:
     return both.join(wanted, ["token_type", "lexeme"], "left_semi")
 
 
-def filter_matches(tokens: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, user_id) for queries with languages or technologies: any of the languages and
-    all of the technologies."""
-    asked = tokens.filter(F.col("token_type").isin("language", "technology")).select(
+def _asked(tokens: DataFrame) -> DataFrame:
+    return tokens.filter(F.col("token_type").isin("language", "technology")).select(
         "query_id", "token_type", "lexeme").distinct()
-    needs = asked.groupBy("query_id").agg(
-        F.max(F.col("token_type") == "language").alias("_language"),
-        F.count_if(F.col("token_type") == "technology").alias("_technologies"),
-    )
-    hits = (
+
+
+def filter_hits(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, rank, token_type, lexeme): users having a language or technology of the query."""
+    asked = _asked(tokens)
+    return (
         asked.join(matched_tokens(asked, index), ["token_type", "lexeme"])
         .join(index.withColumnRenamed("kind", "token_type"), ["token_type", "token"])
-        .select("query_id", "user_id", "token_type",
-                F.when(F.col("token_type") == "technology", F.col("lexeme")).alias("lexeme"))
-        .distinct()
-    )
-    found = hits.groupBy("query_id", "user_id").agg(
-        F.max(F.col("token_type") == "language").alias("_has_language"),
-        F.count("lexeme").alias("_has_technologies"),
+        .select("query_id", "rank", "token_type", "lexeme")
     )
-    return found.join(needs, "query_id").filter(
-        (F.col("_has_language") | ~F.col("_language"))
-        & (F.col("_has_technologies") == F.col("_technologies"))
-    ).select("query_id", "user_id")
 
 
-def login_matches(tokens: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(query_id, user_id) where a word of the query is the login."""
-    logins = tokens.filter(F.col("token_type") == "githubLogin").select("query_id", "lexeme")
-    return logins.distinct().join(
-        ranks.select("user_id", F.lower("login").alias("lexeme")), "lexeme"
-    ).select("query_id", "user_id")
+def login_hits(tokens: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(query_id, rank, token_type, lexeme) where a word of the query is the login."""
+    logins = tokens.filter(F.col("token_type") == "githubLogin").select(
+        "query_id", "token_type", "lexeme")
+    return logins.join(ranks.select("rank", F.lower("login").alias("lexeme")), "lexeme").select(
+        "query_id", "rank", "token_type", "lexeme")
 
 
 def best_ranked(queries: DataFrame, ranks: DataFrame, page_size: int) -> DataFrame:
-    """(query_id, user_id): the best ranked users up to the end of the asked page.
+    """(query_id, rank, token_type, lexeme): the best ranks up to the end of the asked page.
 
-    Ranks are 1..n without gaps, so the users are found by key. Together with the login matches
-    these contain every row a match-all query can show up to that page: the other rows among the
-    first k are the best k by rank or fewer.
+    Ranks are 1..n without gaps, so they are counted down from the last one. Together with the
+    login hits these contain every row a match-all query can show up to that page: the other rows
+    among the first k are the best k by rank or fewer.
     """
     last = ranks.agg(F.max("rank").alias("last")).scalar()
     wanted = queries.select("query_id", (F.col("page") * page_size).alias("_n")).withColumn(
         "_last", last
     ).filter(F.col("_last").isNotNull())
     lowest = F.greatest(F.lit(1).cast("long"), F.col("_last") - F.col("_n") + 1)
-    exploded = wanted.select("query_id", F.explode(F.sequence("_last", lowest)).alias("rank"))
-    return exploded.join(ranks.select("rank", "user_id"), "rank").select("query_id", "user_id")
+    return wanted.select(
+        "query_id", F.explode(F.sequence("_last", lowest)).alias("rank"),
+        F.lit("open").alias("token_type"), F.lit(None).cast("string").alias("lexeme"))
+
+
+def query_needs(queries: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(query_id, page, languages, technologies): how many of each a query names."""
+    counts = _asked(tokens).groupBy("query_id").agg(
+        F.count_if(F.col("token_type") == "language").alias("languages"),
+        F.count_if(F.col("token_type") == "technology").alias("technologies"))
+    zero = F.lit(0).cast("long")
+    return queries.select("query_id", "page").join(counts, "query_id", "left").select(
+        "query_id", "page", F.coalesce("languages", zero).alias("languages"),
+        F.coalesce("technologies", zero).alias("technologies"))
 
 
 def search_pages(queries: DataFrame, tokens: DataFrame, ranks: DataFrame, index: DataFrame,
                  page_size: int) -> DataFrame:
     """(query_id, position, user_id, login_match, rank) of the asked page of each query.
 
-    queries: query_id, page (from 1). Login matches come first, then the better rank. The first
-    cut of the matches is spread over many tasks, so a query that a third of all users match does
-    not end up in one.
+    queries: query_id, page (from 1). A user matches by login, or by any of the languages and all
+    of the technologies. Login matches come first, then the better rank. The set of technologies a
+    user is found by is no longer than the query. The first cut of the matches is spread over many
+    tasks, so a query that a third of all users match does not end up in one.
     """
-    filtered = tokens.filter(F.col("token_type").isin("language", "technology")).select(
-        "query_id").distinct()
-    open_queries = queries.join(filtered, "query_id", "left_anti")
-    logins = login_matches(tokens, ranks).withColumn("login_match", F.lit(1))
-    others = filter_matches(tokens, index).unionByName(
-        best_ranked(open_queries, ranks, page_size)).withColumn("login_match", F.lit(0))
-    matches = (
-        logins.unionByName(others).groupBy("query_id", "user_id")
-        .agg(F.max("login_match").alias("login_match"))
-        .join(ranks.select("user_id", "rank"), "user_id")
-        .join(queries.select("query_id", "page"), "query_id")
+    needs = query_needs(queries, tokens)
+    open_queries = needs.filter("languages = 0 AND technologies = 0")
+    hits = filter_hits(tokens, index).unionByName(login_hits(tokens, ranks)).unionByName(
+        best_ranked(open_queries, ranks, page_size)).distinct()
+    kind = F.col("token_type")
+    found = hits.groupBy("query_id", "rank").agg(
+        F.max(F.when(kind == "githubLogin", 1).otherwise(0)).alias("login_match"),
+        F.bool_or(kind == "open").alias("_open"),
+        F.bool_or(kind == "language").alias("_language"),
+        F.count_if(kind == "technology").alias("_technologies"),
     )
+    by_names = (
+        (F.col("languages") + F.col("technologies") > 0)
+        & (F.col("_language") | (F.col("languages") == 0))
+        & (F.col("_technologies") == F.col("technologies")))
+    matches = found.join(needs, "query_id").filter(
+        (F.col("login_match") == 1) | F.col("_open") | by_names
+    ).select("query_id", "rank", "login_match", "page")
     order = [F.desc("login_match"), F.desc("rank")]
     top = top_n_per_group(matches, ["query_id"], order, F.col("page") * page_size)
-    return top.filter(F.col("position") > (F.col("page") - 1) * page_size).select(
-        "query_id", "position", "user_id", "login_match", "rank"
-    )
+    return top.filter(F.col("position") > (F.col("page") - 1) * page_size).join(
+        ranks.select("rank", "user_id"), "rank"
+    ).select("query_id", "position", "user_id", "login_match", "rank")
 
 
 def to_result_json(results: DataFrame) -> DataFrame:

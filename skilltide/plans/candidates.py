@@ -43,7 +43,9 @@ def enrich_users(repos: DataFrame, profiles: DataFrame, weeks: DataFrame,
 
     ``profiles`` and ``weeks`` (owner_login, name, owner_commits, all_commits) are tables.
     """
-    rated = repos.join(ex.commit_ratios(weeks), ["owner_login", "name"])
+    keys = ["owner_login", "name"]
+    needed = weeks.join(repos.select(*keys), keys, "left_semi")
+    rated = repos.join(ex.commit_ratios(needed, keys), keys)
     own = ex.with_min_group(
         ex.filter_by_ratio(rated, rules.min_owner_ratio), rules.min_repositories
     )

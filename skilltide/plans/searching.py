@@ -6,6 +6,7 @@ from ..functions.fixed import MAX_LEXEMES, MAX_SUGGESTIONS, SEARCH_PAGE_SIZE
 from ..operators import search as s, suggest as sg, tokens as t
 from ..operators.locations import resolve_location
 from ..operators.rank import verified_technologies
+from ..storage import settle
 from .ranking import with_documents
 
 Tables = dict[str, DataFrame]
@@ -29,7 +30,7 @@ def tokenize(queries: DataFrame, tables: Tables, gazetteer: DataFrame,
              max_lexemes: int | None = MAX_LEXEMES, escape: bool = False) -> DataFrame:
     """(query_id, token_type, lexeme): stop words, stored names, and the place that the remaining
     words name."""
-    lexemes = t.query_lexemes(queries, max_lexemes)
+    lexemes = settle(t.query_lexemes(queries, max_lexemes), "lexemes")
     names = stored_names(tables)
     rest = t.unknown_text(queries, t.unknown_lexemes(lexemes, names))
     place = resolve_location(rest, ["query_id"], "text", gazetteer)
@@ -50,25 +51,35 @@ def search_tokens(queries: DataFrame, tables: Tables, max_lexemes: int | None =
     return t.named_tokens(t.query_lexemes(queries, max_lexemes), stored_names(tables), escape)
 
 
-def search(queries: DataFrame, ranks: DataFrame, tables: Tables,
-           page_size: int = SEARCH_PAGE_SIZE, max_lexemes: int | None = MAX_LEXEMES,
-           escape: bool = False) -> DataFrame:
-    """(query_id, position, user_id, login_match, rank) for queries (query_id, text, page)."""
-    tokens = search_tokens(queries, tables, max_lexemes, escape)
+def search_index(tables: Tables, ranks: DataFrame) -> DataFrame:
+    """Postings of the verified technologies and their languages, stored for many searches. To be
+    made anew with the ranking."""
     verified = verified_technologies(
         tables["technologies_users"], tables["technologies_users_settings"], tables["developers"])
-    return s.search_pages(queries, tokens, ranks, s.postings(verified), page_size)
+    return settle(s.postings(verified, ranks), "postings")
+
+
+def search(queries: DataFrame, ranks: DataFrame, index: DataFrame, tables: Tables,
+           page_size: int = SEARCH_PAGE_SIZE, max_lexemes: int | None = MAX_LEXEMES,
+           escape: bool = False) -> DataFrame:
+    """(query_id, position, user_id, login_match, rank) for queries (query_id, text, page).
+
+    ``ranks`` of ``rank_users`` and ``index`` of ``search_index`` are made once for many searches.
+    """
+    tokens = settle(search_tokens(queries, tables, max_lexemes, escape), "tokens")
+    return s.search_pages(queries, tokens, ranks, index, page_size)
 
 
 def search_documents(results: DataFrame, ranks: DataFrame, tables: Tables) -> DataFrame:
     """(query_id, json) for the rows of ``search``; lists are built for shown users only."""
-    shown = ranks.join(results.select("user_id").distinct(), "user_id", "left_semi")
+    pages = settle(results, "results")
+    shown = ranks.join(pages.select("user_id").distinct(), "user_id", "left_semi")
     documents = with_documents(shown, tables).drop("rank", "avg_grade")
     grades = F.transform("grades", lambda g: F.from_json(g, "category STRING, value DOUBLE"))
     total = F.aggregate("grades", F.lit(0.0), lambda acc, g: acc + g.getField("value"))
     users = documents.withColumn("grades", grades).withColumn(
         "avg_grade", F.try_divide(total, F.size("grades")))
-    return s.to_result_json(results.join(users, "user_id"))
+    return s.to_result_json(pages.join(users, "user_id"))
 
 
 def suggest(queries: DataFrame, tables: Tables, limit: int = MAX_SUGGESTIONS,

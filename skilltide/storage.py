@@ -23,12 +23,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back.
+def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write a result and read it back, to a fresh path in the shared folder or to ``path``, whose
+    earlier content is replaced.
 
     Cuts the lineage at a place that outlives lost executors, and fixes values that a recomputation
     could change.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    target = path or new_path(df.sparkSession, name)
+    df.write.mode("overwrite" if path else "errorifexists").parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)

@@ -11,7 +11,9 @@ from ..operators.locations import resolve_location
 from ..plans.candidates import CandidateRules, Developers, enrich_users, extract_candidates
 from ..plans.grading import grade
 from ..plans.persisting import ROWS, Batch
-from .changes import append_changes, read_stored
+from ..schemas import TABLES
+from ..storage import settle
+from .changes import append_changes, read_changes
 
 
 def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str,
@@ -50,32 +52,34 @@ class DeveloperJob:
     def __call__(self, pages: DataFrame, batch_id: int) -> None:
         spark = pages.sparkSession
         now = self.now()
-        analysed = read_stored(spark, self.root, "repositories", before=batch_id)
-        repos = extract_candidates(pages, analysed, self.rules, now.cast("date"))
-        developers = enrich_users(repos, self.profiles, self.weeks, self.rules)
-        repositories = developers.repositories.persist()
-        messages = self.analyse(Developers(developers.users, repositories)).persist()
-        grades = grade(messages, self.catalog).withColumnRenamed("repo_id", "raw_id").persist()
-        try:
-            users = developers.users.withColumnsRenamed(
-                {"owner_id": "user_id", "owner_login": "login"})
-            batch = Batch(
-                users=users,
-                repositories=repositories.select(
-                    F.col("owner_id").alias("user_id"), F.col("repo_id").alias("raw_id"),
-                    "primary_language", "languages"),
-                grades=grades,
-                technologies=dependencies_of(messages).select(
-                    F.col("repo_id").alias("raw_id"), "language", "technology"),
-                locations=resolve_location(
-                    users.filter("location IS NOT NULL"), ["user_id"], "location", self.gazetteer),
-            )
-            for table, rows in ROWS.items():
-                append_changes(rows(batch, now), self.root, table, batch_id)
-        finally:
-            grades.unpersist()
-            messages.unpersist()
-            repositories.unpersist()
+        # any stored change tells when a repository was analysed, so nothing has to be merged
+        analysed = read_changes(
+            spark, self.root, "repositories", TABLES["repositories"], before=batch_id)
+        repos = self.step("candidates", extract_candidates(
+            pages, analysed, self.rules, now.cast("date")))
+        enriched = enrich_users(repos, self.profiles, self.weeks, self.rules)
+        repositories = self.step("repositories", enriched.repositories)
+        users = self.step("users", enriched.users)
+        messages = self.step("messages", self.analyse(Developers(users, repositories)))
+        known = users.withColumnsRenamed({"owner_id": "user_id", "owner_login": "login"})
+        batch = Batch(
+            users=known,
+            repositories=repositories.select(
+                F.col("owner_id").alias("user_id"), F.col("repo_id").alias("raw_id"),
+                "primary_language", "languages"),
+            grades=self.step(
+                "grades", grade(messages, self.catalog).withColumnRenamed("repo_id", "raw_id")),
+            technologies=dependencies_of(messages).select(
+                F.col("repo_id").alias("raw_id"), "language", "technology"),
+            locations=resolve_location(
+                known.filter("location IS NOT NULL"), ["user_id"], "location", self.gazetteer),
+        )
+        for table, rows in ROWS.items():
+            append_changes(rows(batch, now), self.root, table, batch_id)
+
+    def step(self, name: str, df: DataFrame) -> DataFrame:
+        """Store an intermediate result next to the tables; each batch replaces the last one's."""
+        return settle(df, name, f"{self.root}-work/{name}")
 
 
 def run_stream(pages: DataFrame, job: DeveloperJob, checkpoint: str,

@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows_of
 from skilltide.functions.fixed import GRADE_CATEGORIES
 from skilltide.operators import grade as g
+from skilltide.operators.lists import collect_in_parts
 from skilltide.plans.grading import grade, graded_with_technologies
 from skilltide.schemas import MESSAGE
 from skilltide.sources.records import format_worklist, parse_records
@@ -109,8 +111,17 @@ def test_zero_filled_counts_cover_all_languages(table, catalog):
 def test_merge_maps(table):
     maps = table("id int, m map<string, array<string>>",
                  (1, {"k1": ["v1", "v2"], "k2": ["v3", "v4"]}), (1, {"k1": ["v3"], "k3": []}))
-    merged = g.collect_map(g.merge_maps(maps, ["id"], "m"), ["id"]).first()["map"]
-    assert merged == {"k1": ["v1", "v2", "v3"], "k2": ["v3", "v4"], "k3": []}
+    merged = g.collect_map(g.merge_maps(maps, ["id"], "m"), ["id"]).collect()
+    assert {r.key: r["values"] for r in merged} == {
+        "k1": ["v1", "v2", "v3"], "k2": ["v3", "v4"], "k3": []}
+
+
+def test_long_lists_are_split(table):
+    rows = [(1, i) for i in range(25)] + [(2, 7)]
+    parts = collect_in_parts(table("k int, v int", *rows), ["k"], F.col("v"), "vs", max_list=10)
+    got = parts.collect()
+    assert sorted(v for r in got if r.k == 1 for v in r.vs) == list(range(25))
+    assert len([r for r in got if r.k == 1]) == 3 and [r.vs for r in got if r.k == 2] == [[7]]
 
 
 def test_records(table):

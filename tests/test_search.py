@@ -106,7 +106,7 @@ def test_live_wildcards(table):
 
 def search(table, tables, text, page=1, order="grade"):
     ranks = ranking.rank_users(tables, order)
-    results = searching.search(queries(table, text, page=page), ranks, tables)
+    results = searching.search(queries(table, text, page=page), ranks, searching.search_index(tables, ranks), tables)
     return [r.user_id for r in results.orderBy("position").collect()], results, ranks
 
 
@@ -134,7 +134,7 @@ def test_pages(table, tables):
     ranks = ranking.rank_users(tables)
     asked = table("query_id string, text string, page int", ("a", "javascript", 2), ("b", "x", 2),
                   ("c", "userb", 1), ("d", "x", 9))
-    results = searching.search(asked, ranks, tables, page_size=1)
+    results = searching.search(asked, ranks, searching.search_index(tables, ranks), tables, page_size=1)
     assert rows_of(results.select("query_id", "position", "user_id")) == [
         ("a", 2, 2), ("b", 2, 2), ("c", 1, 2)]
 
