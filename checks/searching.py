@@ -338,13 +338,36 @@ def search_page2(d: Data) -> DataFrame:
         F.lit(3).alias("page"))))
 
 
-@query()
+@query(f"""WITH found AS (
+  {search_sql("SELECT DISTINCT p_brand AS query_id, p_brand AS text, 1 AS page FROM part")}),
+{TABLES},
+lists AS (
+  SELECT user_id, string_agg(DISTINCT language, ',' ORDER BY language) AS languages,
+    string_agg(DISTINCT technology, ',' ORDER BY technology) AS technologies
+  FROM verified GROUP BY user_id),
+averages AS (SELECT user_id, round(avg(value), 9) AS avg_grade,
+  string_agg(category, ',' ORDER BY category) AS categories FROM means GROUP BY user_id)
+SELECT query_id, position - 1 AS position, user_id AS id, login, full_name, avg_grade, categories,
+  languages, technologies
+FROM found JOIN users USING (user_id) JOIN lists USING (user_id) JOIN averages USING (user_id)""")
 def search_json(d: Data) -> DataFrame:
     queries = brands(d).select(F.col("p_brand").alias("query_id"), F.col("p_brand").alias("text"),
                                F.lit(1).alias("page"))
     ranks = ranking.rank_users(d.tables)
     results = searching.search(queries, ranks, searching.search_index(d.tables, ranks), d.tables)
-    return searching.search_documents(results, ranks, d.tables)
+    documents = searching.search_documents(results, ranks, d.tables)
+    schema = ("users ARRAY<STRUCT<id: BIGINT, githubLogin: STRING, fullName: STRING, "
+              "avgGrade: DOUBLE, grades: ARRAY<STRUCT<category: STRING, value: DOUBLE>>, "
+              "languages: ARRAY<STRUCT<language: STRING, verified: BOOLEAN>>, "
+              "technologies: ARRAY<STRUCT<technology: STRING, verified: BOOLEAN>>>>")
+    return documents.select(
+        "query_id", F.posexplode(F.from_json("json", schema).getField("users")).alias("position", "u")
+    ).select(
+        "query_id", "position", "u.id", F.col("u.githubLogin").alias("login"),
+        F.col("u.fullName").alias("full_name"), F.round("u.avgGrade", 9).alias("avg_grade"),
+        F.array_join("u.grades.category", ",").alias("categories"),
+        F.array_join("u.languages.language", ",").alias("languages"),
+        F.array_join("u.technologies.technology", ",").alias("technologies"))
 
 
 # --- suggestions ---
@@ -402,6 +425,18 @@ def suggest_with_language(d: Data) -> DataFrame:
     return searching.suggest(queries, d.tables)
 
 
+@query(f"""WITH found AS ({suggest_sql("""SELECT DISTINCT p_brand || ' ' || left(p_name, 2) AS query_id,
+  p_brand || ' ' || left(p_name, 2) AS text FROM part""")})
+SELECT query_id, string_agg(suggestion, ',' ORDER BY pos) AS suggestions FROM found GROUP BY ALL""")
+def suggest_json(d: Data) -> DataFrame:
+    queries = d.table("part").select(
+        F.concat_ws(" ", "p_brand", F.substring("p_name", 1, 2)).alias("text")).distinct()
+    queries = queries.select(F.col("text").alias("query_id"), "text")
+    documents = searching.suggestion_documents(searching.suggest(queries, d.tables), queries)
+    texts = F.from_json("json", "suggestions ARRAY<STRING>").getField("suggestions")
+    return documents.select("query_id", F.array_join(texts, ",").alias("suggestions"))
+
+
 @query("""SELECT p_partkey, p_brand || ' the ' || p_name AS completed FROM part""")
 def completed_text(d: Data) -> DataFrame:
     words = F.array("p_brand", F.lit("the"))
