@@ -1,5 +1,7 @@
 """From repository files to analyzer messages."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import (
@@ -7,6 +9,7 @@ from ..functions.fixed import (
 )
 from ..operators import files as f, manifests as m
 from ..storage import settle
+from .candidates import Developers
 
 
 def _message(rows: DataFrame, kind: str, language: Column, message: Column) -> DataFrame:
@@ -91,3 +94,19 @@ def analyze_files(files: DataFrame, repositories: DataFrame, findings: DataFrame
         .unionByName(cpp_messages(valid.filter("cpp"), findings))
         .unionByName(javascript_messages(valid.filter("javascript"), findings))
     )
+
+
+def analyse_with(files: DataFrame, findings: DataFrame,
+                 max_bytes: int | None = None) -> Callable[[Developers], DataFrame]:
+    """Analysis of the repositories of a batch from tables of files and findings. Both are cut down
+    to the batch first."""
+    def analyse(developers: Developers) -> DataFrame:
+        none = F.array().cast("array<string>")
+        repositories = developers.repositories.select("repo_id", F.array_union(
+            F.coalesce("languages", none), F.array("primary_language")).alias("languages"))
+        ids = repositories.select("repo_id")
+        return analyze_files(
+            files.join(ids, "repo_id", "left_semi"), repositories,
+            findings.join(ids, "repo_id", "left_semi"), max_bytes)
+
+    return analyse

@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows_of
 from skilltide.operators import files as f, manifests as m

@@ -9,8 +9,10 @@ from skilltide.plans.candidates import CandidateRules
 from skilltide.plans.persisting import RULES, Rule
 from skilltide.schemas import MESSAGE
 from skilltide.sources.pages import read_pages
+from skilltide.sources.tables import read_query, read_table
 from skilltide.streaming import changes
 from skilltide.streaming.jobs import DeveloperJob, run_batches, run_stream
+from skilltide.streaming.main import parse, start
 from test_extract import USER, node, repo
 
 
@@ -132,3 +134,55 @@ def test_pages_to_tables(spark, table, tmp_path):
     run_stream(read_pages(spark, str(pages)), job, str(tmp_path / "c"), None).awaitTermination()
     assert stored("repositories").count() == 2
     assert set(RULES) == {p.name for p in (tmp_path / "stored").iterdir()}
+
+
+def test_job_from_folders(spark, table, tmp_path):
+    """The submitted job: pages, files and findings in folders, graded tables out."""
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    found = node("found", "target", USER, owned=[repo("owned", USER), repo("owned2", USER)])
+    (pages / "1.json").write_text(json.dumps({"nodes": [found]}) + "\n")
+    ids = {n: repo(n, USER)["id"] for n in ("found", "owned", "owned2")}
+    manifest = json.dumps({"dependencies": {"react": "1", "react-dom": "1"}})
+    inputs = {
+        "profiles": table(
+            "requested_id bigint, id bigint, full_name string, description string, "
+            "location string, company string, email string, blog string, job_seeker boolean",
+            (6502401, 1, "other", "", "", "", "", "", None)),
+        "weeks": table("owner_login string, name string, owner_commits bigint, all_commits bigint",
+                       *[("target", n, 8, 10) for n in ids]),
+        "warnings": table("warning string, language string, grade_category string",
+                          ("eqeqeq", "JavaScript", "Robust")),
+        "gazetteer": table(GAZETTEER, ("Moscow", "city", "Moscow", "Russian Federation", 1)),
+        "files": table(
+            "repo_id string, repo_name string, login string, path string, size bigint, content string",
+            *[(i, n, "target", p, 9, c) for n, i in ids.items()
+              for p, c in (("./package.json", manifest), ("./a.js", "a\nb\nc\nd\n"))],
+            (ids["owned2"], "owned2", "target", "./a b.js", 9, "x")),
+        "findings": table("repo_id string, language string, rule string",
+                          (ids["found"], "JavaScript", "eqeqeq"), ("nobody", "JavaScript", "eqeqeq")),
+    }
+    for name, rows in inputs.items():
+        rows.write.parquet(str(tmp_path / "tables" / name))
+    folders = {k: str(tmp_path / k) for k in ("pages", "tables", "store", "checkpoint")}
+    options = parse([x for k, v in folders.items() for x in (f"--{k}", v)] + ["--once"])
+    start(spark, options).awaitTermination()
+
+    def stored(name):
+        return changes.read_stored(spark, folders["store"], name)
+
+    robust = stored("grades").filter("category = 'Robust'").select("raw_id", "value")
+    assert rows_of(robust) == sorted([(ids["found"], 0.75), (ids["owned"], 1.0)])
+    assert rows_of(stored("technologies")) == [
+        ("JavaScript", "react", False), ("JavaScript", "react-dom", True)]
+    assert {r.lines_of_code for r in stored("repositories").collect()} == {4}
+    assert rows_of(stored("users").select("login", "full_name")) == [("target", "")]
+
+
+def test_tables_by_name(spark, table, tmp_path):
+    rows = table("k int", (1,), (2,))
+    rows.write.parquet(str(tmp_path / "numbers"))
+    assert rows_of(read_table(spark, "numbers", str(tmp_path))) == [(1,), (2,)]
+    rows.createOrReplaceTempView("numbers_view")
+    assert rows_of(read_table(spark, "numbers_view")) == [(1,), (2,)]
+    assert rows_of(read_query(spark, "SELECT max(k) FROM {t}", {"t": rows})) == [(2,)]
