@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import (
     AUTOMATION_BADGES, AUTOMATION_FILES, BINARY_FILE_PATTERN, HEADER_LIBRARIES, HEADER_PREFIXES,
-    INCLUDE_PATTERN, INVALID_EXTENSION_PATTERN, LANGUAGE_ANALYZERS, MANIFEST_PATTERN,
-    MIN_TOOL_FILE_BYTES, NODE_SHEBANG_PATTERN, NOISE_FILE_PATTERN, TESTS_DIR_PATTERN, VALID_PATH_PATTERN,
+    INCLUDE_PATTERN, INVALID_EXTENSION_PATTERN, LANGUAGE_ANALYZERS, MIN_TOOL_FILE_BYTES,
+    NODE_SHEBANG_PATTERN, NOISE_FILE_PATTERN, TESTS_DIR_PATTERN, VALID_PATH_PATTERN,
     VENDOR_DIR_PATTERN,
 )
 from ..sources.languages import extension, language_of
+from .manifests import dependency_names, is_manifest, manifest_url, runs_node
 
 REPO = ("repo_id", "repo_name")
 
@@ -42,10 +43,9 @@ def included_headers(content: Column, pattern: str = INCLUDE_PATTERN) -> Column:
 def file_facts(files: DataFrame, badges: Mapping[str, str] = AUTOMATION_BADGES,
                max_badge_chars: int | None = None) -> DataFrame:
     """What is needed of each file (repo_id, repo_name, login, path, size, content), without its
-    content unless it is a package manifest. A narrow projection: unused columns are never computed.
-    """
+    content. A narrow projection: unused columns are never computed."""
     path, content = F.col("path"), F.col("content")
-    language = language_of(path)
+    language, manifest = language_of(path), is_manifest(path)
     return files.select(
         *REPO, "login", "path", "size", language.alias("language"),
         F.when(language.isNotNull(), F.coalesce(count_code_lines(content), F.lit(0)))
@@ -54,7 +54,10 @@ def file_facts(files: DataFrame, badges: Mapping[str, str] = AUTOMATION_BADGES,
         F.when(extension(path) == ".md", badge_tools(content, badges, max_badge_chars))
         .alias("badge_tools"),
         content.rlike(NODE_SHEBANG_PATTERN).alias("node_shebang"),
-        F.when(path.rlike(MANIFEST_PATTERN), content).alias("manifest"),
+        manifest.alias("is_manifest"),
+        F.when(manifest, manifest_url(content)).alias("manifest_url"),
+        F.when(manifest, dependency_names(content)).alias("dependencies"),
+        F.when(manifest, runs_node(content)).alias("runs_node"),
     )
 
 

@@ -2,10 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MANIFEST = (
-    "scripts MAP<STRING, STRING>, dependencies MAP<STRING, STRING>, "
-    "devDependencies MAP<STRING, STRING>"
-)
+from ..functions.fixed import MANIFEST_PATTERN
+
+DEPENDENCIES = "dependencies MAP<STRING, STRING>, devDependencies MAP<STRING, STRING>"
+SCRIPTS = "scripts MAP<STRING, STRING>"
 REPO = ("repo_id", "repo_name")
 
 
@@ -14,12 +14,37 @@ def folder(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def is_manifest(path: Column) -> Column:
+    return path.rlike(MANIFEST_PATTERN)
+
+
+def manifest_url(content: Column) -> Column:
+    """Address of the repository stated in a manifest."""
+    return F.get_json_object(content, "$.repository.url")
+
+
+def dependency_names(content: Column) -> Column:
+    """Names in both dependency lists of a manifest; scoped names are left out."""
+    parsed = F.from_json(content, DEPENDENCIES)
+    empty = F.array().cast("array<string>")
+    names = F.concat(
+        F.coalesce(F.map_keys(parsed.getField("dependencies")), empty),
+        F.coalesce(F.map_keys(parsed.getField("devDependencies")), empty),
+    )
+    return F.filter(names, lambda n: ~F.startswith(n, F.lit("@")))
+
+
+def runs_node(content: Column) -> Column:
+    """A script of the manifest starts Node.js."""
+    scripts = F.map_values(F.from_json(content, SCRIPTS).getField("scripts"))
+    return F.coalesce(F.exists(scripts, lambda s: F.startswith(s, F.lit("node "))), F.lit(False))
+
+
 def manifests(facts: DataFrame) -> DataFrame:
-    """Manifest files with their parsed content, folder and repository address."""
-    return facts.filter(F.col("manifest").isNotNull()).select(
+    """Manifest files with their folder, stated address and dependencies."""
+    return facts.filter("is_manifest").select(
         "repo_id", "repo_name", "login", "path", folder(F.col("path")).alias("dir"),
-        F.from_json("manifest", MANIFEST).alias("manifest"),
-        F.get_json_object("manifest", "$.repository.url").alias("url"),
+        F.col("manifest_url").alias("url"), "dependencies", "runs_node",
     )
 
 
@@ -80,27 +105,12 @@ def drop_vendored(files: DataFrame, vendored: DataFrame) -> DataFrame:
 
 
 def manifest_dependencies(manifest_rows: DataFrame) -> DataFrame:
-    """(repository, dependency) per entry of both dependency lists; scoped names are left out."""
-    empty = F.array().cast("array<string>")
-    names = F.concat(
-        F.coalesce(F.map_keys("manifest.dependencies"), empty),
-        F.coalesce(F.map_keys("manifest.devDependencies"), empty),
-    )
-    return manifest_rows.select(*REPO, F.explode(names).alias("dependency")).filter(
-        ~F.startswith("dependency", F.lit("@"))
-    )
-
-
-def runs_node(manifest: Column) -> Column:
-    """A script of the manifest starts Node.js."""
-    return F.coalesce(
-        F.exists(F.map_values(manifest.getField("scripts")), lambda s: F.startswith(s, F.lit("node "))),
-        F.lit(False),
-    )
+    """(repository, dependency) per entry of the dependency lists."""
+    return manifest_rows.select(*REPO, F.explode("dependencies").alias("dependency"))
 
 
 def uses_node(manifest_rows: DataFrame, shebang_repositories: DataFrame) -> DataFrame:
     """Distinct repositories that run Node.js, by a script or by a shebang line."""
-    scripts = manifest_rows.filter(runs_node(F.col("manifest"))).select(*REPO)
+    scripts = manifest_rows.filter("runs_node").select(*REPO)
     shebang = manifest_rows.select(*REPO).join(shebang_repositories, "repo_id", "left_semi")
     return scripts.unionByName(shebang).distinct()
