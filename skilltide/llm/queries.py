@@ -109,3 +109,84 @@ def vocabulary_path() -> str:
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from .bpe import digests
     return digests(read(spark, folder, "documents"), vocabulary_path())
+
+
+@query
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from .licenses import license_scan
+    return license_scan(read(spark, folder, "documents"))
+
+
+def _license_sql() -> str:
+    from .license_texts import TEMPLATES
+    from .licenses import THRESHOLD
+    quoted = [(i, *(x.replace("'", "''") for x in t)) for i, t in enumerate(TEMPLATES)]
+    values = ", ".join(f"({i}, '{name}', '{text}')" for i, name, text in quoted)
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {values}) v(template, license, x)),
+tg AS (SELECT DISTINCT template, license, w[i] || ' ' || w[i + 1] AS g
+  FROM (SELECT *, unnest(range(1, len(w))) AS i FROM (
+    SELECT template, license, list_filter(string_split_regex(lower(x), '[^\\p{{L}}\\p{{N}}]+'),
+      lambda y : y <> '') AS w FROM t))),
+ts AS (SELECT template, count(*) AS tn FROM tg GROUP BY 1),
+d AS (SELECT doc_id, coalesce(text, '') AS x,
+  regexp_replace(coalesce(text, ''), '(?im)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', '', 'g') AS y
+  FROM documents),
+u AS (SELECT DISTINCT doc_id, u FROM (
+  SELECT doc_id, unnest(string_split(x, chr(10))) AS u FROM d
+  UNION ALL SELECT doc_id, unnest(string_split_regex(y, '\\n[ \\t\\r]*\\n')) FROM d
+  UNION ALL SELECT doc_id, y FROM d)),
+un AS (SELECT doc_id, row_number() OVER () AS unit, list_filter(string_split_regex(lower(u),
+  '[^\\p{{L}}\\p{{N}}]+'), lambda y : y <> '') AS w FROM u),
+ug AS (SELECT DISTINCT doc_id, unit, w[i] || ' ' || w[i + 1] AS g
+  FROM (SELECT *, unnest(range(1, len(w))) AS i FROM un)),
+us AS (SELECT unit, count(*) AS n FROM ug GROUP BY 1),
+m AS (SELECT ug.doc_id, ug.unit, tg.template, tg.license,
+    CAST(2 * count(*) AS DOUBLE) / (any_value(n) + any_value(tn)) AS dice
+  FROM ug JOIN tg USING (g) JOIN us USING (unit) JOIN ts USING (template) GROUP BY 1, 2, 3, 4),
+best AS (SELECT doc_id, unit, license, dice, row_number() OVER (
+    PARTITION BY unit ORDER BY dice DESC, template) AS k FROM m WHERE dice >= {THRESHOLD}),
+r AS (SELECT doc_id, count(*) AS n, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license)
+  AS names FROM best WHERE k = 1 GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(names, '') AS licenses, dice AS best_dice
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+SQL["op1_license_scan"] = _license_sql()
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from .toxicity import grades_of_labels, toxicity
+    return toxicity(read(spark, folder, "documents"), grades_of_labels(read(spark, folder, "labels")))
+
+
+@query
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from .urls import judge_urls
+    return judge_urls(read(spark, folder, "pages"))
+
+
+@query
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from .pii import personal_data
+    return personal_data(read(spark, folder, "documents"))
+
+
+@query
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from .warc import archived
+    return archived(read(spark, folder, "pages"))
+
+
+SQL["op2_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> f THEN f END AS refers_to
+FROM g
+"""
