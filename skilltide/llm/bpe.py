@@ -23,6 +23,7 @@ from skilltide.storage import new_path
 
 from .files import write
 from .lexicon import Lexicon, build
+from .ship import ship
 
 LEXICON_WORDS = 1 << 15
 CACHE_WORDS = 1 << 18
@@ -201,6 +202,7 @@ def digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
 def _coded(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, lexicon_words: int,
            schema: str, make) -> DataFrame:
     spark = docs.sparkSession
+    ship(spark)
     with open(vocabulary_path, encoding="utf-8") as f:
         content = f.read()
     vocabulary = Vocabulary(content)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from skilltide.storage import settle
 
-from .rows import packed, same, text_key
+from .rows import filtered_joins, packed, same, text_key
 
 WINDOW = 10
 K = 5
@@ -92,8 +92,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def _judged(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str,
             item_text_col: str) -> DataFrame:
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).select(
-        "doc_id", text_key(F.col("_text")).alias("text_key"), words(F.col("_text")).alias("words"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"),
+                        text_key(F.col(text_col)).alias("text_key"))
+    keyed = texts.select("doc_id", "text_key", words(F.col("_text")).alias("words"))
     bench = items.select(F.col(item_col).alias("item_id"),
                          words(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
     key = ["doc_id", "text_key"]
@@ -108,9 +109,11 @@ def _judged(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_
         .join(item_places.select("h").distinct(), "h")
         .groupBy(*key).agg(F.collect_set("h").alias("wanted")), "bench-candidates")
 
-    candidates = grams.join(found.withColumnsRenamed({"doc_id": "f_id", "text_key": "f_key"}),
-                            grams["doc_id"].eqNullSafe(F.col("f_id"))
-                            & (grams["text_key"] == F.col("f_key")))
+    # the texts of candidates only move: Spark filters the others out before the shuffle
+    found = found.where(F.size("wanted") > 0).withColumnsRenamed({"doc_id": "f_id", "text_key": "f_key"})
+    candidates = with_grams(texts.join(
+        found, (texts["text_key"] == found["f_key"]) & texts["doc_id"].eqNullSafe(found["f_id"])).select(
+        *key, words(F.col("_text")).alias("words"), "wanted"))
     hits = _places(candidates, "wanted", *key).join(item_places, "h").select(
         *key, "item_id", "at", F.zip_with(
             "around", "item_words", lambda a, b: F.coalesce(a == b, F.lit(False))).alias("equal"))
@@ -135,11 +138,13 @@ def _judged(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_
 
     covered = F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["start"], s["end"]))))
-    per_doc = runs.groupBy(*key).agg(
-        F.collect_set(F.struct("start", "end")).alias("spans"),
-        F.collect_set(F.col("item_id").cast("string")).alias("items")).select(
-        F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"),
-        F.size(covered).cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
+    with filtered_joins(docs.sparkSession):
+        per_doc = settle(runs.groupBy(*key).agg(
+            F.collect_set(F.struct("start", "end")).alias("spans"),
+            F.collect_set(F.col("item_id").cast("string")).alias("items")).select(
+            F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"),
+            F.size(covered).cast("long").alias("n_hit"), F.array_sort("items").alias("items")),
+            "bench-hits")
     counted = keyed.select(*key, F.size("words").cast("long").alias("n_words"))
     listed = F.coalesce(F.array_join("items", ","), F.lit(""))
     return counted.join(per_doc, counted["doc_id"].eqNullSafe(per_doc["h_id"])
@@ -154,6 +159,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
                          text_col: str = "text") -> DataFrame:
     """The documents that share no window with an item, with all their columns."""
     found = _judged(docs, items, id_col, text_col, "item_id", "text").where("contaminated").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct().hint(
+        "merge")  # at scale they are never few
     rows = packed(docs, id_col, text_col).withColumn("_key", text_key(F.col("_text")))
     return rows.join(found, same(rows, found, "_id", "_key"), "left_anti").select("row.*")

@@ -23,7 +23,8 @@ from skilltide.storage import settle
 
 from .components import components
 from .exact import one_of_each
-from .rows import text_key
+from .rows import filtered_joins, text_key
+from .ship import ship
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -205,6 +206,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are linked like copies. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     bands = bands_for(threshold, rows, recall)
     source = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
@@ -237,8 +239,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "members")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"),
                         text_key(F.col(text_col)).alias("text_key"))
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["w_id"])
-                       & (texts["text_key"] == wanted["w_key"])).select(
+    wanted = wanted.where("weight > 0")
+    texts = texts.join(wanted, (texts["text_key"] == wanted["w_key"])
+                       & texts["doc_id"].eqNullSafe(wanted["w_id"])).select(
         "member", "weight", "buckets", word_hashes(F.col("_text")).alias("hashes")
     )
 
@@ -250,7 +253,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = texts.mapInPandas(
         to_sets, "member long, weight long, buckets array<long>, shingles array<long>")
     # identical rows (same id and text) give the same set twice
-    sets = settle(sets.dropDuplicates(["member"]), "sets")
+    with filtered_joins(spark):
+        sets = settle(sets.dropDuplicates(["member"]), "sets")
 
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = members.select("member", "bucket", blocks.alias("blocks")).withColumn(

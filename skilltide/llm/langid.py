@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ship import ship
+
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 500
@@ -138,6 +140,7 @@ def remainder(id_col: str) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = PER_LANGUAGE) -> Model:
     """Learn from the rows with a text and a language whose ``remainder`` is not 2."""
+    ship(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
                         F.col(lang_col).alias("_lang")).where(
         F.col("_text").isNotNull() & F.col("_lang").isNotNull() & (remainder("_id") != 2))

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ship import ship
 from .tagger import Tagger, classes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -233,6 +234,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           train_windows: int = TRAIN_WINDOWS) -> Tagger | None:
     """Learn from windows of the documents that come first by a hash; None without any example."""
 
+    ship(docs.sparkSession)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []

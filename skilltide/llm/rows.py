@@ -1,6 +1,9 @@
 """Keys for rows of tables whose ids may be null or repeated."""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,3 +23,23 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, _id, _text): extra columns, whatever their names, travel inside ``row``."""
     return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"),
                        F.col(text_col).alias("_text"))
+
+
+@contextmanager
+def filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Run queries with Spark's runtime Bloom filters for joins of any size.
+
+    A shuffled join that looks up some rows of a large table then moves about those rows only. The
+    filter has a fixed largest size; beyond it, it lets more rows pass, and the join stays exact. It
+    is made only for a side that is a stored table under a comparison.
+    """
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "10GB"}
+    before = {k: spark.conf.get(prefix + k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(prefix + k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(prefix + k, v)

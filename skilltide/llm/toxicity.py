@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ship import ship
+
 BUCKETS = 1 << 18
 STEMS = (4, 5)
 PER_GRADE = 2000
@@ -99,6 +101,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], weights: l
 def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           per_grade: int = PER_GRADE) -> Model:
     """Learn from ``graded`` (doc_id, grade 0, 1, ...) and the texts of those documents."""
+    ship(docs.sparkSession)
     known = graded.where("doc_id is not null and grade between 0 and " + str(MAX_GRADES - 1))
     sizes = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
     levels = max(sizes, default=0) + 1

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ship import ship
+
 # fixed values: (verdict, rule)
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/")]
@@ -110,6 +112,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
     with none everything is allowed. Repeated rows are judged alike; other columns are ignored.
     """
     spark = pages.sparkSession
+    ship(spark)
     lexicon = {r["word"]: r["n"] for r in word_counts(pages, html_col).where(
         F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
     words = spark.sparkContext.broadcast(lexicon)

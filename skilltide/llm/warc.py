@@ -27,6 +27,7 @@ from skilltide.storage import new_path, settle
 
 from .files import opened
 from .losertree import merge, natural_runs
+from .ship import ship
 
 REVISIT_BYTES = 100
 FILE_BYTES = 64 << 20
@@ -218,5 +219,6 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     responses. Null URLs have an empty key. An empty table gives an empty result, and other columns
     are ignored.
     """
+    ship(pages.sparkSession)
     address = new_path(pages.sparkSession, "warc")
     return read_archives(capture_index(pages, address, id_col, url_col, html_col), address)
