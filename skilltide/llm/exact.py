@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from skilltide.storage import settle
 
-from .rows import packed, same, text_key
+from .rows import filtered_joins, packed, same, text_key
+from .ship import ship
 
 SLACK_BITS = 10
 ROWS_PER_OWNER = 1 << 16
@@ -112,6 +113,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
     normal = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
     narrow = docs.select(F.col(id_col).alias("doc_id"), normal.alias("normal"),
                          text_key(F.col(text_col)).alias("text_key"))
@@ -133,15 +135,17 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                       "exact-doubtful")
 
     # byte verification: only these texts move, and equal ones are merged before the shuffle
-    texts = narrow.withColumn("h", F.xxhash64("normal"))
-    wanted = doubtful.select(F.col("doc_id").alias("d_id"), F.col("h").alias("d_h")).distinct()
+    texts = narrow.select("doc_id", "normal", F.xxhash64("normal").alias("h"))
+    wanted = doubtful.where("row >= 0").select(F.col("doc_id").alias("d_id"), F.col("h").alias("d_h"))
     verified = (
-        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d_id"]) & (texts["h"] == wanted["d_h"]),
+        texts.join(wanted, (texts["h"] == wanted["d_h"]) & texts["doc_id"].eqNullSafe(wanted["d_id"]),
                    "left_semi")
         .groupBy("normal").agg(F.count("*").alias("group_size"))
         .where("group_size > 1")
         .select(F.sha2("normal", 256).alias("text_sha256"), "group_size")
     )
+    with filtered_joins(docs.sparkSession):
+        verified = settle(verified, "exact-verified")
     keepers = doubtful.groupBy("text_sha256").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("keep"))
     groups = verified.join(keepers, "text_sha256").select(
@@ -164,7 +168,9 @@ def one_of_each(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str)
         F.count("*").alias("n"), F.max("kept").alias("kept")).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n", "kept")
     rows = packed(docs, id_col, text_col).withColumn("_key", text_key(F.col("_text")))
-    dropped, twice = keys.where("not kept"), keys.where("kept and n > 1")
+    # at scale there are never few of them, so no plan is made for a broadcast
+    dropped = keys.where("not kept").hint("merge")
+    twice = keys.where("kept and n > 1")
     stay = rows.join(dropped, same(rows, dropped, "_id", "_key"), "left_anti")
     single = stay.join(twice, same(stay, twice, "_id", "_key"), "left_anti")
     repeated = stay.join(twice, same(stay, twice, "_id", "_key"), "left_semi").groupBy(
