@@ -139,6 +139,8 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -
 def _verifier(threshold: float):
     def judge(rows: list) -> Iterator[tuple]:
         """rows: (member, weight, block, hashes of the set, buckets) of one pair of blocks."""
+        # rows that share id and text both come with the set of their class
+        rows = list({r[0]: r for r in rows}.values())
         part_a, part_b, bucket = rows[0][5], rows[0][6], rows[0][7]
         left = [r for r in rows if r[2] == part_a]
         right = left if part_a == part_b else [r for r in rows if r[2] == part_b]
@@ -230,7 +232,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("member"), 20)).alias("s1"),
         F.sum(F.shiftright(F.xxhash64("member", F.lit(1)), 20)).alias("s2"),
     ).where("m > 1").groupBy("m", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
-    members = settle(exploded.join(buckets, "bucket"), "buckets")
+    buckets = settle(buckets, "buckets").where("m > 1")
+    with filtered_joins(spark):
+        members = settle(exploded.join(buckets, "bucket"), "bucket-members")
     own = members.groupBy("member").agg(F.collect_set("bucket").alias("buckets"))
 
     # full sets of the members, from their texts
@@ -252,10 +256,6 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sets = texts.mapInPandas(
         to_sets, "member long, weight long, buckets array<long>, shingles array<long>")
-    # identical rows (same id and text) give the same set twice
-    with filtered_joins(spark):
-        sets = settle(sets.dropDuplicates(["member"]), "sets")
-
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = members.select("member", "bucket", blocks.alias("blocks")).withColumn(
         "block", F.pmod(F.xxhash64("member", F.lit(2)), F.col("blocks")).cast("int"))
@@ -265,8 +265,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.greatest("block", "other").alias("part_b"))
     tasks = spread.join(sets, "member").repartition("bucket", "part_a", "part_b").sortWithinPartitions(
         "bucket", "part_a", "part_b")
-    found = settle(tasks.mapInPandas(_verifier(threshold), "member long, links long, root long"),
-                   "verified")
+    with filtered_joins(spark):
+        found = settle(tasks.mapInPandas(_verifier(threshold), "member long, links long, root long"),
+                       "verified")
     links = found.groupBy("member").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("member").alias("u"), F.col("root").alias("v")))
 
