@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from skilltide.storage import new_path
 
 from .files import write
+from .frequent import most_frequent
 from .lexicon import Lexicon, build
 from .ship import ship
 
 LEXICON_WORDS = 1 << 15
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 LONG_WORD = 64  # words of more bytes are merged with a heap and not remembered
 # white space is spelled out, since engines differ on \s
 SPACE = r"\t-\r\x20\x85\xA0  -     　"
@@ -117,11 +118,10 @@ class _Words(dict):
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "replace")
-        ids = self.lexicon.get(raw) if self.lexicon else None
-        if ids is None:
-            ids = self.vocabulary.merge(raw)
+        found = self.lexicon.get(raw) if self.lexicon else None
+        ids = tuple(self.vocabulary.merge(raw) if found is None else found)
         if len(raw) <= LONG_WORD:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -154,10 +154,10 @@ class Coder:
 
 
 def frequent_words(docs: DataFrame, text_col: str, n: int) -> list[str]:
-    """The ``n`` most frequent runs of letters in all texts; ties go by the word."""
+    """The most frequent runs of letters in all texts, at most ``n``."""
     runs = F.explode(F.split(F.col(text_col), "[^\\p{L}]+")).alias("word")
-    counted = docs.select(runs).where("word <> ''").groupBy("word").count()
-    return [r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(n).collect()]
+    counted = docs.select(runs).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return sorted(most_frequent(counted, n))
 
 
 def send_lexicon(spark: SparkSession, words: list[str], vocabulary: Vocabulary) -> str:

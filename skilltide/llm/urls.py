@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frequent import most_frequent
 from .ship import ship
 
 # fixed values: (verdict, rule)
@@ -113,8 +114,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
     """
     spark = pages.sparkSession
     ship(spark)
-    lexicon = {r["word"]: r["n"] for r in word_counts(pages, html_col).where(
-        F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
+    lexicon = most_frequent(word_counts(pages, html_col).where(F.length("word") <= LONGEST), LEXICON)
     words = spark.sparkContext.broadcast(lexicon)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"),
