@@ -195,7 +195,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = np.flatnonzero(~calibrating)
     weights = ftrl([vectors[i] for i in chosen], labels[chosen], len(languages))
     held = np.flatnonzero(calibrating)
-    logits = np.array([vectors[i][1] @ weights[vectors[i][0]] for i in held]).reshape(len(held), -1)
+    logits = np.array([vectors[i][1] @ weights[vectors[i][0]] for i in held]).reshape(
+        len(held), len(languages))
     return Model(languages, empty.idf, weights, temperature(logits, labels[held]))
 
 

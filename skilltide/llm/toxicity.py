@@ -26,7 +26,8 @@ STEMS = (4, 5)
 PER_GRADE = 2000
 MAX_GRADES = 16
 EPOCHS = 6
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.01
+ALPHA, BETA, L2 = 2.0, 1.0, 0.01
+L1_PER_ROW = 0.001  # the penalty meets sums of gradients, which grow with the rows
 CACHE_WORDS = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -68,12 +69,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], weights: l
     below = np.clip(below, 1e-3, 1 - 1e-3)
     thresholds = np.maximum.accumulate(np.log(below / (1 - below)) + np.arange(levels - 1) * 1e-3)
     moved = np.ones(max(levels - 1, 0))
+    l1 = L1_PER_ROW * len(rows)
     order = np.random.default_rng(7)
 
     def current(at: np.ndarray) -> np.ndarray:
         zs = z[at]
-        w = (np.sign(zs) * L1 - zs) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        return np.where(np.abs(zs) <= L1, 0.0, w)
+        w = (np.sign(zs) * l1 - zs) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
+        return np.where(np.abs(zs) <= l1, 0.0, w)
 
     kept = [(at[seen[at] >= 3], x[seen[at] >= 3]) for at, x in rows]
     for _ in range(EPOCHS if levels > 1 else 0):
