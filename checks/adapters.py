@@ -13,7 +13,6 @@ from skilltide.operators.grade import dependencies_of
 from skilltide.plans.candidates import CandidateRules
 from skilltide.plans.grading import grade
 from skilltide.schemas import TABLES
-from skilltide.sources.tables import spread_small
 from skilltide.storage import settle
 
 # The warning catalog of the message adapter. w6 has two categories, w9 none.
@@ -47,7 +46,7 @@ class Data:
 
     @property
     def documents(self) -> DataFrame:
-        return spread_small(self.table("documents"))
+        return self.table("documents")
 
     def values(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
@@ -174,7 +173,7 @@ class Data:
     def page_rows(self) -> DataFrame:
         """One page per order. Open orders are found by the search; others appear below their
         owner; dear ones are pinned too."""
-        joined = spread_small(self.table("orders")).join(
+        joined = self.table("orders").join(
             self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         key = F.col("o_orderkey").cast("string")
         priority = F.substring("o_orderpriority", 1, 1)

@@ -85,7 +85,6 @@ SYNONYM_DELIMITERS = "-_."
 # Limits of the search page.
 SEARCH_PAGE_SIZE = 20
 MAX_SUGGESTIONS = 10
-MAX_LEXEMES = 1000
 
 # English stop words.
 STOP_WORDS = (

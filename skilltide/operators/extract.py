@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ids import archive_url, decode_owner_id
 from ..functions.text import empty_to_null
 from ..schemas import OWNED_REPOSITORY
-from .lists import collect_in_parts
+from .lists import sorted_lists
 
 OWNER = ("owner_id", "owner_login")
 REPOSITORY = (
@@ -114,9 +114,9 @@ def with_min_group(rows: DataFrame, min_rows: int, keys: Sequence[str] = OWNER)
 
 
 def group_users(repos: DataFrame) -> DataFrame:
-    """Display form (owner, part, repositories): one row per owner, more for very long lists."""
+    """Display form (owner, repositories): one row per owner. For the owners that are shown."""
     rest = [c for c in repos.columns if c not in OWNER]
-    return collect_in_parts(repos, OWNER, F.struct(*rest), "repositories")
+    return sorted_lists(repos, OWNER, F.struct(*rest), "repositories")
 
 
 def commit_ratios(weeks: DataFrame, keys: Sequence[str] = ("owner_login", "name")) -> DataFrame:

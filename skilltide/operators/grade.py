@@ -9,7 +9,7 @@ from ..functions.fixed import (
     TESTS_DIR_EXISTS, WARNING,
 )
 from ..functions.numbers import automation_penalty_value, category_value, clamp01
-from .lists import collect_in_parts
+from .lists import sorted_lists
 
 REPO = ("repo_id", "name")
 REPO_LANGUAGE = ("repo_id", "name", "language")
@@ -136,12 +136,11 @@ def grade_lists(grades: DataFrame) -> DataFrame:
 
 
 def technology_maps(dependencies: DataFrame) -> DataFrame:
-    """(repository, part, {language: [technologies]}), for display: one row per language, more for
-    very long lists. Large jobs should stay with the long table."""
-    lists = collect_in_parts(dependencies.distinct(), REPO_LANGUAGE, F.col("technology"),
-                             "technologies")
+    """(repository, {language: [technologies]}), for display: one row per language. Large jobs should
+    stay with the long table."""
+    lists = sorted_lists(dependencies.distinct(), REPO_LANGUAGE, F.col("technology"), "technologies")
     return lists.select(
-        *REPO, "part", F.create_map("language", "technologies").alias("language_to_technologies"))
+        *REPO, F.create_map("language", "technologies").alias("language_to_technologies"))
 
 
 def merge_maps(maps: DataFrame, keys: Sequence[str], map_col: str) -> DataFrame:
@@ -152,7 +151,7 @@ def merge_maps(maps: DataFrame, keys: Sequence[str], map_col: str) -> DataFrame:
 
 
 def collect_map(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, part, key, values): display form of ``merge_maps``, one row per key of each map and
-    more for very long lists. Values are sorted; an empty list stays."""
-    lists = collect_in_parts(long, [*keys, "key"], F.col("value"), "values")
+    """(keys, key, values): display form of ``merge_maps``, one row per key of each map. Values are
+    sorted; an empty list stays."""
+    lists = sorted_lists(long, [*keys, "key"], F.col("value"), "values")
     return lists.withColumn("values", F.array_compact("values"))

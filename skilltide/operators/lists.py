@@ -1,26 +1,15 @@
-"""Lists per group for display, never longer than one task can hold."""
+"""Lists per group, for what is shown."""
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_LIST = 10_000
 
+def sorted_lists(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+    """(keys, list): one row per group with all its values, sorted; repeats stay.
 
-def collect_in_parts(df: DataFrame, keys: Sequence[str], value: Column, name: str,
-                     max_list: int = MAX_LIST) -> DataFrame:
-    """(keys, part, list): the sorted values of each group.
-
-    A group of more than ``max_list`` rows is spread by hash over several rows with the parts 0, 1,
-    ..., so a group that holds a third of all rows is not gathered in one place. All other groups
-    are one row with part 0.
+    Every group becomes one value, whatever its size. Cut ``df`` down to the groups that are shown
+    first, and stay with the long table for everything else.
     """
-    rows = df.select(*keys, value.alias("_value"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > max_list).select(
-        *keys, F.ceil(F.col("_n") / max_list).alias("_parts"))
-    parts = F.pmod(F.xxhash64("_value"), F.coalesce("_parts", F.lit(1).cast("long")))
-    return (
-        rows.join(large, list(keys), "left").withColumn("part", parts)
-        .groupBy(*keys, "part").agg(F.array_sort(F.collect_list("_value")).alias(name))
-    )
+    return df.select(*keys, value.alias("_value")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("_value")).alias(name))

@@ -56,9 +56,13 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Seq
 
 
 def upsert_flag_or(target: DataFrame, batch: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
-    """A flag that only ever goes from false to true."""
-    both = target.select(*keys, flag).unionByName(batch.select(*keys, flag))
-    return both.groupBy(*keys).agg(F.bool_or(flag).alias(flag))
+    """A flag that only ever goes from false to true; other stored columns stay."""
+    raised = batch.groupBy(*keys).agg(F.bool_or(flag).alias("_flag"))
+    updated = target.join(raised, list(keys), "left").select(*[
+        (F.coalesce(flag, F.lit(False)) | F.coalesce("_flag", F.lit(False))).alias(flag)
+        if c == flag else F.col(c) for c in target.columns])
+    fresh = _unknown_rows(target, raised.withColumnRenamed("_flag", flag), keys)
+    return updated.unionByName(fresh, allowMissingColumns=True)
 
 
 def delete_where(target: DataFrame, condition: Column) -> DataFrame:

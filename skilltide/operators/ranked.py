@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import settle
 
-# Spark keeps only the first n rows per group in each map task for literal limits up to
-# spark.sql.optimizer.windowGroupLimitThreshold (1000), before anything is shuffled.
-NATIVE_LIMIT = 1000
-
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank",
                       partitions: int | None = None) -> DataFrame:
@@ -47,7 +43,8 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     first cut by (group, salt) spreads a hot group over ``salts`` tasks; a row beyond the first n
     of its part cannot be among the first n of the whole, so the result is exact.
     """
-    if isinstance(n, int) and n <= NATIVE_LIMIT:
+    native = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if isinstance(n, int) and n <= native:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))

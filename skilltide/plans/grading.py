@@ -24,8 +24,7 @@ def grade(messages: DataFrame, catalog: DataFrame,
 
 
 def graded_with_technologies(grades: DataFrame, messages: DataFrame) -> DataFrame:
-    """Display form: one row per repository and language with dependencies (more for very long
-    lists), with the list of grades and the technologies of that language. Repositories without
+    """Display form: one row per repository and language with dependencies, with the list of grades and the technologies of that language. Repositories without
     dependencies drop out."""
     maps = g.technology_maps(g.dependencies_of(messages))
     return g.grade_lists(grades).join(maps, ["repo_id", "name"])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.fixed import MAX_LEXEMES, MAX_SUGGESTIONS, SEARCH_PAGE_SIZE
+from ..functions.fixed import MAX_SUGGESTIONS, SEARCH_PAGE_SIZE
 from ..operators import search as s, suggest as sg, tokens as t
 from ..operators.locations import resolve_location
 from ..operators.rank import verified_technologies
@@ -27,7 +27,7 @@ def stored_names(tables: Tables) -> DataFrame:
 
 
 def tokenize(queries: DataFrame, tables: Tables, gazetteer: DataFrame,
-             max_lexemes: int | None = MAX_LEXEMES, escape: bool = False) -> DataFrame:
+             max_lexemes: int | None = None, escape: bool = False) -> DataFrame:
     """(query_id, token_type, lexeme): stop words, stored names, and the place that the remaining
     words name."""
     lexemes = settle(t.query_lexemes(queries, max_lexemes), "lexemes")
@@ -45,7 +45,7 @@ def tokenize(queries: DataFrame, tables: Tables, gazetteer: DataFrame,
     )
 
 
-def search_tokens(queries: DataFrame, tables: Tables, max_lexemes: int | None = MAX_LEXEMES,
+def search_tokens(queries: DataFrame, tables: Tables, max_lexemes: int | None = None,
                   escape: bool = False) -> DataFrame:
     """The tokens a search uses: languages, technologies and logins."""
     return t.named_tokens(t.query_lexemes(queries, max_lexemes), stored_names(tables), escape)
@@ -60,7 +60,7 @@ def search_index(tables: Tables, ranks: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, ranks: DataFrame, index: DataFrame, tables: Tables,
-           page_size: int = SEARCH_PAGE_SIZE, max_lexemes: int | None = MAX_LEXEMES,
+           page_size: int = SEARCH_PAGE_SIZE, max_lexemes: int | None = None,
            escape: bool = False) -> DataFrame:
     """(query_id, position, user_id, login_match, rank) for queries (query_id, text, page).
 
@@ -83,7 +83,7 @@ def search_documents(results: DataFrame, ranks: DataFrame, tables: Tables) -> Da
 
 
 def suggest(queries: DataFrame, tables: Tables, limit: int = MAX_SUGGESTIONS,
-            max_lexemes: int | None = MAX_LEXEMES, escape: bool = False) -> DataFrame:
+            max_lexemes: int | None = None, escape: bool = False) -> DataFrame:
     """(query_id, pos, suggestion) for queries (query_id, text)."""
     asked = sg.split_queries(queries, max_lexemes)
     return sg.suggestions(asked, tables["technologies"], tables["languages"], tables["cities"],

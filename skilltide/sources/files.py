@@ -9,13 +9,16 @@ def read_repo_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .select("path", F.col("length").alias("size"), "content")
     )
-    marker = root.rstrip("/").split("/")[-1] + "/"
-    parts = F.split(F.substring_index(F.col("path"), marker, -1), "/")
+    # only the prefix of the root is cut, at its full length: trees may hold folders of its name
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    prefix = system.makeQualified(path).toString().rstrip("/") + "/"
+    parts = F.split(F.substring("path", F.lit(len(prefix) + 1), F.length("path")), "/")
     return raw.select(
-        parts[0].alias("repo_id"),
-        parts[2].alias("repo_name"),
-        parts[1].alias("login"),
-        F.concat(F.lit("./"), F.array_join(F.slice(parts, 4, 1 << 20), "/")).alias("path"),
+        F.get(parts, 0).alias("repo_id"),
+        F.get(parts, 2).alias("repo_name"),
+        F.get(parts, 1).alias("login"),
+        F.concat(F.lit("./"), F.array_join(F.slice(parts, 4, F.size(parts)), "/")).alias("path"),
         "size",
         F.expr("CASE WHEN is_valid_utf8(content) THEN CAST(content AS STRING) END").alias("content"),
     )

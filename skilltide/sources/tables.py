@@ -24,15 +24,6 @@ def read_query(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None
     return spark.sql(sql, **(views or {}))
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores, before costly work on each row.
-
-    A table of many files or row groups is returned as it is: nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def warning_catalog(warnings: DataFrame, categories: DataFrame, languages: DataFrame) -> DataFrame:
     """(warning, language, grade_category) from the star of three keyed tables."""
     return (

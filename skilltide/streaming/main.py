@@ -27,7 +27,8 @@ def parse(arguments: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--interval", default="5 seconds", help="time between batches")
     parser.add_argument("--once", action="store_true", help="handle what is there and stop")
     parser.add_argument("--max-files", type=int, help="page files per batch")
-    parser.add_argument("--max-repository-kib", type=int, default=2048)
+    parser.add_argument("--max-repository-kib", type=int,
+                        help="leave out repositories of more unpacked KiB (default: none)")
     parser.add_argument("--languages", default=",".join(defaults.languages))
     parser.add_argument("--min-age-days", type=int, default=defaults.min_age_days)
     parser.add_argument("--min-repositories", type=int, default=defaults.min_repositories)
@@ -47,7 +48,9 @@ def start(spark: SparkSession, options: argparse.Namespace) -> StreamingQuery:
             options.reanalyse_after_days, tuple(options.languages.split(","))),
         profiles=table("profiles"), weeks=table("weeks"), catalog=table("warnings"),
         gazetteer=table("gazetteer"),
-        analyse=analyse_with(table("files"), table("findings"), options.max_repository_kib * 1024),
+        analyse=analyse_with(
+            table("files"), table("findings"),
+            options.max_repository_kib * 1024 if options.max_repository_kib else None),
     )
     pages = read_pages(spark, options.pages, options.max_files)
     return run_stream(pages, job, options.checkpoint, None if options.once else options.interval)

@@ -136,6 +136,11 @@ def test_read_repo_files(spark, tmp_path):
     files = sf.read_repo_files(spark, str(tmp_path / "trees"))
     assert rows_of(files) == [("r1", "proj", "me", "./src/a.c", 7, "int x;\n"),
                               ("r1", "proj", "me", "./src/b.bin", 2, None)]
+    inner = folder / "trees" / "x"
+    inner.mkdir(parents=True)
+    (inner / "c.c").write_text("c")
+    assert ("r1", "proj", "me", "./src/trees/x/c.c", 1, "c") in rows_of(
+        sf.read_repo_files(spark, str(tmp_path / "trees")))
 
 
 def test_dispatch(table):

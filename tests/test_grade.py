@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from skilltide.functions.fixed import GRADE_CATEGORIES
 from skilltide.operators import grade as g
-from skilltide.operators.lists import collect_in_parts
+from skilltide.operators.lists import sorted_lists
 from skilltide.plans.grading import grade, graded_with_technologies
 from skilltide.schemas import MESSAGE
 from skilltide.sources.records import format_worklist, parse_records
@@ -116,12 +116,10 @@ def test_merge_maps(table):
         "k1": ["v1", "v2", "v3"], "k2": ["v3", "v4"], "k3": []}
 
 
-def test_long_lists_are_split(table):
-    rows = [(1, i) for i in range(25)] + [(2, 7)]
-    parts = collect_in_parts(table("k int, v int", *rows), ["k"], F.col("v"), "vs", max_list=10)
-    got = parts.collect()
-    assert sorted(v for r in got if r.k == 1 for v in r.vs) == list(range(25))
-    assert len([r for r in got if r.k == 1]) == 3 and [r.vs for r in got if r.k == 2] == [[7]]
+def test_lists_have_one_row_per_group_of_any_size(table):
+    rows = [(1, i % 20_000) for i in range(20_050)] + [(2, 7)]
+    got = {r.k: r.vs for r in sorted_lists(table("k int, v int", *rows), ["k"], F.col("v"), "vs").collect()}
+    assert got == {1: sorted(v for k, v in rows if k == 1), 2: [7]}
 
 
 def test_records(table):
