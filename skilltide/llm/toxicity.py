@@ -26,7 +26,8 @@ STEMS = (4, 5)
 PER_GRADE = 2000
 MAX_GRADES = 16
 EPOCHS = 6
-ALPHA, BETA, L2 = 2.0, 1.0, 0.01
+LEAST_STEPS = 20_000  # few rows are gone through more often
+ALPHA, BETA, L2 = 0.3, 1.0, 0.01
 L1_PER_ROW = 0.001  # the penalty meets sums of gradients, which grow with the rows
 CACHE_WORDS = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
@@ -78,7 +79,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], weights: l
         return np.where(np.abs(zs) <= l1, 0.0, w)
 
     kept = [(at[seen[at] >= 3], x[seen[at] >= 3]) for at, x in rows]
-    for _ in range(EPOCHS if levels > 1 else 0):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(len(rows), 1)))
+    for _ in range(epochs if levels > 1 and rows else 0):
         for i in order.permutation(len(kept)):
             at, x = kept[i]
             w = current(at)
