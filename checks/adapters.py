@@ -30,6 +30,11 @@ RULES = CandidateRules(
 )
 AS_OF = "2001-06-01"
 
+# How document texts get comments, and strings that look like them.
+COMMENT_MARKS = [
+    ("\n#include <E", "\n// #include <E"), ("\n#include <D", "\n/*/ #include <D"), ("\nA", "\n// A"),
+    (", a", " // a"), (", d", ' "// d" '), (", e", " /* e"), ("e. ", "e */ ")]
+
 
 def b64(text: Column) -> Column:
     """Base64 in one line."""
@@ -295,7 +300,7 @@ class Data:
     @property
     def files(self) -> DataFrame:
         """Documents as source files, one repository per source and language. Words at the start of
-        a line become includes."""
+        a line become includes, some of them commented out; some commas open comments or strings."""
         kind = (
             F.when(F.col("lang") == "en", F.when(F.col("n_chars") < 500, "tests/t%s.js")
                    .otherwise("src/f%s.js"))
@@ -303,6 +308,8 @@ class Data:
             .otherwise("docs/README%s.md"))
         content = F.regexp_replace(
             "text", r"(^|\n)([A-Za-z]+) ", "$1#include <$2.h> ")
+        for plain, marked in COMMENT_MARKS:
+            content = F.replace(content, F.lit(plain), F.lit(marked))
         return self.documents.select(
             F.concat_ws("-", "source", "lang").alias("repo_id"),
             F.concat(F.lit("project-"), F.col("source")).alias("repo_name"),

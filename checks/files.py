@@ -6,11 +6,16 @@ from skilltide.operators import files as f, manifests as m
 from skilltide.plans.analysing import analyze_files as analyse
 from skilltide.sources import files as sf, lint
 
-from .adapters import Data
+from .adapters import COMMENT_MARKS, Data
 from .registry import query
 
-FILES = """
-files AS (
+CONTENT = r"regexp_replace(text, '(^|\n)([A-Za-z]+) ', '\1#include <\2.h> ', 'g')"
+for _plain, _marked in COMMENT_MARKS:
+    CONTENT = f"replace({CONTENT}, '{_plain}', '{_marked}')"
+CODE = r"""regexp_replace(content, '(\\[\s\S]|"(?:\\[\s\S]|[^"\\\r\n])*"|''(?:\\[\s\S]|[^''\\\r\n])*'''
+    || '|`(?:\\[\s\S]|[^`\\])*`)|//[^\r\n]*|/\*(?s:.*?)(?:\*/|\z)', '\1', 'g')"""
+FILES = f"""
+files AS (SELECT *, {CODE} AS code FROM (
   SELECT doc_id, source || '-' || lang AS repo_id, 'project-' || source AS repo_name, lang,
     CASE lang WHEN 'en' THEN CASE WHEN n_chars < 500 THEN './tests/t' || doc_id || '.js'
         ELSE './src/f' || doc_id || '.js' END
@@ -18,16 +23,17 @@ files AS (
       ELSE './docs/README' || doc_id || '.md' END AS path,
     CASE lang WHEN 'en' THEN 'JavaScript' WHEN 'fr' THEN 'C++' WHEN 'de' THEN 'C' END AS language,
     n_chars AS size,
-    regexp_replace(text, '(^|\\n)([A-Za-z]+) ', '\\1#include <\\2.h> ', 'g') AS content
-  FROM documents)"""
+    {CONTENT} AS content
+  FROM documents))"""
 INCLUDES = FILES + """,
 includes AS (
-  SELECT DISTINCT repo_id, repo_name, language,
-    unnest(regexp_extract_all(content, '#include <([a-zA-Z0-9/._-]*)>', 1)) AS header
-  FROM files WHERE language IN ('C', 'C++'))"""
+  SELECT DISTINCT repo_id, repo_name, language, regexp_extract(line, '#include <([a-zA-Z0-9/._-]*)>', 1) AS header
+  FROM (SELECT *, unnest(string_split_regex(code, '\\n|\\r')) AS line FROM files
+    WHERE language IN ('C', 'C++'))
+  WHERE regexp_matches(line, '#include <[a-zA-Z0-9/._-]*>'))"""
 LINES = """
 lines AS (
-  SELECT repo_id, repo_name, language, CAST(sum(len(list_filter(string_split_regex(content, '\\n|\\r'),
+  SELECT repo_id, repo_name, language, CAST(sum(len(list_filter(string_split_regex(code, '\\n|\\r'),
     lambda l: NOT regexp_matches(l, '^\\s*$')))) AS BIGINT) AS lines_of_code
   FROM files WHERE language IS NOT NULL GROUP BY ALL)"""
 

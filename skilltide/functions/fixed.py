@@ -64,6 +64,11 @@ VALID_PATH_PATTERN = r"^[a-zA-Z0-9/._-]*$"
 INVALID_EXTENSION_PATTERN = r"(?i)\.(exe|obj|o|so|dll)$"
 TESTS_DIR_PATTERN = r"/[Tt]ests?/"
 INCLUDE_PATTERN = r"#include[^\S\r\n]*<([a-zA-Z0-9/._-]*)>[^\r\n]*"
+# Comments of C, C++ and JavaScript; group 1 is what looks like one and stays: escapes and literals.
+# Possessive, so that a long text neither backtracks nor recurses.
+COMMENT_PATTERN = (
+    r"""(\\[\s\S]|"[^"\\\r\n]*+(?:\\[\s\S][^"\\\r\n]*+)*+"|'[^'\\\r\n]*+(?:\\[\s\S][^'\\\r\n]*+)*+'"""
+    r"""|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`)|//[^\r\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z)""")
 NODE_SHEBANG_PATTERN = r"(?m)^#!/usr/bin/(env |)node"
 MANIFEST_PATTERN = r"(^|/)(package|bower)\.json$"
 NOISE_FILE_PATTERN = r"(^|/)(\.eslint[^/]*|yarn\.lock|[^/]*\.min\.js|package-lock\.json|\.gitignore)$"

@@ -10,8 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import (
-    AUTOMATION_BADGES, AUTOMATION_FILES, BINARY_FILE_PATTERN, HEADER_LIBRARIES, HEADER_PREFIXES,
-    INCLUDE_PATTERN, INVALID_EXTENSION_PATTERN, LANGUAGE_ANALYZERS, MIN_TOOL_FILE_BYTES,
+    AUTOMATION_BADGES, AUTOMATION_FILES, BINARY_FILE_PATTERN, COMMENT_PATTERN, HEADER_LIBRARIES,
+    HEADER_PREFIXES, INCLUDE_PATTERN, INVALID_EXTENSION_PATTERN, LANGUAGE_ANALYZERS, MIN_TOOL_FILE_BYTES,
     NODE_SHEBANG_PATTERN, NOISE_FILE_PATTERN, TESTS_DIR_PATTERN, VALID_PATH_PATTERN,
     VENDOR_DIR_PATTERN,
 )
@@ -21,6 +21,16 @@ from .manifests import dependency_names, is_manifest, manifest_url, runs_node
 REPO = ("repo_id", "repo_name")
 
 
+def without_comments(content: Column) -> Column:
+    """A source without ``//`` and ``/* */`` comments, line ends inside the latter included.
+
+    Comment marks in string literals stay; an unclosed ``/*`` runs to the end. Regular expression
+    literals and raw strings are not recognised, so a mark or an unpaired quote in one of them counts.
+    """
+    marked = F.contains(content, F.lit("//")) | F.contains(content, F.lit("/*"))
+    return F.when(marked, F.regexp_replace(content, COMMENT_PATTERN, "$1")).otherwise(content)
+
+
 def count_code_lines(content: Column) -> Column:
     """Lines with a visible character; matched in place, no list of lines is built."""
     return F.regexp_count(content, F.lit(r"\S[^\r\n]*")).cast("long")
@@ -45,12 +55,12 @@ def file_facts(files: DataFrame, badges: Mapping[str, str] = AUTOMATION_BADGES,
     """What is needed of each file (repo_id, repo_name, login, path, size, content), without its
     content. A narrow projection: unused columns are never computed."""
     path, content = F.col("path"), F.col("content")
-    language, manifest = language_of(path), is_manifest(path)
+    language, manifest, code = language_of(path), is_manifest(path), without_comments(content)
     return files.select(
         *REPO, "login", "path", "size", language.alias("language"),
-        F.when(language.isNotNull(), F.coalesce(count_code_lines(content), F.lit(0)))
+        F.when(language.isNotNull(), F.coalesce(count_code_lines(code), F.lit(0)))
         .alias("code_lines"),
-        F.when(language.isin("C", "C++"), included_headers(content)).alias("headers"),
+        F.when(language.isin("C", "C++"), included_headers(code)).alias("headers"),
         F.when(extension(path) == ".md", badge_tools(content, badges, max_badge_chars))
         .alias("badge_tools"),
         content.rlike(NODE_SHEBANG_PATTERN).alias("node_shebang"),

@@ -24,6 +24,29 @@ def test_lines(tree):
         ("C", 3), ("C++", 0), ("JavaScript", 1)]
 
 
+@pytest.mark.parametrize("content, lines", [
+    ("/* a\n b */\nint x; // y\n// only", 1),
+    ('s = "// no";\nt = "/*";\nu;', 3),
+    ("s = '\\'/*';\nt;\n/* */", 2),
+    ("`/*\n*/`\n//", 2),
+    ("a;\n/* open\nb;\n", 1),
+    ("/*/ still\nb */ c;", 1),
+    ("don't // stop\n/**/\n/***/ x /* **/", 2),
+    ('"unpaired /*\nhidden */ y\nz', 2),
+    ("/* x */" * 50_000 + "\ny", 1),
+    ('"' + '\\"' * 200_000 + "\n// z\ny", 2),
+    ("/" + "*" * 300_000, 0),
+])
+def test_comments(tree, content, lines):
+    files = tree(("./a.c", content))
+    assert rows_of(f.lines_of_code(f.file_facts(files)).select("lines_of_code")) == [(lines,)]
+
+
+def test_commented_includes(tree):
+    files = tree(("./a.c", "// #include <a.h>\n/* x\n#include <b.h>\n*/ #include <c.h>\n#include <d.h> // e"))
+    assert rows_of(f.includes(f.file_facts(files)).select("header")) == [("c.h",), ("d.h",)]
+
+
 def test_includes(tree, spark):
     files = tree(("./a.c", "#include <stdio.h> #include <time.h>\n #include\t<my/x.h>\n#include\n<no.h>"),
                  ("./b.cpp", "#include<vector>\n#include <boost/any.hpp>\n#include <QtCore/QList>"),
