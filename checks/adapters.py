@@ -6,7 +6,7 @@ Every table is derived by Spark from whole driver tables; the rules are restated
 from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from skilltide.operators.extract import attach_profiles, contacts_of
 from skilltide.operators.grade import dependencies_of
@@ -320,9 +320,10 @@ class Data:
 
     @property
     def package_files(self) -> DataFrame:
-        """Lines as package manifests and scripts, one repository per order."""
+        """Lines as package manifests and scripts, one repository per order; lines that repeat a number
+        are in further repositories."""
         number = F.col("l_linenumber")
-        key = F.col("l_orderkey").cast("string")
+        key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("copy").cast("string"))
         is_manifest = F.col("l_quantity") < 40
         place = (
             F.when(number == 1, "./").when(number == 2, "./app/")
@@ -347,8 +348,8 @@ class Data:
         script = F.when(flag == "R", "#!/usr/bin/env node\nrun();\n").otherwise("run();\n")
         row = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag",
                "l_linestatus"]
-        lines = self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-            F.min(F.struct(*row)).alias("row")).select("l_orderkey", "l_linenumber", "row.*")
+        lines = self.table("lineitem").withColumn("copy", F.row_number().over(
+            Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*row)))
         return lines.select(
             key.alias("repo_id"), F.concat(F.lit("repo-"), key).alias("repo_name"),
             F.lit("owner").alias("login"), F.concat(place, name).alias("path"),

@@ -192,15 +192,14 @@ def lint_json_flatten(d: Data) -> DataFrame:
 
 PACKAGES = """
 packages AS (
-  SELECT l_orderkey, CAST(l_orderkey AS VARCHAR) AS repo_id, 'repo-' || l_orderkey AS repo_name,
+  SELECT l_orderkey || '-' || rn AS repo_id, 'repo-' || repo_id AS repo_name,
     l_partkey, l_suppkey, l_returnflag AS flag, l_tax,
     CASE l_linenumber WHEN 1 THEN '.' WHEN 2 THEN './app' ELSE './vendor/p' || l_linenumber END AS dir,
     dir || '/' || CASE WHEN l_quantity >= 40 THEN 'index.js' WHEN l_linestatus = 'F'
       THEN 'package.json' ELSE 'bower.json' END AS path,
     l_quantity < 40 AS is_manifest
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey,
-    l_suppkey, l_quantity, l_extendedprice, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem)
-  WHERE rn = 1),
+    l_suppkey, l_quantity, l_extendedprice, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem)),
 manifests AS (SELECT * FROM packages WHERE is_manifest),
 tops AS (
   SELECT repo_id, dir FROM (SELECT *, row_number() OVER (
@@ -302,8 +301,7 @@ UNION ALL SELECT repo_id, repo_name, 'JavaScript', 'lines_of_code', coalesce(n,
 FROM good LEFT JOIN scripts USING (repo_id)""")
 def assemble_messages(d: Data) -> DataFrame:
     files = d.package_files
-    repositories = d.table("lineitem").select(
-        F.col("l_orderkey").cast("string").alias("repo_id"),
-        F.array(F.lit("JavaScript")).alias("languages")).distinct()
+    repositories = files.select("repo_id").distinct().withColumn(
+        "languages", F.array(F.lit("JavaScript")))
     findings = d.values([], "repo_id string, language string, rule string")
     return analyse(files, repositories, findings)
