@@ -1,5 +1,36 @@
-"""Licence templates: (licence, text). Notices, headers and whole short licences."""
+"""Licence templates: (licence, text). Notices, headers and the licences themselves.
 
+The full texts are in ``license_files``. That of AGPL-3.0 was put together from GPL-3.0 and the passages in
+which they differ, and not compared with the published file. The Creative Commons licences other than CC0
+have notices only.
+"""
+
+import pkgutil
+import re
+
+FULL = ("BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "Unlicense", "Apache-2.0", "MPL-2.0", "GPL-2.0",
+        "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0")
+
+
+def full_text(name: str) -> str:
+    """The licence without its copyright lines, which no text is compared with."""
+    text = pkgutil.get_data(__package__, f"license_files/{name}.txt").decode()
+    return re.sub(r"(?im)^[ \t]*(copyright|\(c\)|©)[^\n]*", "", text)
+
+
+def gnu_notice(name: str, version: str, work: str, mark: str) -> list[str]:
+    """The notice that the licence asks for: its first paragraph, and all three."""
+    first = f"""This {work} is free software{mark[0]} you can redistribute it and/or modify it under the terms
+of the GNU {name} as published by the Free Software Foundation{mark[1]} either version {version} of the
+License, or (at your option) any later version."""
+    rest = f"""This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more
+details. You should have received a copy of the GNU {name} along with this {work}. If not, see
+https://www.gnu.org/licenses/."""
+    return [first, first + "\n" + rest]
+
+
+LESSER, AFFERO = "Lesser General Public License", "Affero General Public License"
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -76,3 +107,14 @@ neighboring rights to this work."""),
     ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event
 will the authors be held liable for any damages arising from the use of this software."""),
 ]
+TEMPLATES += [
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the
+terms of the GNU General Public License version 2 as published by the Free Software Foundation."""),
+]
+TEMPLATES += [(spdx, text) for spdx, name, version, mark in (
+    ("GPL-2.0", "General Public License", "2", ";;"), ("GPL-3.0", "General Public License", "3", ":,"),
+    ("LGPL-2.0", "Library General Public License", "2", ";;"), ("LGPL-2.1", LESSER, "2.1", ";;"),
+    ("LGPL-3.0", LESSER, "3", ":,"), ("AGPL-3.0", AFFERO, "3", ":,"))
+    for work in ("program", "library") for text in gnu_notice(name, version, work, mark)]
+TEMPLATES += [(name, full_text(name)) for name in FULL]

@@ -3,15 +3,18 @@
 Compared are the lines, the paragraphs and the whole of every text, lower-cased, without punctuation
 and, for more than a line, without copyright lines. Two sets of a and b bigrams can reach a coefficient
 t only if a * t / (2 - t) <= b <= a * (2 - t) / t; these bounds drop units that fit no template and prune
-the templates of the rest. Common bigrams are counted by an equality join with the bigrams of the
-templates, which are a fixed list.
+the templates of the rest. A unit then has at least b * t / (2 - t) of a template's b bigrams, and so has the
+text it is part of: whole texts with fewer go first. Common bigrams are counted by equality joins with
+the bigrams of the templates, which are a fixed list.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skilltide.storage import settle
+
 from .license_texts import TEMPLATES
-from .rows import same, text_key
+from .rows import filtered_joins, same, text_key
 
 THRESHOLD = 0.85
 COPYRIGHT_LINES = "(?idm)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*"
@@ -27,6 +30,33 @@ def _bigrams(text: Column) -> Column:
         lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))))
 
 
+def _template_grams(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    """(template, license, t_size, gram)"""
+    table = spark.createDataFrame(
+        [(i, name, text) for i, (name, text) in enumerate(templates)],
+        "template int, license string, template_text string")
+    table = table.withColumn("grams", F.array_compact(_bigrams(F.col("template_text"))))
+    return table.select("template", "license", F.size("grams").alias("t_size"),
+                        F.explode("grams").alias("gram"))
+
+
+def _possible(docs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, text_key, template) of the texts that have enough of a template's bigrams for a unit in
+    them to reach the threshold, wherever it begins and ends. ``docs`` are (doc_id, text_key, text)."""
+    whole = F.coalesce("text", F.lit(""))
+    free = F.regexp_replace(whole, COPYRIGHT_LINES, "")
+    # paragraphs have bigrams of their own where a copyright line went
+    grams = F.array_compact(F.when(free == whole, _bigrams(whole)).otherwise(
+        F.array_union(_bigrams(whole), _bigrams(free))))
+    least = F.col("t_size") * (threshold / (2 - threshold))
+    held = docs.select("doc_id", "text_key", grams.alias("grams")).select(
+        "doc_id", "text_key", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    # the sum over rows that share id and text is no less than over one of them
+    return (held.join(F.broadcast(table), "gram").where(F.col("size") >= least)
+            .groupBy("doc_id", "text_key", "template", "t_size").agg(F.count("*").alias("common"))
+            .where(F.col("common") >= least).select("doc_id", "text_key", "template"))
+
+
 def _units(text: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
     free = F.regexp_replace(whole, COPYRIGHT_LINES, "")
@@ -39,18 +69,18 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
                     threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_key, unit, license, dice): the best template of every unit that reaches the
     threshold; of equal coefficients, the first template. A text's repeated units count once."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame(
-        [(i, name, text) for i, (name, text) in enumerate(templates)],
-        "template int, license string, template_text string")
-    table = table.withColumn("grams", F.array_compact(_bigrams(F.col("template_text"))))
-    table = table.select("template", "license", F.size("grams").alias("t_size"),
-                         F.explode("grams").alias("gram"))
+    table = _template_grams(docs.sparkSession, templates)
     sizes = table.agg(F.min("t_size"), F.max("t_size")).first()
     key = ["doc_id", "text_key"]
-    units = docs.select(
-        F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),
-        F.posexplode(_units(F.col(text_col))).alias("unit", "unit_text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"),
+                        F.col(text_col).alias("text"))
+    pairs = settle(_possible(texts, table, threshold), "license-pairs")
+    some = pairs.select(*key).distinct()
+    with filtered_joins(docs.sparkSession):
+        # few texts are left; those that share id and text are one
+        left = settle(texts.join(some, same(texts, some, *key), "left_semi").dropDuplicates(key),
+                      "license-texts")
+    units = left.select(*key, F.posexplode(_units(F.col("text"))).alias("unit", "unit_text"))
     sized = units.select(*key, "unit", F.array_compact(_bigrams(F.col("unit_text"))).alias("grams"))
     sized = sized.withColumn("size", F.size("grams"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold

@@ -143,6 +143,56 @@ def test_licenses(docs):
     assert rows[1]["n_matches"] == 0 and rows[4]["best_dice"] is None
 
 
+BSD_3 = """Copyright (c) 2011, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+    * Redistributions of source code must retain the above copyright notice,
+      this list of conditions and the following disclaimer.
+    * Redistributions in binary form must reproduce the above copyright notice,
+      this list of conditions and the following disclaimer in the documentation
+      and/or other materials provided with the distribution.
+    * Neither the name of the copyright holder nor the names of its contributors
+      may be used to endorse or promote products derived from this software
+      without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+BSD_2 = BSD_3[:BSD_3.index("    * Neither")] + BSD_3[BSD_3.index("\nTHIS SOFTWARE"):]
+AGPL_NOTICE = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as
+    published by the Free Software Foundation, either version 3 of the
+    License, or (at your option) any later version.
+"""
+LGPL_NOTICE = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+"""
+
+
+def test_canonical_licenses(spark):
+    texts = [("BSD-3-Clause", BSD_3), ("BSD-2-Clause", BSD_2), ("AGPL-3.0", AGPL_NOTICE), ("LGPL-2.1", LGPL_NOTICE),
+             ("AGPL-3.0", "code\n\n" + AGPL_NOTICE + "\n\nmore code")]
+    # rows that share id and text count once
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] * 2
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["licenses"] == texts[r["doc_id"]][0] and 0.95 < r["best_dice"] <= 1
+
+
 def test_bpe_as_the_library(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     library = Tokenizer.from_file(VOCABULARY)
