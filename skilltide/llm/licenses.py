@@ -6,9 +6,15 @@ t only if a * t / (2 - t) <= b <= a * (2 - t) / t; these bounds drop units that
 the templates of the rest. A unit then has at least b * t / (2 - t) of a template's b bigrams, and so has the
 text it is part of: whole texts with fewer go first. Common bigrams are counted by equality joins with
 the bigrams of the templates, which are a fixed list.
+
+What is left of a text between the units that match is compared by runs of consecutive lines too, so a
+notice needs no blank lines around it.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skilltide.storage import settle
@@ -19,6 +25,7 @@ from .rows import filtered_joins, same, text_key
 THRESHOLD = 0.85
 COPYRIGHT_LINES = "(?idm)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*"
 NO_WORD = "[^\\p{L}\\p{N}]+"
+TAKEN = "\x01"  # stands for a matched unit
 BLANK_LINE = "\\n[ \\t\\r]*\\n"
 
 
@@ -64,11 +71,118 @@ def _units(text: Column) -> Column:
         F.split(whole, "\\n"), F.split(free, BLANK_LINE), F.array(free)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Null-safe join of tables that may come from the same one."""
+    other = right.select(*[F.col(k).alias("_" + k) if k in keys else F.col(k) for k in right.columns])
+    equal = [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]
+    return left.join(other, reduce(and_, equal), how).drop(*["_" + k for k in keys])
+
+
+def _rests(left: DataFrame, matched: DataFrame) -> DataFrame:
+    """(doc_id, text_key, rest, text): the whole lines between the units that match, per text.
+    ``matched`` are (doc_id, text_key, unit_text)."""
+    taken = matched.groupBy("doc_id", "text_key").agg(F.collect_list("unit_text").alias("taken"))
+    plain = F.translate(F.coalesce("text", F.lit("")), TAKEN, " ")
+    units = F.sort_array(F.transform(F.coalesce("taken", F.array().cast("array<string>")), lambda u: F.struct(
+        F.length(u).alias("n"), F.translate(u, TAKEN, " ").alias("text"))), asc=False)
+    line = F.concat(F.lit("\n"), F.regexp_replace(plain, COPYRIGHT_LINES, ""), F.lit("\n"))
+    mark = F.lit(f"\n{TAKEN}\n")
+
+    def without(text: Column, unit: Column) -> Column:
+        own = F.concat(F.lit("\n"), unit["text"], F.lit("\n"))
+        return F.replace(F.replace(text, own, mark), own, mark)  # neighbours share a line break
+
+    rests = F.split(F.aggregate(units, line, without), TAKEN)
+    return _joined(left, taken, ["doc_id", "text_key"], "left").select(
+        "doc_id", "text_key", F.posexplode(rests).alias("rest", "text"))
+
+
+def _windows(rests: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, text_key, unit, license, dice): runs of lines that reach the threshold. Of runs that
+    overlap, the one with the highest product of coefficient and common bigrams stays.
+
+    A run begins and ends at a line with a bigram of the template. For every first line the lines after it
+    are added one by one; a bigram counts where it first occurs from there on, that is if the line
+    of its occurrence before (``prev``) comes before the first line.
+    """
+    key = ["doc_id", "text_key", "rest"]
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.array_remove(
+        F.split(F.lower(x), NO_WORD), "")), lambda w: F.size(w) > 0)
+    words = F.flatten(F.transform(lines, lambda ws, i: F.transform(
+        ws, lambda w: F.struct(i.alias("line"), w.alias("word")))))
+    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.when(
+        b.isNotNull(), F.struct(F.xxhash64(a["word"], b["word"]).alias("gram"), a["line"].alias("lo"),
+                                b["line"].alias("hi"))))
+    places = rests.select(*key, words.alias("words")).select(
+        *key, F.posexplode(F.array_compact(pairs)).alias("pos", "pair")).select(*key, "pos", "pair.*")
+    before = F.lag("lo", 1, -1).over(Window.partitionBy(*key, "gram").orderBy("pos"))
+    places = settle(places.withColumn("prev", before).where("prev < lo").drop("pos"), "license-places")
+    least = F.col("t_size") * low
+    fits = (places.where("prev < 0").join(F.broadcast(table), "gram")
+            .groupBy(*key, "template", "license", "t_size").agg(F.count("*").alias("common"))
+            .where(F.col("common") >= least).drop("common"))
+    hits = F.broadcast(table.select("template", "gram", F.lit(True).alias("hit")))
+    place = F.struct("prev", "lo")
+    per_line = (
+        _joined(places, fits, key).join(hits, ["template", "gram"], "left")
+        .groupBy(*key, "template", "license", "t_size", "hi")
+        .agg(F.collect_list(place).alias("every"), F.collect_list(F.when(F.col("hit"), place)).alias("hits")))
+    rows = per_line.groupBy(*key, "template", "license", "t_size").agg(
+        F.array_sort(F.collect_list(F.struct("hi", "every", "hits"))).alias("lines"))
+
+    def fresh(of: Column, start: Column) -> Column:
+        return F.size(F.filter(of, lambda o: (o["lo"] >= start) & (o["prev"] < start)))
+
+    def step(start: Column):
+        def add(acc: Column, line: Column) -> Column:
+            def scored(x: Column) -> Column:
+                dice = 2 * x["common"] / (x["size"] + F.col("t_size"))
+                return _let(F.struct(x["size"].alias("size"), x["common"].alias("common"), dice.alias("dice")),
+                            lambda y: F.struct(y["size"].alias("size"), y["common"].alias("common"), F.when(
+                                (y["dice"] >= threshold) & (y["dice"] * y["common"] > acc["best"]["score"]),
+                                F.struct((y["dice"] * y["common"]).alias("score"), y["dice"].alias("dice"),
+                                         line["hi"].alias("end"))).otherwise(acc["best"]).alias("best")))
+            more = F.struct((acc["size"] + fresh(line["every"], start)).alias("size"),
+                            (acc["common"] + fresh(line["hits"], start)).alias("common"))
+            # a run only grows
+            return F.when(acc["size"] > F.col("t_size") * high, acc).otherwise(_let(more, scored))
+        return add
+
+    none = F.struct(F.lit(0).alias("size"), F.lit(0).alias("common"), F.struct(
+        F.lit(0.0).alias("score"), F.lit(0.0).alias("dice"), F.lit(-1).alias("end")).alias("best"))
+    starts = F.array_distinct(F.flatten(F.transform(
+        "lines", lambda x: F.transform(x["hits"], lambda h: h["lo"]))))
+    every_hit = F.flatten(F.transform("lines", lambda x: x["hits"]))
+    ahead = rows.withColumn("hits", every_hit).withColumn("start", F.explode(starts)).where(
+        fresh(F.col("hits"), F.col("start")) >= least).drop("hits")
+    start = F.col("start")
+    runs = ahead.withColumn("best", F.aggregate(
+        F.filter("lines", lambda x: x["hi"] >= start), none, step(start))["best"]).where("best.end >= 0")
+    listed = F.sort_array(F.collect_list(F.struct(
+        "best.score", "best.dice", (-F.col("template")).alias("order"), (-start).alias("back"), "start",
+        F.col("best.end").alias("end"), "license")), asc=False)
+    apart = F.aggregate(
+        F.slice("runs", 2, F.size("runs")), F.slice("runs", 1, 1),
+        lambda kept, r: F.when(F.exists(kept, lambda k: (k["start"] <= r["end"]) & (r["start"] <= k["end"])),
+                               kept).otherwise(F.array_append(kept, r)))
+    return runs.groupBy(*key).agg(listed.alias("runs")).select(
+        *key, F.posexplode(apart).alias("at", "run")).select(
+        "doc_id", "text_key", (-1 - F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(
+            "rest", "at"))).alias("unit"), "run.license", "run.dice")
+
+
 def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                     id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_key, unit, license, dice): the best template of every unit that reaches the
-    threshold; of equal coefficients, the first template. A text's repeated units count once."""
+    threshold; of equal coefficients, the first template. A text's repeated units count once. Runs of
+    lines between those units have negative numbers."""
     table = _template_grams(docs.sparkSession, templates)
     sizes = table.agg(F.min("t_size"), F.max("t_size")).first()
     key = ["doc_id", "text_key"]
@@ -95,8 +209,11 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     )
     dice = 2 * F.col("common") / (F.col("size") + F.col("t_size"))
     best = F.max_by(F.struct("license", "dice"), F.struct("dice", -F.col("template")))
-    return (common.withColumn("dice", dice).where(F.col("dice") >= threshold)
-            .groupBy(*key, "unit").agg(best.alias("best")).select(*key, "unit", "best.*"))
+    found = settle(common.withColumn("dice", dice).where(F.col("dice") >= threshold)
+                   .groupBy(*key, "unit").agg(best.alias("best")).select(*key, "unit", "best.*"),
+                   "license-units")
+    matched = _joined(units, found, [*key, "unit"], "left_semi").select(*key, "unit_text")
+    return found.unionByName(_windows(_rests(left, matched), table, threshold))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,

@@ -193,6 +193,18 @@ def test_canonical_licenses(spark):
         assert r["licenses"] == texts[r["doc_id"]][0] and 0.95 < r["best_dice"] <= 1
 
 
+def test_license_without_blank_lines_around_it(spark):
+    prose = [f"some{i} words of prose{i}" for i in range(18)]
+    body = [x for x in BSD_3.split("\n") if x.strip() and not x.startswith(("Copyright", "All rights"))]
+    apache = ["// Licensed under the Apache", "// License, Version 2.0."]
+    texts = ["\n".join(prose + body + prose), "\n".join(prose + apache + prose + body),
+             "\n".join(prose + ["Released under the MIT License."] + body[:12]), "\n".join(prose + body[:4])]
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in licenses.license_scan(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == ("BSD-3-Clause", 1) and got[1] == ("Apache-2.0,BSD-3-Clause", 2)
+    assert "MIT" in got[2][0].split(",") and got[3] == ("", 0)
+
+
 def test_bpe_as_the_library(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     library = Tokenizer.from_file(VOCABULARY)
