@@ -1,28 +1,28 @@
 """URL filter: rules first, else naive Bayes on segmented host names and path tokens.
 
-Word counts come from the visible text of all pages. The LEXICON most frequent words are the unigram
-model; Viterbi splits every part of a host name into words of it. Multinomial naive Bayes is
-trained on the pages that a rule decides, over hashed tokens, so its tables have a fixed size.
+Word counts come from the visible text of all pages, and all of them are the unigram model. They stay a table:
+the substrings of the distinct parts of host names look up their counts by an equality join, and Viterbi
+splits every part with just those words. Multinomial naive Bayes is trained on the pages that a rule
+decides, over hashed tokens, so its tables have a fixed size.
 """
 
 import math
 import re
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frequent import most_frequent
+from skilltide.storage import settle
+
 from .ship import ship
 
 # fixed values: (verdict, rule)
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/")]
-LEXICON = 1 << 15
 LONGEST = 24  # letters of a word of the unigram model
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -61,20 +61,30 @@ def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
         "word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
+def pieces_of(host: str) -> list[str]:
+    """The parts of a host name that are to be split into words."""
+    return [piece for part in SPLIT.split(host) for piece in NUMBER.sub("0", part).split("0") if piece]
+
+
+def path_tokens(path: str) -> list[str]:
+    """Words of the path, marked as such; digits are one token."""
+    return ["p:" + NUMBER.sub("0", t) for t in SPLIT.split(path) if t]
+
+
 class Segmenter:
-    """Unigram Viterbi over a word -> log probability table."""
+    """Unigram Viterbi over a word -> log probability table. ``total`` is that of the whole model, where
+    ``counts`` are only the words that can occur."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unknown = -math.log(1 / (10 * total))
-        self.split = lru_cache(maxsize=1 << 16)(self._split)
 
     def _price(self, word: str) -> float:
         """Unseen words cost more by the letter, so that known ones are preferred."""
         return self.cost.get(word) or self.unknown + 4.0 * (len(word) - 1)
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str) -> tuple[str, ...]:
         """The cheapest split; of equally cheap ones, that with the longest last word."""
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
@@ -90,12 +100,38 @@ class Segmenter:
 
     def tokens(self, host: str, path: str) -> list[str]:
         """Words of the host parts, marked as such, and of the path; digits are one token."""
-        out = []
-        for part in SPLIT.split(host):
-            for piece in NUMBER.sub("0", part).split("0") if part else ():
-                out.extend("h:" + w for w in self.split(piece) if piece)
-        out.extend("p:" + (NUMBER.sub("0", t)) for t in SPLIT.split(path) if t)
-        return out
+        return ["h:" + w for piece in pieces_of(host) for w in self.split(piece)] + path_tokens(path)
+
+
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, words) of the distinct hosts that have any; ``counts`` are (word, n) of the whole model."""
+    total = counts.agg(F.sum("n")).first()[0]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(h, i, p) for h in pdf["host"] for i, p in enumerate(pieces_of(h))],
+                               columns=["host", "at", "piece"])
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"piece": pdf["piece"], "words": [
+                list(Segmenter({} if w is None else dict(zip(w, n)), total).split(p))
+                for p, w, n in zip(pdf["piece"], pdf["known"], pdf["counts"])]})
+
+    parts = settle(hosts.select("host").distinct().mapInPandas(cut, "host string, at int, piece string"),
+                   "host-parts")
+    labels = parts.select("piece").distinct()
+    size, piece = F.length("piece"), F.col("piece")
+    strings = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda k: piece.substr(i, k))))
+    known = labels.select("piece", F.explode(F.array_distinct(strings)).alias("word")).join(
+        counts, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    splits = labels.join(known, "piece", "left").select(
+        "piece", F.col("known.word").alias("known"), F.col("known.n").alias("counts")).mapInPandas(
+        split, "piece string, words array<string>")
+    listed = F.array_sort(F.collect_list(F.struct("at", "words")))
+    return settle(parts.join(splits, "piece").groupBy("host").agg(
+        F.flatten(listed["words"]).alias("words")), "host-words")
 
 
 def _bucket(token: str) -> int:
@@ -114,29 +150,30 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
     """
     spark = pages.sparkSession
     ship(spark)
-    lexicon = most_frequent(word_counts(pages, html_col).where(F.length("word") <= LONGEST), LEXICON)
-    words = spark.sparkContext.broadcast(lexicon)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"),
                          path_of(F.col(url_col)).alias("path"))
-    ruled = parts.withColumn("rule", rule).withColumn("ruled", verdict)
+    words = host_words(parts, settle(word_counts(pages, html_col), "word-counts"))
+    ruled = parts.withColumn("rule", rule).withColumn("ruled", verdict).join(words, "host", "left")
+
+    def tokens(words: Iterable[str] | None, path: str) -> list[str]:
+        return ["h:" + w for w in (() if words is None else words)] + path_tokens(path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segmenter = Segmenter(words.value)
-        tokens = np.zeros((2, BUCKETS), np.int64)
+        found = np.zeros((2, BUCKETS), np.int64)
         rows = [0, 0]
         for pdf in batches:
-            for host, path, says in zip(pdf["host"], pdf["path"], pdf["ruled"]):
+            for words, path, says in zip(pdf["words"], pdf["path"], pdf["ruled"]):
                 kind = int(says == "block")
                 rows[kind] += 1
-                for t in segmenter.tokens(host, path):
-                    tokens[kind, _bucket(t)] += 1
-        kinds, at = np.nonzero(tokens)
+                for t in tokens(words, path):
+                    found[kind, _bucket(t)] += 1
+        kinds, at = np.nonzero(found)
         yield pd.DataFrame({"kind": [*kinds, 0, 1], "bucket": [*at, -1, -1],
-                            "n": [*tokens[kinds, at], *rows]})
+                            "n": [*found[kinds, at], *rows]})
 
     # at most 2 * BUCKETS rows come back, whatever the number of pages
-    table = ruled.where("ruled is not null").select("host", "path", "ruled").mapInPandas(
+    table = ruled.where("ruled is not null").select("words", "path", "ruled").mapInPandas(
         count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(
         F.sum("n").alias("n")).toPandas()
     seen = np.zeros(2)
@@ -159,13 +196,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: s
 
     @F.pandas_udf("double")
     def block_score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        segmenter = Segmenter(words.value)
         prior, odds = model.value
         for hosts, paths in batches:
-            yield pd.Series([prior + sum(float(odds[_bucket(t)]) for t in segmenter.tokens(h, p))
+            yield pd.Series([prior + sum(float(odds[_bucket(t)]) for t in tokens(h, p))
                              for h, p in zip(hosts, paths)])
 
-    judged = ruled.withColumn("block_score", block_score("host", "path"))
+    judged = ruled.withColumn("block_score", block_score("words", "path"))
     return judged.select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("block_score") > 0, "block").otherwise("allow")).alias("verdict"),

@@ -288,6 +288,18 @@ def test_url_rules(pages):
     assert rows[6]["rule"] is None and urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_host_words_from_all_counts(spark):
+    """Words that occur once count too, and so does the number of all words."""
+    counts = [("cheap", 5), ("pills", 1), ("che", 1), ("a", 9), *[(f"w{i}", 2) for i in range(40_000)]]
+    hosts = ["cheappills.com", "www2.a-pills.org", "", "1.2"]
+    got = {r["host"]: r["words"] for r in urls.host_words(
+        spark.createDataFrame([(h,) for h in hosts * 2], "host string"),
+        spark.createDataFrame(counts, "word string, n long")).collect()}
+    plain = urls.Segmenter(dict(counts))
+    assert got == {h: [t[2:] for t in plain.tokens(h, "")] for h in hosts[:2]}
+    assert got["cheappills.com"][:2] == ["cheap", "pills"]
+
+
 def test_pipeline_by_brute_force(spark):
     """Plain versions of the stages over the smallest tables; every language there is recognised."""
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
