@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a character BiLSTM-CRF that adds spans they miss.
 
-The tagger learns from spans that the patterns label in a bounded sample of documents, and from the same
-windows with the spans rewritten in looser forms (``rewritten``). A span must hold a digit, an ``@`` or a
+The tagger learns from spans that the patterns label in a bounded sample of the windows of all documents,
+and from the same windows with the spans rewritten in looser forms (``rewritten``). A span must hold a digit, an ``@`` or a
 bracketed "at"; so only windows around such places can have one, and all of them are decoded, in every
 whole text. Windows overlap by half. Their spans are reconciled over the whole text: pieces cut at
 window edges are joined, spans that overlap a pattern's are dropped, and of the rest the
@@ -9,16 +9,20 @@ non-overlapping set of the highest total score is taken.
 """
 
 import hashlib
+import heapq
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skilltide.storage import settle
+
 from .ship import ship
 from .tagger import Tagger, classes
 
@@ -232,29 +236,45 @@ def new_tagger() -> Tagger:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           train_windows: int = TRAIN_WINDOWS) -> Tagger | None:
-    """Learn from windows of the documents that come first by a hash; None without any example."""
+    """Learn from the windows that come first by a hash, of all windows of all documents: three quarters
+    labelled, as evenly over the kinds as there are any, the rest without a label. None without any example."""
 
     ship(docs.sparkSession)
+    labelled = train_windows * 3 // 4
+    bounds = {**dict.fromkeys(KINDS, labelled), "": train_windows // 4}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The first windows of a task, for each kind and without."""
+        kept: dict[str, list] = {kind: [] for kind in bounds}
         for pdf in batches:
-            out = []
             for order, text in zip(pdf["order"], pdf["_text"]):
-                spans = base_spans(text)
-                for start, end in windows(text)[:4]:
+                ends: dict[str, tuple[list[int], list[int]]] = {}
+                for s, e, kind in base_spans(text):  # in order within a kind
+                    starts, stops = ends.setdefault(kind, ([], []))
+                    starts.append(s)
+                    stops.append(e)
+                for start, end in windows(text):
                     lo, hi = max(0, start - MARGIN), min(len(text), end + MARGIN)
-                    out.append((order, start, any(s < hi and lo < e for s, e, _ in spans), text[lo:hi]))
-            yield pd.DataFrame(out, columns=["order", "start", "labelled", "piece"])
-
-    places = docs.select(F.xxhash64(id_col, F.lit(3)).alias("order"), F.col(text_col).alias("_text")).where(
-        F.col("_text").rlike(PLACE))
-    number = places.count()
-    share = min(1.0, 2 * train_windows / max(number, 1))
-    drawn = places.where(F.pmod("order", F.lit(1 << 20)) <= int(share * (1 << 20))).mapInPandas(
-        cut, "order long, start int, labelled boolean, piece string")
-    rows = [row for flag, n in ((True, train_windows * 3 // 4), (False, train_windows // 4))
-            for row in drawn.where(F.col("labelled") == flag).orderBy("order", "start", "piece").limit(n).collect()]
-    if not any(row["labelled"] for row in rows):
+                    shown = [kind for kind, (starts, stops) in ends.items()
+                             if bisect_right(stops, lo) < bisect_left(starts, hi)]
+                    digest = hashlib.blake2b(b"%d:%d" % (order, start), digest_size=7).digest()
+                    entry = (-int.from_bytes(digest, "big"), text[lo:hi])
+                    for kind in shown or [""]:
+                        part, full = kept[kind], len(kept[kind]) >= bounds[kind]
+                        if full and not (part and entry > part[0]) or entry in part:
+                            continue
+                        (heapq.heapreplace if full else heapq.heappush)(part, entry)
+        yield pd.DataFrame([(kind, -key, piece) for kind, part in kept.items() for key, piece in part],
+                           columns=["kind", "key", "piece"])
+
+    drawn = settle(docs.select(F.xxhash64(id_col, F.lit(3)).alias("order"), F.col(text_col).alias("_text")).where(
+        F.col("_text").rlike(PLACE)).mapInPandas(cut, "kind string, key long, piece string"), "windows")
+    first = {kind: drawn.where(F.col("kind") == kind).select("key", "piece").distinct().orderBy(
+        "key", "piece").limit(n).collect() for kind, n in bounds.items()}
+    # the kinds take turns, and a window of several kinds is taken once
+    turns = dict.fromkeys(row for turn in zip_longest(*[first[k] for k in KINDS]) for row in turn if row)
+    rows = [*list(turns)[:labelled], *first[""]]
+    if not turns:
         return None
     ids, gold = examples([row["piece"] for row in rows])
     tagger = new_tagger()

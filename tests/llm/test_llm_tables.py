@@ -246,6 +246,13 @@ def test_personal_data(docs):
     assert rows[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_rare_personal_data_is_learned_from(spark):
+    """One labelled document of many, its spans behind a dozen other windows."""
+    filler = " ".join(f"item {i} of the long list without anything of interest in it, as it happens to be" for i in range(20))
+    rows = [(i, f"note {i}") for i in range(4000)] + [(5000, filler + " mail john@example.com or +49 30 1234567")]
+    assert pii.train(spark.createDataFrame(rows, "doc_id long, text string")) is not None
+
+
 PAGES = [(1, "http://A.org/x", "z" * 200), (2, "https://a.org/x?q=1#f", "z" * 200), (3, None, None),
          (4, "no scheme", "short"), (5, "http://b.example.org/en/12", "short"), (None, "http://c.com/de/", "z" * 200),
          (1, "http://A.org/x", "z" * 200), (6, "http://d.com/fr", "ü" * 60)]
