@@ -20,7 +20,6 @@ from .ship import ship
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 500
-MAX_LANGUAGES = 256
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.002
 PIECE = 1 << 20  # characters turned into n-grams at a time
@@ -62,11 +61,27 @@ def counts(text: str | None) -> tuple[np.ndarray, bool]:
     return out, letters
 
 
+class Weights:
+    """Buckets x languages, mostly zero: the others by bucket."""
+
+    def __init__(self, dense: np.ndarray):
+        rows, self.languages = np.nonzero(dense)
+        self.values = dense[rows, self.languages]
+        self.begins = np.searchsorted(rows, np.arange(dense.shape[0] + 1))
+        self.width = dense.shape[1]
+
+    def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        sizes = self.begins[at + 1] - self.begins[at]
+        held = np.repeat(self.begins[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.languages[held], weights=self.values[held] * np.repeat(x, sizes),
+                           minlength=self.width)
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # buckets x languages, mostly zero
+    weights: Weights
     temperature: float
 
     def vector(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +95,7 @@ class Model:
         if not letters or not self.languages:
             return "und", 0.0
         at, x = self.vector(count)
-        p = _softmax((x @ self.weights[at]) / self.temperature)
+        p = _softmax(self.weights.logits(at, x) / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -144,10 +159,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
                         F.col(lang_col).alias("_lang")).where(
         F.col("_text").isNotNull() & F.col("_lang").isNotNull() & (remainder("_id") != 2))
-    sizes = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(
-        MAX_LANGUAGES).collect()
+    sizes = known.groupBy("_lang").count().collect()
     languages = sorted(r["_lang"] for r in sizes)
-    empty = Model(languages, np.ones(BUCKETS), np.zeros((BUCKETS, len(languages))), 1.0)
+    empty = Model(languages, np.ones(BUCKETS), Weights(np.zeros((BUCKETS, len(languages)))), 1.0)
     if not languages:
         return empty
 
@@ -184,12 +198,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     rows = sample.mapInPandas(
         features, "lang string, order long, at array<int>, n array<int>").toPandas().sort_values("order")
-    vectors, labels = [], []
+    vectors, labels, number = [], [], {lang: i for i, lang in enumerate(languages)}
     for lang, at, n in zip(rows["lang"], rows["at"], rows["n"]):
         count = np.zeros(BUCKETS, np.int64)
         count[np.asarray(at, np.int64)] = n
         vectors.append(empty.vector(count))
-        labels.append(languages.index(lang))
+        labels.append(number[lang])
     labels = np.array(labels, np.int64)
     calibrating = (rows["order"].to_numpy() % 5 == 0) & (len(labels) >= 50)
     chosen = np.flatnonzero(~calibrating)
@@ -197,7 +211,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     held = np.flatnonzero(calibrating)
     logits = np.array([vectors[i][1] @ weights[vectors[i][0]] for i in held]).reshape(
         len(held), len(languages))
-    return Model(languages, empty.idf, weights, temperature(logits, labels[held]))
+    return Model(languages, empty.idf, Weights(weights), temperature(logits, labels[held]))
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
@@ -218,7 +232,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text and a text without a letter give ``und`` with score 0; so does every text when there
     is nothing to learn from. Rows with a null id are not learned from and not held out. Repeated
-    rows are predicted alike. Languages beyond the MAX_LANGUAGES most frequent are not learned.
+    rows are predicted alike. Every language is learned.
     """
     model = train(docs, id_col, text_col, lang_col)
     return docs.select(

@@ -227,6 +227,16 @@ def test_language_of_held_out_documents(spark):
     assert rows.where("lang_pred = lang").count() >= 0.98 * rows.where("lang is not null").count()
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03}" for i in range(300)]
+    text = {name: " ".join(chr(0x4E00 + 6 * i + k % 6) * 2 for k in range(12)) for i, name in enumerate(names)}
+    rows = [(8 * i + k, text[name], name) for i, name in enumerate(names) for k in range(8)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(rows)
+    assert model.languages == names
+    assert [model.predict(text[name])[0] for name in names[-50:]] == names[-50:]
+
+
 def test_undetermined_language(docs):
     rows = by_text(langid.identify(docs), docs)
     assert {rows[i]["lang_pred"] for i in (4, 5, 7)} == {"und"} and rows[1]["lang_pred"] == "en"
