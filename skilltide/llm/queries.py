@@ -190,3 +190,13 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> f THEN f END AS refers_to
 FROM g
 """
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from .align import alignments
+    found = alignments(read(spark, folder, "documents"), vocabulary_path(),
+                       public_tokenizers.path("piece_bpe_32k.model"), with_groups=False)
+    return found.drop("groups")

@@ -1,10 +1,12 @@
 """Keys for rows of tables whose ids may be null or repeated."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def text_key(text: Column) -> Column:
@@ -43,3 +45,23 @@ def filtered_joins(spark: SparkSession) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.set(prefix + k, v)
+
+
+def mapped(df: DataFrame, function: Callable[[list], list[tuple]], schema: str,
+           value: str = "_text") -> DataFrame:
+    """``doc_id`` (from ``_id``) and the columns of ``schema``: one tuple of ``function`` per value.
+
+    ``function`` gets the values of a batch. Ids stay Arrow values and are never numbers of Python or
+    pandas, where a batch with a null would make a rounded float of every long.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = function(batch.column(value).to_pylist())
+            columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], ["doc_id", *made.names])
+
+    id_type = df.schema["_id"].dataType.simpleString()
+    return df.mapInArrow(run, f"doc_id {id_type}, {schema}")
