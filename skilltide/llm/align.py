@@ -2,7 +2,9 @@
 
 Both tokenizers cut the same bytes into tokens. Tokens of the two that overlap are linked, and places
 where both end a token cut the text into groups. Each place where either ends a token stands for one
-link, so links and groups come from one sorted list of ends, without comparing tokens.
+link, so links and groups come from one sorted list of ends, without comparing tokens. Texts are cut
+before spaces and line feeds, where both tokenizers always end a token; a segment that a worker has seen
+is not aligned again.
 
 The first pass aligns every document and stores, a few rows per task, the distinct pairs and in how many
 of the task's documents each is linked. The distinct pairs of all tasks get a minimal perfect hash
@@ -19,17 +21,19 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilltide.storage import new_path, settle
 
-from .bpe import Vocabulary
+from .bpe import SPACE, Vocabulary
 from .files import write
 from .perfecthash import PerfectHash, build, mixed
 from .ship import ship
@@ -38,8 +42,11 @@ from .ship import ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARDS = 16
 FAN = 16  # tasks, then vectors, that are added up at a time
-CHUNK_BYTES = 1 << 20  # texts aligned at a time, unless one alone is longer
+CHUNK_CHARACTERS = 1 << 20  # texts aligned at a time, unless one alone is longer
+HELD_SEGMENTS = 1 << 19  # that a worker remembers
 HELD_PAIRS = 1 << 20  # distinct pairs that a task gathers before it hands them on
+OTHER = SPACE.replace(r"\t-\r\x20", r"\t\x0B-\r")  # white space but the space and the line feed
+SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:[{OTHER}][{SPACE}]*[^{SPACE}]*)*|[{SPACE}]+")
 BLANKS = re.compile(r"\s{2048}")  # the faster library can't split runs of very many
 
 
@@ -62,6 +69,10 @@ class Tokenizers:
         self.a_sizes = np.array([len(t) for t in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
         self.width = len(self.b_bytes)
+        # a piece that goes on into a space or line feed would span a cut
+        across = regex.compile(rf"[^{SPACE}][ \n]| \n")
+        self.splits = not any(across.search(t.decode("utf-8", "replace")) for t in self.b_bytes)
+        self.blank = self.pieces.piece_to_id("▁")
         # every token as it appears in a list of groups: A inside, A last, B inside, B last
         self.letters = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (self.width, ",;"))
                         for end in ends for i in range(n)]
@@ -70,7 +81,15 @@ class Tokenizers:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _a(self, text: str) -> list[int]:
+    def segments(self, text: str) -> list[str]:
+        """A space and the text, cut where a space or line feed follows anything but white space.
+
+        No token of either tokenizer goes across such a place, and neither looks across it, so each
+        segment has the same tokens alone as in the text.
+        """
+        return SEGMENT.findall(" " + text) if self.splits else [" " + text]
+
+    def first(self, text: str) -> list[int]:
         if self.words and not (len(text) > 2048 and BLANKS.search(text)):
             return self.words.encode_ordinary(text)
         if self._library is None:
@@ -80,24 +99,30 @@ class Tokenizers:
             self._library.encode_special_tokens = True
         return self._library.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[int]]:
-        """Ids of A, ids of B and bytes of each text; no ids where either differs from the text."""
-        first, second, sizes = [], [], []
-        for text, b in zip(texts, self.pieces.encode(texts, num_threads=1)):
-            raw = b" " + text.encode()
-            a = self._a(" " + text) if text else []
-            if not text or b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(
-                    map(self.b_bytes.__getitem__, b)) != raw:
-                a, b, raw = [], [], b""
-            first.append(a)
-            second.append(b)
-            sizes.append(len(raw))
-        return first, second, sizes
+    def second(self, text: str) -> list[int]:
+        """The model puts a space before what it encodes: that of the text, else one too many."""
+        if text[0] == " ":
+            return self.pieces.encode(text[1:]) if len(text) > 1 else [self.blank]
+        ids = self.pieces.encode(text)
+        return ids[1:] if ids[:1] == [self.blank] else []
+
+    def tokens(self, segments: list[str]) -> tuple[list[int], list[int], list[bool]]:
+        """Ids of A and of B, segment after segment, and whether both give the segment back; one that
+        fails has no ids. Segments that end in white space must come alone."""
+        text = "".join(segments)
+        raw, a, b = text.encode(), self.first(text), self.second(text)
+        if b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b)):
+            return a, b, [True] * len(segments)
+        if len(segments) == 1:
+            return [], [], [False]
+        half = len(segments) // 2
+        return tuple(x + y for x, y in zip(self.tokens(segments[:half]), self.tokens(segments[half:])))
 
 
 @dataclass
 class Aligned:
-    """Some documents one after the other; the borders of the i-th are those at i and i + 1."""
+    """Segments one after the other; what belongs to the i-th lies between borders i and i + 1."""
+    good: np.ndarray  # whether both tokenizers give the segment back; one that fails has no tokens
     a: np.ndarray
     b: np.ndarray
     a_border: np.ndarray
@@ -105,7 +130,7 @@ class Aligned:
     pairs: np.ndarray  # of each link, A id * width + B id
     border: np.ndarray  # of links
     groups: np.ndarray  # how many
-    a_group: np.ndarray  # of each token, counted over all documents
+    a_group: np.ndarray  # of each token, counted over all segments
     b_group: np.ndarray
 
 
@@ -113,24 +138,34 @@ def _border(lengths) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.fromiter(lengths, np.int64))]).astype(np.int64)
 
 
-def align(tokenizers: Tokenizers, texts: list[str]) -> Aligned:
-    """Documents end where tokens of both end, so all are aligned as if they were one text."""
-    first, second, sizes = tokenizers.encode(texts)
-    a = np.array([i for ids in first for i in ids], np.int64)
-    b = np.array([i for ids in second for i in ids], np.int64)
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """In ascending order."""
+    ordered = np.sort(numbers)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
+
+
+def align(tokenizers: Tokenizers, segments: list[str]) -> Aligned:
+    """Segments end where tokens of both end, so all are aligned as if they were one text."""
+    open_end = next((i for i, s in enumerate(segments) if s[-1].isspace()), len(segments))
+    parts = [segments[:open_end]] if open_end else []
+    parts += [[s] for s in segments[open_end:]]
+    found = [tokenizers.tokens(part) for part in parts]
+    a, b, good = (list(chain.from_iterable(x)) for x in zip(*found)) if found else ([], [], [])
+    a, b, good = np.array(a, np.int64), np.array(b, np.int64), np.array(good, bool)
     a_end, b_end = np.cumsum(tokenizers.a_sizes[a]), np.cumsum(tokenizers.b_sizes[b])
-    ends = np.union1d(a_end, b_end)
-    common = np.intersect1d(a_end, b_end, assume_unique=True)
+    last = _border(len(s.encode()) if g else 0 for s, g in zip(segments, good))
+    ends = np.sort(np.concatenate([a_end, b_end]))
+    twice = np.append(ends[1:] == ends[:-1], False) if len(ends) else np.zeros(0, bool)
+    common, ends = ends[twice], ends[~twice]
     pairs = a[np.searchsorted(a_end, ends)] * tokenizers.width + b[np.searchsorted(b_end, ends)]
-    last = _border(sizes)
-    at = np.searchsorted(ends, last, side="right")
-    return Aligned(a, b, _border(map(len, first)), _border(map(len, second)), pairs, at,
+    a_border, b_border, border = (np.searchsorted(x, last, side="right") for x in (a_end, b_end, ends))
+    return Aligned(good, a, b, a_border, b_border, pairs, border,
                    np.diff(np.searchsorted(common, last, side="right")),
                    np.searchsorted(common, a_end), np.searchsorted(common, b_end))
 
 
 def group_texts(tokenizers: Tokenizers, x: Aligned) -> Iterator[str]:
-    """``a1,a2|b1;a3|b2,b3`` of each document: the ids of A and of B, group by group."""
+    """``a1,a2|b1;a3|b2,b3;`` of each segment: the ids of A and of B, group by group."""
     n_a = len(tokenizers.a_bytes)
     shown = np.zeros(len(x.a) + len(x.b), np.int64)
     for ids, group, other, start, size, late in (
@@ -141,16 +176,17 @@ def group_texts(tokenizers: Tokenizers, x: Aligned) -> Iterator[str]:
             # behind its own kind's earlier tokens, and the other's of earlier groups (B: of its own too)
             place = np.arange(len(ids)) + np.searchsorted(other, group, side=late)
             shown[place] = ids + start + size * closing
-    border = x.a_border + x.b_border
-    for i in range(len(border) - 1):
-        yield "".join(map(tokenizers.letters.__getitem__, shown[border[i]:border[i + 1]].tolist()))[:-1]
+    border = (x.a_border + x.b_border).tolist()
+    letters = [tokenizers.letters[i] for i in shown.tolist()]
+    for start, end in pairwise(border):
+        yield "".join(letters[start:end])
 
 
 def chunks(texts: list[str | None]) -> Iterator[list[str]]:
-    """The texts, null as empty, in runs of at most CHUNK_BYTES characters or of one text."""
+    """The texts, null as empty, in runs of at most CHUNK_CHARACTERS or of one text."""
     held, size = [], 0
     for text in texts:
-        if held and size + len(text or "") > CHUNK_BYTES:
+        if held and size + len(text or "") > CHUNK_CHARACTERS:
             yield held
             held, size = [], 0
         held.append(text or "")
@@ -159,25 +195,103 @@ def chunks(texts: list[str | None]) -> Iterator[list[str]]:
         yield held
 
 
+class Segments:
+    """Aligned segments, remembered while they recur.
+
+    ``numbers`` has a row of a segment: whether it fails, tokens of A, tokens of B, groups, links, and with a
+    lexicon the links that are the best of their A id and the sum of all links' counts.
+    """
+
+    def __init__(self, tokenizers: Tokenizers, lexicon: "Lexicon | None" = None):
+        self.tokenizers, self.lexicon = tokenizers, lexicon
+        self.index: dict[str, int] = {}
+        self.numbers = np.zeros((0, 7), np.int64)
+        self.pairs, self.border = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.groups: list[str] = []
+        self.used = np.zeros(0, np.int64)
+        self.characters = 0
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the segments of all texts, and the borders of the texts."""
+        if len(self.index) > HELD_SEGMENTS or self.characters > 16 * HELD_SEGMENTS:
+            self._forget()
+        found = [self.tokenizers.segments(t) if t else [] for t in texts]
+        fresh = set(chain.from_iterable(found)).difference(self.index)
+        if fresh:
+            self._add(sorted(fresh, key=lambda s: s[-1].isspace()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(found)), np.int64)
+        self.used += np.bincount(at, minlength=len(self.used))
+        return at, _border(map(len, found))
+
+    def _add(self, fresh: list[str]) -> None:
+        x = align(self.tokenizers, fresh)
+        numbers = np.zeros((len(fresh), 7), np.int64)
+        numbers[:, 0] = ~x.good
+        for i, border in ((1, x.a_border), (2, x.b_border), (4, x.border)):
+            numbers[:, i] = np.diff(border)
+        numbers[:, 3] = x.groups
+        if self.lexicon:
+            count = self.lexicon.counts(x.pairs)
+            best = count == self.lexicon.best[x.pairs // self.tokenizers.width]
+            for i, values in ((5, best), (6, count)):
+                numbers[:, i] = np.diff(np.concatenate([[0], np.cumsum(values)])[x.border])
+            self.groups += group_texts(self.tokenizers, x)
+        self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.border = np.concatenate([self.border, x.border[1:] + self.border[-1]])
+        self.pairs = np.concatenate([self.pairs, x.pairs])
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+        self.characters += sum(map(len, fresh))
+
+    def _forget(self) -> None:
+        """Keep the segments that came most often, at most a half."""
+        least = max(2, int(np.partition(self.used, -(len(self.used) // 2) - 1)[-(len(self.used) // 2) - 1]) + 1)
+        names = [s for s, i in self.index.items() if self.used[i] >= least and len(s) < 256]
+        old = np.array([self.index[s] for s in names], np.int64)
+        self.index = {s: i for i, s in enumerate(names)}
+        self.pairs, sizes = self.links(old), np.diff(self.border)[old]
+        self.border, self.numbers = _border(sizes), self.numbers[old]
+        self.groups = [self.groups[i] for i in old.tolist()] if self.lexicon else []
+        self.used, self.characters = np.zeros(len(names), np.int64), sum(map(len, names))
+
+    def links(self, at: np.ndarray) -> np.ndarray:
+        """Pairs of all links of these segments, in order."""
+        sizes = np.diff(self.border)[at]
+        start = np.repeat(self.border[at] - (np.cumsum(sizes) - sizes), sizes)
+        return self.pairs[start + np.arange(len(start))]
+
+    def fails(self, at: np.ndarray, border: np.ndarray) -> np.ndarray:
+        """Texts with a segment that fails."""
+        return np.diff(np.concatenate([[0], np.cumsum(self.numbers[at, 0])])[border]) > 0
+
+
 class _Counts:
     """Documents by pair, as sorted arrays that are merged when they have grown."""
 
     def __init__(self):
         self.keys, self.counts, self.fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
-    def add(self, x: Aligned) -> None:
-        doc = np.repeat(np.arange(len(x.border) - 1), np.diff(x.border))
-        order = int(x.pairs.max(initial=0)) + 1
-        self.fresh.append(np.unique(doc * order + x.pairs) % order)
+    def add(self, held: Segments, texts: list[str]) -> None:
+        at, border = held.of(texts)
+        doc = np.repeat(np.arange(len(texts)), np.diff(border))
+        good = ~held.fails(at, border)[doc]
+        n = max(len(held.index), 1)
+        doc, at = np.divmod(distinct(doc[good] * n + at[good]), n)
+        pairs = held.links(at)
+        order = int(pairs.max(initial=0)) + 1
+        doc = np.repeat(doc, np.diff(held.border)[at])
+        self.fresh.append(distinct(doc * order + pairs) % order)
         if sum(map(len, self.fresh)) > max(HELD_PAIRS, len(self.keys)):
             self.merge()
 
     def merge(self) -> None:
-        keys, at = np.unique(np.concatenate([self.keys, *self.fresh]), return_inverse=True)
-        weights = np.concatenate([self.counts, np.ones(sum(map(len, self.fresh)), np.int64)])
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, at, weights)
-        self.keys, self.counts, self.fresh = keys, counts, []
+        keys = np.concatenate([self.keys, *self.fresh])
+        weights = np.concatenate([self.counts, np.ones(len(keys) - len(self.keys), np.int64)])
+        order = np.argsort(keys, kind="stable")
+        self.keys = distinct(keys)
+        self.counts = np.add.reduceat(weights[order], np.searchsorted(keys[order], self.keys)) if len(
+            keys) else weights
+        self.fresh = []
 
 
 def shard_of(keys: np.ndarray) -> np.ndarray:
@@ -189,10 +303,21 @@ def _tokenizers(byte_vocabulary: str, piece_model: bytes) -> Tokenizers:
     return Tokenizers(byte_vocabulary, piece_model)
 
 
+_latest: list = [None, None]
+
+
+def _segments(contents: tuple[str, bytes], lexicon: "Lexicon | None") -> Segments:
+    """The segments that this worker remembers, for one lexicon at a time."""
+    key = contents, lexicon and lexicon.stem
+    if _latest[0] != key:
+        _latest[:] = key, Segments(_tokenizers(*contents), lexicon)
+    return _latest[1]
+
+
 def _local_counts(docs: DataFrame, contents) -> DataFrame:
     """(task, shard, keys, counts): the pairs of a task's documents, a few rows per task."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers, task = _tokenizers(*contents.value), TaskContext.get().partitionId()
+        segments, task = _segments(contents.value, None), TaskContext.get().partitionId()
 
         def emit(held: _Counts) -> pa.RecordBatch:
             held.merge()
@@ -209,7 +334,7 @@ def _local_counts(docs: DataFrame, contents) -> DataFrame:
         held = _Counts()
         for batch in batches:
             for texts in chunks(batch.column("_text").to_pylist()):
-                held.add(align(tokenizers, texts))
+                held.add(segments, texts)
                 if len(held.keys) > HELD_PAIRS:
                     yield emit(held)
                     held = _Counts()
@@ -279,7 +404,7 @@ def _send(spark: SparkSession, folder: str, shards: list[int], kind: str) -> Non
         spark.sparkContext.addFile(f"{folder}/{os.path.basename(folder)}-{shard}.{kind}")
 
 
-@dataclass
+@dataclass(eq=False)
 class Lexicon:
     """Counts of pairs: the stem of the files' names, their shards, and the highest count of each A id."""
     stem: str
@@ -288,14 +413,14 @@ class Lexicon:
 
     def counts(self, pairs: np.ndarray) -> np.ndarray:
         """The count of each pair, 0 for one that no document links."""
-        distinct, at = np.unique(pairs, return_inverse=True)
-        out, shard = np.zeros(len(distinct), np.int64), shard_of(distinct)
+        own = distinct(pairs)
+        out, shard = np.zeros(len(own), np.int64), shard_of(own)
         for s in self.shards:
-            own = np.flatnonzero(shard == s)
-            number = _hash(self.stem, s).numbers(distinct[own])
+            at = np.flatnonzero(shard == s)
+            number = _hash(self.stem, s).numbers(own[at])
             known = number >= 0
-            out[own[known]] = _vector(self.stem, s)[number[known]]
-        return out[at]
+            out[at[known]] = _vector(self.stem, s)[number[known]]
+        return out[np.searchsorted(own, pairs)]
 
 
 def pair_counts(docs: DataFrame, contents) -> Lexicon:
@@ -349,17 +474,18 @@ def alignments(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "
     lexicon = spark.sparkContext.broadcast(pair_counts(texts, contents))
     names = [c.split()[0] for c in RESULT.split(", ")]
 
-    def rows(texts: list[str]) -> Iterator[tuple]:
-        tokenizers = _tokenizers(*contents.value)
-        x = align(tokenizers, texts)
-        count = lexicon.value.counts(x.pairs)
-        best = count == lexicon.value.best[x.pairs // tokenizers.width]
-        sums = [np.concatenate([[0], np.cumsum(v)])[x.border] for v in (best, count)]
-        numbers = zip(*(np.diff(v).tolist() for v in (x.a_border, x.b_border)), x.groups.tolist(),
-                      *(np.diff(v).tolist() for v in (x.border, *sums)))
-        for row, groups in zip(numbers, group_texts(tokenizers, x)):
+    def rows(texts: list[str]) -> list[tuple]:
+        held = _segments(contents.value, lexicon.value)
+        at, border = held.of(texts)
+        sums = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(held.numbers[at, 1:], axis=0)])[border]
+        good = ~held.fails(at, border)
+        out = []
+        for i, row in enumerate((np.diff(sums, axis=0) * good[:, None]).tolist()):
+            own = at[border[i]:border[i + 1]].tolist() if good[i] else []
+            groups = "".join([held.groups[j] for j in own])[:-1]
             digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
-            yield *row, groups if with_groups else None, digest
+            out.append((*row, groups if with_groups else None, digest))
+        return out
 
     id_type = docs.schema[id_col].dataType.simpleString()
     types = [pa.int64()] * 6 + [pa.string()] * 2

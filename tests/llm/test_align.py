@@ -92,7 +92,7 @@ ODD = ["", None, "a", " ", "  two  spaces ", "tab\tand\nline\r\n", "naïve café
 @pytest.mark.parametrize("fan,chunk,held", [(16, 1 << 20, 1 << 20), (2, 40, 8)])
 def test_against_all_pairs(spark, monkeypatch, fan, chunk, held):
     """Nulls, empty, odd and repeated texts; also with a deep tree, small chunks and many hand-overs."""
-    for name, value in (("FAN", fan), ("CHUNK_BYTES", chunk), ("HELD_PAIRS", held)):
+    for name, value in (("FAN", fan), ("CHUNK_CHARACTERS", chunk), ("HELD_PAIRS", held), ("HELD_SEGMENTS", held)):
         monkeypatch.setattr(align, name, value)
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice("ab éè.,\n1漢") for _ in range(rng.randint(1, 60))) for _ in range(30)]
