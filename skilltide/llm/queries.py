@@ -200,3 +200,9 @@ def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     found = alignments(read(spark, folder, "documents"), vocabulary_path(),
                        public_tokenizers.path("piece_bpe_32k.model"), with_groups=False)
     return found.drop("groups")
+
+
+@query
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from .quality import quality_scores
+    return quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
