@@ -217,8 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             [pa.array(np.append(at, BUCKETS).astype(np.int32)),
              *(pa.array(np.append(held[at, k], sizes[k])) for k in (0, 1))], ["bucket", "n0", "n1"])
 
+    # labels grow with the documents, so few or many are joined alike: the labelled texts go to them
     with filtered_joins(spark):
-        found = texts.join(known, "_id").select("_label", "_text").mapInArrow(
+        found = texts.join(known.hint("merge"), "_id").select("_label", "_text").mapInArrow(
             count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(
             F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # at most BUCKETS + 1 rows
     counts = np.zeros((BUCKETS + 1, 2), np.int64)
