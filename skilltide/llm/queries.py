@@ -206,3 +206,90 @@ def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
 def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
     from .quality import quality_scores
     return quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from .repair import repair_damaged
+    return repair_damaged(read(spark, folder, "conversations"))
+
+
+def _repair_sql() -> str:
+    """Costs and audits of a suffix are one string each, of twelve digits and then the edits."""
+    def add(cost: str | int, edit: str, s: str) -> str:
+        return f"lpad(CAST(CAST(left({s}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || '{edit}' || substr({s}, 13)"
+
+    short = "CASE WHEN f = 't' THEN 5 ELSE 0 END"
+
+    def stay(edit: str, cost: int, s: str, condition: str = "true") -> str:
+        return f"CASE WHEN f NOT IN ('b', 'd') AND {condition} THEN {add(f'{cost} + {short}', edit, s)} END"
+
+    def best(q: int, kept: dict[str, str], wanted: str) -> str:
+        keeps = "".join(f", {stay('K', 0, s, f"init = '{c}'")}" for c, s in kept.items())
+        return f"least({add(2, 'D', f's{q}')}{keeps}, {stay('R', 1, wanted)}) AS b{q}"
+
+    return f"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+        lambda c : CAST(unicode(c) AS BIGINT))),
+      lambda c, b : list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda z, k : CASE WHEN z % 2 = 1 THEN xor(z // 2, 3988292384) ELSE z // 2 END)), 4294967295) % 20 AS k
+  FROM conversations),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM src),
+num AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS p,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last, left(role, 1) AS init
+  FROM dam),
+flt AS (
+  SELECT *, CASE WHEN last = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't'
+    ELSE '' END AS f, lag(init) OVER (PARTITION BY conv_id ORDER BY p) AS prev
+  FROM num),
+cnt AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+    count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+    count(*) FILTER (f = 't') AS truncated,
+    count(*) FILTER (p > 1 AND prev || init NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM flt GROUP BY 1),
+rec AS (
+  SELECT conv_id, n + 1 AS i, lpad('', 12, '0') AS s0, lpad('10', 12, '0') || 'II' AS s1,
+    lpad('5', 12, '0') || 'I' AS s2, lpad('', 12, '0') AS s3 FROM cnt
+  UNION ALL
+  SELECT conv_id, i, least(b0, {add(5, 'I', 'i2')}), least(b1, {add(5, 'I', 'i2')}), i2,
+    least(b3, {add(5, 'I', 'b2')})
+  FROM (SELECT *, least(b2, {add(5, 'I', 'b3')}) AS i2 FROM (
+    SELECT rec.conv_id, i - 1 AS i, {best(0, {'s': 's1', 'u': 's2'}, 's2')}, {best(1, {'u': 's2'}, 's2')},
+      {best(2, {'a': 's3'}, 's3')}, {best(3, {'u': 's2'}, 's2')}
+    FROM rec JOIN flt ON flt.conv_id IS NOT DISTINCT FROM rec.conv_id AND flt.p = rec.i - 1))),
+aud AS (SELECT conv_id, CAST(left(s0, 12) AS BIGINT) AS cost, substr(s0, 13) AS audit FROM rec WHERE i = 1),
+let AS (
+  SELECT conv_id, j, substr(audit, j, 1) AS e FROM (
+    SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM aud)),
+pos AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER w AS p, count(*) FILTER (e <> 'D') OVER w AS o
+  FROM let WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+lin AS (
+  SELECT pos.conv_id, e, o, role, text, max(CASE WHEN o = 1 AND e = 'K' AND init = 's' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY pos.conv_id) AS sys
+  FROM pos LEFT JOIN flt ON flt.conv_id IS NOT DISTINCT FROM pos.conv_id AND flt.p = pos.p AND e <> 'I'),
+rep AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY o) AS x
+  FROM lin WHERE e <> 'D' GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(x, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN aud ON aud.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+SQL["op12_conversation_repair"] = _repair_sql()
