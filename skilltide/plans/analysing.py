@@ -8,6 +8,7 @@ from ..functions.fixed import (
     ALL_LANGUAGES, AUTOMATION_TOOL, DEPENDENCE, LINES_OF_CODE, TESTS_DIR_EXISTS, WARNING,
 )
 from ..operators import files as f, manifests as m
+from ..sources.bucketed import Bucketed, rows_of_keys
 from ..storage import settle
 from .candidates import Developers
 
@@ -96,17 +97,17 @@ def analyze_files(files: DataFrame, repositories: DataFrame, findings: DataFrame
     )
 
 
-def analyse_with(files: DataFrame, findings: DataFrame,
+def analyse_with(files: DataFrame | Bucketed, findings: DataFrame | Bucketed,
                  max_bytes: int | None = None) -> Callable[[Developers], DataFrame]:
-    """Analysis of the repositories of a batch from tables of files and findings. Both are cut down
-    to the batch first."""
+    """Analysis of the repositories of a batch from tables of files and findings, plain or in buckets of
+    repo_id. Both are cut down to the batch first."""
     def analyse(developers: Developers) -> DataFrame:
         none = F.array().cast("array<string>")
         repositories = developers.repositories.select("repo_id", F.array_union(
             F.coalesce("languages", none), F.array("primary_language")).alias("languages"))
         ids = repositories.select("repo_id")
         return analyze_files(
-            files.join(ids, "repo_id", "left_semi"), repositories,
-            findings.join(ids, "repo_id", "left_semi"), max_bytes)
+            rows_of_keys(files, ids, "repo_id"), repositories, rows_of_keys(findings, ids, "repo_id"),
+            max_bytes)
 
     return analyse

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import rank as r
+from ..storage import replace
 
 Tables = dict[str, DataFrame]
 
@@ -32,9 +33,8 @@ def with_documents(ranks: DataFrame, tables: Tables) -> DataFrame:
 
 
 def refresh(df: DataFrame, path: str) -> DataFrame:
-    """Store a view and read it back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Store a view and read it back. Readers see the state before or the new one, never a part."""
+    return replace(df, path)
 
 
 def user_pages(tables: Tables) -> DataFrame:

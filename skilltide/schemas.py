@@ -52,3 +52,6 @@ TABLES = {
     ),
     "grades": "category STRING, raw_id STRING, value DOUBLE",
 }
+
+# Rows that are kept beside the stored tables, as they come.
+SIDE_TABLES = {"rejected": "kind STRING, text STRING"}

@@ -4,7 +4,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..schemas import PAGE
+from ..schemas import NODE, PAGE
 
 
 class RoutedPages(NamedTuple):
@@ -66,3 +66,34 @@ def next_cursor(page: Column) -> Column:
     """Cursor of the following page, null on the last one."""
     info = page.getField("pageInfo")
     return F.when(info.getField("hasNextPage"), info.getField("endCursor"))
+
+
+_ROW = f"STRUCT<kind: STRING, text: STRING, node: {NODE}>"
+
+
+def parsed_pages(texts: DataFrame, col: str = "value", responses: bool = False) -> DataFrame:
+    """(kind, text, node) from one parse of pages, or of raw ``responses``.
+
+    ``node``: a repository that a page lists. ``error`` and ``failure``: responses without a search. ``broken``: pages
+    that are not valid JSON, whatever of them could be read; nodes that were read count too. A page
+    without nodes is ``empty``, so every text gives a row.
+    """
+    value = F.col(col)
+    route = route_response(value) if responses else F.lit("result")
+    body = F.get_json_object(value, "$.data.search") if responses else value
+    parsed = texts.select(
+        value.alias("text"), route.alias("route"), F.when(route == "result", page_struct(body)).alias("page"),
+        F.get_json_object(value, "$.errors").alias("errors"))
+    broken = F.col("page._corrupt_record").isNotNull()
+    other = F.when(broken, "broken").when(F.col("route") != "result", F.col("route")).when(
+        F.coalesce(F.size("page.nodes"), F.lit(0)) < 1, "empty")
+    shown = F.when(other == "error", F.col("errors")).otherwise(F.col("text"))
+
+    def row(kind: Column, text: Column, node: Column) -> Column:
+        return F.struct(kind.alias("kind"), text.alias("text"), node.alias("node"))
+
+    nodes = F.transform("page.nodes", lambda n: row(F.lit("node"), F.lit(None).cast("string"), n))
+    rest = F.when(other.isNotNull(), F.array(row(other, shown, F.lit(None).cast(NODE))))
+    none = F.array().cast(f"ARRAY<{_ROW}>")
+    both = F.concat(F.coalesce(nodes, none), F.coalesce(rest, none))
+    return parsed.select(F.explode(both).alias("x")).select("x.*")

@@ -1,5 +1,6 @@
 """Where intermediate tables go: the shared folder the cluster names."""
 
+import json
 import tempfile
 import uuid
 
@@ -35,3 +36,65 @@ def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or new_path(df.sparkSession, name)
     df.write.mode("overwrite" if path else "errorifexists").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+class SmallFiles:
+    """Small JSON files below a folder of any file system Spark knows; each appears whole or not at all."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._jvm, self.folder = spark.sparkContext._jvm, folder
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _path(self, name: str = ""):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    @property
+    def _system(self):
+        return self._path().getFileSystem(self._conf)
+
+    def names(self) -> list[str]:
+        if not self._system.exists(self._path()):
+            return []
+        return sorted(f.getPath().getName() for f in self._system.listStatus(self._path()))
+
+    def read(self, name: str) -> dict:
+        stream = self._system.open(self._path(name))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def write(self, name: str, content: dict) -> None:
+        """Written under another name first, then renamed; an earlier file of the name goes."""
+        system, draft = self._system, self._path(f"_{name}-{uuid.uuid4().hex}")
+        stream = system.create(draft)
+        stream.write(json.dumps(content).encode())
+        stream.close()
+        if system.exists(self._path(name)):
+            system.delete(self._path(name), False)
+        if not system.rename(draft, self._path(name)):
+            raise OSError(f"cannot write {self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        """Remove a file or a folder below this one."""
+        self._system.delete(self._path(name), True)
+
+
+def replace(df: DataFrame, path: str) -> DataFrame:
+    """Store a view in a new folder below ``path``, then point to it in one rename.
+
+    Readers of the folder before are not disturbed; it goes with the next replacement.
+    """
+    files = SmallFiles(df.sparkSession, path)
+    before = files.read("current.json") if "current.json" in files.names() else {}
+    folder = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    files.write("current.json", {"folder": folder, "before": before.get("folder")})
+    if before.get("before"):
+        files.drop(before["before"])
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{folder}")
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder that the view stored at ``path`` points to."""
+    return f"{path}/{SmallFiles(spark, path).read('current.json')['folder']}"

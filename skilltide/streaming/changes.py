@@ -8,7 +8,8 @@ stream runs; the merged table is one aggregation over the changes, and ``compact
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.persisting import RULES, Rule
-from ..schemas import TABLES
+from ..schemas import SIDE_TABLES, TABLES
+from .commits import Commits
 
 
 def append_changes(rows: DataFrame, root: str, table: str, batch_id: int) -> None:
@@ -18,7 +19,13 @@ def append_changes(rows: DataFrame, root: str, table: str, batch_id: int) -> Non
 
 def read_changes(spark: SparkSession, root: str, table: str, schema: str,
                  before: int | None = None) -> DataFrame:
-    """All stored rows with their ``batch``, optionally only of earlier batches."""
+    """All stored rows with their ``batch``, optionally only of earlier batches.
+
+    Where the store has commit files (``commits``), rows of committed batches only.
+    """
+    log = Commits(spark, root)
+    if log.exists():
+        return log.read(table, schema, before=before)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     full = f"{schema}, batch BIGINT"
@@ -62,3 +69,22 @@ def compact(spark: SparkSession, root: str, target: str, upto: int) -> None:
     appended to the new root."""
     for table in TABLES:
         append_changes(read_stored(spark, root, table, upto + 1), target, table, upto)
+
+
+def merge_committed(spark: SparkSession, root: str, every: int) -> bool:
+    """Merge all committed batches of a store when there are ``every`` or more; whether it was done.
+
+    The number of folders that a reader opens stays below ``every`` per table, however long the stream
+    runs. A merge that is cut off leaves the batches as they are and is done anew.
+    """
+    log = Commits(spark, root)
+    batches = log.batches()
+    if len(batches) < every:
+        return False
+    last = batches[-1]
+    for table in TABLES:
+        append_changes(read_stored(spark, root, table), log.base_root, table, last)
+    for table, schema in SIDE_TABLES.items():
+        append_changes(log.read(table, schema).drop("batch"), log.base_root, table, last)
+    log.commit_base(last, [*TABLES, *SIDE_TABLES])
+    return True

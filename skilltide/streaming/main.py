@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.analysing import analyse_with
 from ..plans.candidates import CandidateRules
+from ..sources.bucketed import Bucketed
 from ..sources.pages import read_pages
 from ..sources.tables import read_table
 from .jobs import DeveloperJob, run_stream
@@ -29,6 +30,12 @@ def parse(arguments: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--max-files", type=int, help="page files per batch")
     parser.add_argument("--max-repository-kib", type=int,
                         help="leave out repositories of more unpacked KiB (default: none)")
+    parser.add_argument("--buckets", type=int,
+                        help="files, findings, weeks and profiles are stored in so many buckets of "
+                             "repo_id, repo_id, owner_login and requested_id")
+    parser.add_argument("--responses", action="store_true", help="the lines are raw responses")
+    parser.add_argument("--merge-every", type=int, default=DeveloperJob.merge_every,
+                        help="batches after which stored ones are merged (0: never)")
     parser.add_argument("--languages", default=",".join(defaults.languages))
     parser.add_argument("--min-age-days", type=int, default=defaults.min_age_days)
     parser.add_argument("--min-repositories", type=int, default=defaults.min_repositories)
@@ -38,7 +45,9 @@ def parse(arguments: Sequence[str] | None = None) -> argparse.Namespace:
 
 
 def start(spark: SparkSession, options: argparse.Namespace) -> StreamingQuery:
-    def table(name: str):
+    def table(name: str, key: str | None = None):
+        if key and options.buckets:
+            return Bucketed(spark, f"{options.tables}/{name}", key, options.buckets)
         return read_table(spark, name, options.tables)
 
     job = DeveloperJob(
@@ -46,11 +55,13 @@ def start(spark: SparkSession, options: argparse.Namespace) -> StreamingQuery:
         rules=CandidateRules(
             options.min_age_days, options.min_repositories, options.min_owner_ratio,
             options.reanalyse_after_days, tuple(options.languages.split(","))),
-        profiles=table("profiles"), weeks=table("weeks"), catalog=table("warnings"),
+        profiles=table("profiles", "requested_id"), weeks=table("weeks", "owner_login"),
+        catalog=table("warnings"),
         gazetteer=table("gazetteer"),
         analyse=analyse_with(
-            table("files"), table("findings"),
+            table("files", "repo_id"), table("findings", "repo_id"),
             options.max_repository_kib * 1024 if options.max_repository_kib else None),
+        responses=options.responses, merge_every=options.merge_every or None,
     )
     pages = read_pages(spark, options.pages, options.max_files)
     return run_stream(pages, job, options.checkpoint, None if options.once else options.interval)

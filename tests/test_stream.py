@@ -7,7 +7,7 @@ from conftest import rows_of
 from skilltide.operators.locations import GAZETTEER
 from skilltide.plans.candidates import CandidateRules
 from skilltide.plans.persisting import RULES, Rule
-from skilltide.schemas import MESSAGE
+from skilltide.schemas import MESSAGE, SIDE_TABLES
 from skilltide.sources.pages import read_pages
 from skilltide.sources.tables import read_query, read_table
 from skilltide.streaming import changes
@@ -133,7 +133,7 @@ def test_pages_to_tables(spark, table, tmp_path):
     (pages / "2.json").write_text(json.dumps({"nodes": [found]}) + "\n")
     run_stream(read_pages(spark, str(pages)), job, str(tmp_path / "c"), None).awaitTermination()
     assert stored("repositories").count() == 2
-    assert set(RULES) == {p.name for p in (tmp_path / "stored").iterdir()}
+    assert {*RULES, *SIDE_TABLES} == {p.name for p in (tmp_path / "stored").iterdir()}
 
 
 def test_job_from_folders(spark, table, tmp_path):
