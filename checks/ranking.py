@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from skilltide.operators import rank as r
 from skilltide.operators import ranked
 from skilltide.plans import ranking
-from skilltide.storage import new_path
+from skilltide.plans.standings import Standings
+from skilltide.storage import new_path, settle
 
 from .adapters import Data
 from .registry import query
@@ -235,3 +236,45 @@ def global_row_numbers(d: Data) -> DataFrame:
         d.table("orders").select("o_orderkey", "o_custkey", "o_totalprice"),
         [F.desc("o_totalprice"), F.col("o_orderkey")], "number"
     ).select("o_orderkey", "o_custkey", "number")
+
+
+def standings_after_batches(d: Data) -> Standings:
+    """The ranking of a third of the repositories, then the others in two batches."""
+    part = F.pmod(F.xxhash64("raw_id"), F.lit(3))
+    whole = {name: d.tables[name] for name in (
+        "users", "developers", "technologies_users", "technologies_users_settings")}
+    whole |= {name: settle(d.tables[name].withColumn("_part", part), name) for name in ("repositories", "grades")}
+
+    def upto(n: int):
+        return whole | {name: whole[name].filter(F.col("_part") <= n).drop("_part")
+                        for name in ("repositories", "grades")}
+
+    standings = Standings(d.spark, new_path(d.spark, "standings"), range_rows=100_000)
+    standings.build(ranking.figures(upto(0)))
+    for n in (1, 2):
+        moved = whole["repositories"].filter(F.col("_part") == n).select("user_id")
+        standings.merge(upto(n - 1), upto(n), moved)
+    return standings
+
+
+@query(f"""{RANKED} SELECT rank, user_id, login, round(avg_grade, 6) AS avg_grade,
+  strftime(updated, '%Y-%m-%d') AS updated, total_lines_of_code FROM ranks""")
+def standings_batches(d: Data) -> DataFrame:
+    rows = standings_after_batches(d).rows()
+    return round6(rows.withColumn("updated", day("updated_by_analyzer")), "avg_grade").select(
+        "rank", "user_id", "login", "avg_grade", "updated", "total_lines_of_code")
+
+
+@query(f"""{RANKED}, placed AS (
+  SELECT rank, user_id, login, row_number() OVER (ORDER BY rank DESC) AS k, count(*) OVER () AS n FROM ranks)
+SELECT page, rank, user_id, login FROM placed, (SELECT unnest([1, 2, 3, 7, 30]) AS page)
+WHERE k > (page - 1) * 20 AND k <= page * 20""")
+def standings_pages(d: Data) -> DataFrame:
+    """Pages from the top and from the depth, each from the ranges that hold it."""
+    standings = Standings(d.spark, new_path(d.spark, "standings"), range_rows=100_000)
+    standings.build(ranking.figures(d.tables))
+    pages = [standings.page(n).select(F.lit(n).alias("page"), "rank", "user_id", "login") for n in (1, 2, 3, 7, 30)]
+    out = pages[0]
+    for page in pages[1:]:
+        out = out.unionByName(page)
+    return out

@@ -8,15 +8,23 @@ from ..storage import replace
 Tables = dict[str, DataFrame]
 
 
-def rank_users(tables: Tables, order: str = "grade") -> DataFrame:
-    """(rank, user_id, login, full_name, avg_grade, updated_by_analyzer, total_lines_of_code) of
-    developers with a verified technology and complete figures."""
+def figures(tables: Tables, users: DataFrame | None = None) -> DataFrame:
+    """(user_id, login, full_name, avg_grade, updated_by_analyzer, total_lines_of_code) of developers
+    with a verified technology and complete figures; of these ``users`` (user_id) only, if given."""
+    def of(name: str) -> DataFrame:
+        return tables[name] if users is None else tables[name].join(users, "user_id", "left_semi")
+
     verified = r.verified_technologies(
-        tables["technologies_users"], tables["technologies_users_settings"], tables["developers"])
-    stats = r.user_stats(
-        tables["repositories"], r.category_sums(tables["repositories"], tables["grades"]))
+        of("technologies_users"), of("technologies_users_settings"), of("developers"))
+    repositories = of("repositories")
+    stats = r.user_stats(repositories, r.category_sums(repositories, tables["grades"]))
     known = stats.join(tables["users"].select("user_id", "login", "full_name"), "user_id")
-    return r.ranked(known.join(verified.select("user_id"), "user_id", "left_semi"), order)
+    return known.join(verified.select("user_id"), "user_id", "left_semi")
+
+
+def rank_users(tables: Tables, order: str = "grade") -> DataFrame:
+    """The ``figures`` of all developers with their rank."""
+    return r.ranked(figures(tables), order)
 
 
 def with_documents(ranks: DataFrame, tables: Tables) -> DataFrame:
