@@ -325,6 +325,40 @@ def search_by_login(d: Data) -> DataFrame:
         F.lit(1).alias("page")))
 
 
+SEGMENT_LOGIN = """lower(c_mktsegment) || CASE WHEN c_custkey % 50 = 0 THEN '' ELSE '-' || c_custkey END"""
+
+
+@query(f"""WITH {TABLES}, logins AS (SELECT c_custkey AS user_id, {SEGMENT_LOGIN} AS login FROM customer),
+queries AS (
+  SELECT DISTINCT c_mktsegment AS query_id, c_mktsegment AS text, 2 AS page FROM customer
+  UNION ALL SELECT 'one ' || c_custkey, {SEGMENT_LOGIN} || ' ' || c_mktsegment, 1 FROM customer
+  WHERE c_custkey % 97 = 1),
+words AS (SELECT DISTINCT query_id, page, unnest(string_split(lower(text), ' ')) AS w FROM queries),
+asked AS (SELECT * FROM words WHERE w IN (SELECT login FROM logins)),
+matches AS (
+  SELECT query_id, q.page, r.user_id, rank, (SELECT count(*) FROM asked a WHERE a.query_id = q.query_id
+    AND list_contains(list_distinct([l.login, split_part(l.login, '-', 1), split_part(l.login, '-', 2)]), a.w)) AS n
+  FROM queries q, ranks r JOIN logins l ON l.user_id = r.user_id),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, rank DESC) AS position FROM matches)
+SELECT query_id, position, user_id, CAST(n > 0 AS INT) AS login_match, rank FROM placed
+WHERE position > (page - 1) * 20 AND position <= page * 20""")
+def search_login_words(d: Data) -> DataFrame:
+    """Words of logins: every customer has the segment in the login, some have nothing else."""
+    customer = d.table("customer")
+    login = F.expr(SEGMENT_LOGIN)
+    names = customer.select(F.col("c_custkey").alias("user_id"), login.alias("login"))
+    tables = {name: d.tables[name] for name in d.tables}
+    tables["users"] = tables["users"].drop("login").join(names, "user_id")
+    ranks = ranking.rank_users(tables)
+    queries = customer.select(
+        F.col("c_mktsegment").alias("query_id"), F.col("c_mktsegment").alias("text"), F.lit(2).alias("page")
+    ).distinct().unionByName(customer.filter("c_custkey % 97 = 1").select(
+        F.concat(F.lit("one "), F.col("c_custkey")).alias("query_id"),
+        F.concat_ws(" ", login, "c_mktsegment").alias("text"), F.lit(1).alias("page")))
+    return searching.search(queries, ranks, searching.search_index(tables, ranks), tables)
+
+
 @query(search_sql("""SELECT n_name AS query_id,
   'Brand#' || (n_nationkey + 1) || ' red-bolt' AS text, 2 AS page FROM nation
 UNION ALL SELECT r_name, 'nothing known', 3 FROM region"""))

@@ -35,6 +35,16 @@ def text_tokens(text: Column) -> Column:
     )
 
 
+def text_words(text: Column) -> Column:
+    """The same tokens with repeats."""
+    words = F.split(F.lower(text), r"\s+")
+    whole = F.filter(words, lambda w: ~w.rlike("[-_.]"))
+    parts = F.flatten(F.transform(
+        F.filter(words, lambda w: w.rlike("[-_.]")),
+        lambda w: F.concat(F.array(w), F.split(w, "[-_.]"))))
+    return F.filter(F.concat(whole, parts), lambda t: (t != "") & ~t.isin(STOP_WORDS))
+
+
 def match_any(document_tokens: Column, query_tokens: Column) -> Column:
     """At least one query token is a document token."""
     return F.arrays_overlap(document_tokens, query_tokens)

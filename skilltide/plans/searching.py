@@ -51,15 +51,15 @@ def search_tokens(queries: DataFrame, tables: Tables, max_lexemes: int | None =
     return t.named_tokens(t.query_lexemes(queries, max_lexemes), stored_names(tables), escape)
 
 
-def search_index(tables: Tables, ranks: DataFrame) -> DataFrame:
-    """Postings of the verified technologies and their languages, stored for many searches. To be
-    made anew with the ranking."""
+def search_index(tables: Tables, ranks: DataFrame, block_ranks: int = s.BLOCK_RANKS) -> s.SearchIndex:
+    """Index of the verified technologies and their languages, and of the words of logins, stored for many
+    searches. To be made anew with the ranking."""
     verified = verified_technologies(
         tables["technologies_users"], tables["technologies_users_settings"], tables["developers"])
-    return settle(s.postings(verified, ranks), "postings")
+    return s.build_index(verified, ranks, block_ranks)
 
 
-def search(queries: DataFrame, ranks: DataFrame, index: DataFrame, tables: Tables,
+def search(queries: DataFrame, ranks: DataFrame, index: s.SearchIndex, tables: Tables,
            page_size: int = SEARCH_PAGE_SIZE, max_lexemes: int | None = None,
            escape: bool = False) -> DataFrame:
     """(query_id, position, user_id, login_match, rank) for queries (query_id, text, page).

@@ -1,5 +1,7 @@
 import datetime
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from skilltide.functions.fixed import TOKEN_TYPES
 from skilltide.functions.text import extract_lexemes
-from skilltide.operators import ranked, tokens as t
+from skilltide.operators import ranked, search as op, tokens as t
 from skilltide.operators.locations import GAZETTEER, resolve_location
 from skilltide.operators.names import match_names
 from skilltide.plans import ranking, searching
@@ -197,3 +199,55 @@ def test_resume(spark):
     assert ranked.resume_from(df, [F.col("id")], 4).count() == 5
     assert ranked.resume_from(df, [F.col("id")], -1).count() == 5
     assert ranked.resume_from(spark.range(0), [F.col("id")], 2).count() == 0
+
+
+@pytest.mark.parametrize("block_ranks", [1, 3, 1000])
+def test_pages_from_few_blocks(spark, table, block_ranks):
+    """Random users and queries against a comparison of every query with every user."""
+    rng = random.Random(block_ranks)
+    kinds = {"language": ["java", "c", "go"], "technology": ["ab", "abc", "abd", "b-c", "x.y", "zz"]}
+    users = {u: {k: set(rng.sample(v, rng.randint(0, 3))) for k, v in kinds.items()} for u in range(1, 41)}
+    logins = {u: rng.choice([f"ann-{u}", "ann-lee", f"lee{u}", "ann_ann", f"bob.{u}"]) for u in users}
+    verified = [(u, lang, tech) for u, x in users.items() for lang in x["language"] for tech in x["technology"]]
+    seen = {u: ({lang for v, lang, _ in verified if v == u}, {t for v, _, t in verified if v == u}) for u in users}
+    ranks = table("rank long, user_id long, login string", *[(41 - u, u, logins[u]) for u in users])
+    asked = []
+    for q in range(40):
+        names = [("language", x) for x in rng.sample(kinds["language"], rng.choice([0, 0, 1, 2]))]
+        names += [("technology", x) for x in rng.sample(["a", "ab", "b", "c", "x", "y", "zz", "q"], rng.choice([0, 1, 2]))]
+        names += [("githubLogin", x) for x in rng.sample(["ann", "lee", "ann-lee", "bob", "none"], rng.choice([0, 0, 1, 2]))]
+        asked.append((q, names, rng.randint(1, 3)))
+    queries = table("query_id int, page int", *[(q, page) for q, _, page in asked])
+    tokens = table("query_id int, token_type string, lexeme string", *[(q, *n) for q, names, _ in asked for n in names])
+    index = op.build_index(table("user_id long, language string, technology string", *verified), ranks, block_ranks)
+    got = rows_of(op.search_pages(queries, tokens, ranks, index, 4))
+
+    def parts(text):
+        return [t for w in [text] for t in ([w] if not re.search("[-_.]", w) else [w, *re.split("[-_.]", w)]) if t]
+
+    want = []
+    for q, names, page in asked:
+        by = {k: [x for t, x in names if t == k] for k in ("language", "technology", "githubLogin")}
+        found = []
+        for u in users:
+            words = parts(logins[u])
+            score = sum(sum(1 / n ** 2 for n in range(1, words.count(x) + 1)) for x in by["githubLogin"])
+            have = {t for x in seen[u][1] for t in parts(x)}
+            named = (not by["language"] or seen[u][0] & set(by["language"])) and all(
+                any(t.startswith(x) for t in have) for x in by["technology"])
+            if score or named:
+                found.append((round(score, 9), 41 - u, u))
+        best = sorted(found, reverse=True)
+        want += [(q, k + 1, u, int(score > 0), rank) for k, (score, rank, u) in enumerate(best)
+                 if (page - 1) * 4 <= k < page * 4]
+    assert got == sorted(want, key=str)
+
+
+def test_words_of_logins(table, tables):
+    users = table("user_id long, login string, full_name string, updated_by_user timestamp_ntz",
+                  (1, "john", None, None), (2, "john-doe", None, None), (3, "doe", None, None))
+    more = tables | {"users": users}
+    assert search(table, more, "john")[0] == [1, 2]
+    assert search(table, more, "john doe")[0] == [2, 1]
+    found = search(table, more, "doe")[1].orderBy("position").collect()
+    assert [(r.user_id, r.login_match) for r in found] == [(2, 1), (1, 0)]
