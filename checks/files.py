@@ -305,3 +305,33 @@ def assemble_messages(d: Data) -> DataFrame:
         "languages", F.array(F.lit("JavaScript")))
     findings = d.values([], "repo_id string, language string, rule string")
     return analyse(files, repositories, findings)
+
+
+@query(f"""WITH {PACKAGES}, stated AS (
+  SELECT repo_id, flag, row_number() OVER (PARTITION BY repo_id ORDER BY length(path), path) AS n
+  FROM manifests WHERE flag <> 'R'),
+good AS (
+  SELECT DISTINCT repo_id FROM manifests
+  WHERE repo_id NOT IN (SELECT repo_id FROM stated WHERE n = 1 AND flag = 'N')),
+vendored AS (
+  SELECT DISTINCT m.repo_id, m.dir FROM manifests m JOIN tops t USING (repo_id) WHERE m.dir <> t.dir)
+SELECT repo_id, repo_name AS name, 'in-' || string_split(path, '/')[-1] AS message
+FROM packages p SEMI JOIN good USING (repo_id)
+WHERE NOT EXISTS (SELECT 1 FROM vendored v WHERE v.repo_id = p.repo_id AND starts_with(p.path, v.dir || '/'))
+UNION ALL SELECT repo_id, repo_name, 'anywhere' FROM packages SEMI JOIN good USING (repo_id) GROUP BY ALL""")
+def findings_by_file(d: Data) -> DataFrame:
+    """A finding in every file, one in a minified script beside it, and one per repository without a place."""
+    files = d.package_files
+    repositories = files.select("repo_id").distinct().withColumn("languages", F.array(F.lit("JavaScript")))
+    name = F.substring_index("path", "/", -1)
+
+    def report(path, rule):
+        return F.struct(path.alias("filePath"), F.array(F.struct(rule.alias("ruleId"))).alias("messages"))
+
+    minified = F.concat(F.expr("left(path, length(path) - length(substring_index(path, '/', -1)))"), F.lit("a.min.js"))
+    reports = files.select("repo_id", F.lit("JavaScript").alias("language"), F.to_json(F.array(
+        report(F.col("path"), F.concat(F.lit("in-"), name)), report(minified, F.lit("minified")))).alias("value"))
+    whole = repositories.select("repo_id", F.lit("JavaScript").alias("language"), F.lit(None).cast("string").alias("path"),
+                                F.lit("anywhere").alias("rule"))
+    found = lint.lint_json(reports, path="path").unionByName(whole)
+    return analyse(files, repositories, found).filter("message_type = 'warning'").select("repo_id", "name", "message")

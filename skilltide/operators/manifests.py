@@ -86,22 +86,21 @@ def vendored_dirs(manifest_rows: DataFrame) -> DataFrame:
 
 
 def drop_vendored(files: DataFrame, vendored: DataFrame) -> DataFrame:
-    """Files that do not lie below a vendored folder (repo_id, dir).
+    """Rows with repo_id and path that do not lie below a vendored folder (repo_id, dir).
 
-    Each file is looked up by its parent folders, an equality per level instead of a comparison
-    with every folder of the repository.
+    The folders of a repository are one array, which few repositories have, so a row is looked up by one
+    join and never repeated. Folders below another vendored one are left out of it.
     """
-    parts = F.split(F.col("path"), "/")
-    parents = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n < F.size(parts)),
-        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
-    )
-    inside = (
-        files.select("repo_id", "path", F.explode(parents).alias("dir"))
-        .join(vendored, ["repo_id", "dir"], "left_semi")
-        .select("repo_id", "path").distinct()
-    )
-    return files.join(inside, ["repo_id", "path"], "left_anti")
+    listed = vendored.groupBy("repo_id").agg(F.array_sort(F.collect_set("dir")).alias("_dirs"))
+    # in order, a folder comes after those that hold it; its "/" sorts it before their later neighbours
+    outer = F.aggregate(
+        F.array_sort(F.transform("_dirs", lambda d: F.when(d == "", d).otherwise(F.concat(d, F.lit("/"))))),
+        F.array().cast("array<string>"),
+        lambda held, d: F.when((F.size(held) > 0) & F.startswith(d, F.element_at(held, -1)), held).otherwise(
+            F.array_append(held, d)))
+    folders = listed.select("repo_id", outer.alias("_dirs"))
+    inside = F.exists("_dirs", lambda d: F.startswith(F.col("path"), d))
+    return files.join(folders, "repo_id", "left").filter(~F.coalesce(inside, F.lit(False))).select(*files.columns)
 
 
 def manifest_dependencies(manifest_rows: DataFrame) -> DataFrame:

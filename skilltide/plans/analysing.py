@@ -57,15 +57,19 @@ def javascript_messages(facts: DataFrame, findings: DataFrame) -> DataFrame:
     clean = facts.filter(~F.col("has_binary"))
     every = m.manifests(clean)
     known = settle(every.join(m.manifest_origin_ok(every), "repo_id", "left_semi"), "manifests")
-    own = f.clean_sources(m.drop_vendored(
-        clean.filter(F.col("language") == "JavaScript"), m.vendored_dirs(known)))
+    vendored = m.vendored_dirs(known)
+    own = f.clean_sources(m.drop_vendored(clean.filter(F.col("language") == "JavaScript"), vendored))
     top = m.top_manifests(known)
     shebang = clean.filter("has_node_shebang").select("repo_id").distinct()
     node = m.uses_node(top, shebang).withColumn("dependency", F.lit("Node.js"))
     dependencies = m.manifest_dependencies(top).unionByName(node)
     repos = known.select(*f.REPO).distinct()
     lines = repos.join(f.lines_of_code(own).drop("language"), list(f.REPO), "left")
-    warnings = findings.filter(F.col("language") == "JavaScript").join(repos, "repo_id")
+    found = findings.filter(F.col("language") == "JavaScript")
+    if "path" in findings.columns:
+        placed = found.filter("path IS NOT NULL")
+        found = f.clean_sources(m.drop_vendored(placed, vendored)).unionByName(found.filter("path IS NULL"))
+    warnings = found.join(repos, "repo_id")
     return (
         _message(dependencies, DEPENDENCE, language, F.col("dependency"))
         .unionByName(_message(warnings, WARNING, language, F.col("rule")))
@@ -79,6 +83,9 @@ def analyze_files(files: DataFrame, repositories: DataFrame, findings: DataFrame
     """All messages about repositories (repo_id, languages) from their files and the findings of
     linters (repo_id, language, rule). Too large or suspicious repositories give none.
 
+    Findings may have the ``path`` of their file, as in the table of files. Those in copied libraries,
+    minified scripts and linter settings of JavaScript then do not count; a null path is everywhere.
+
     Contents are read once, into a table of facts in the shared folder; verdicts about whole
     repositories are made from the facts, so no content is ever shuffled.
     """

@@ -19,10 +19,13 @@ def lint_rows(reports: DataFrame, col: str = "value", prefix: str = "WARN") -> D
     )
 
 
-def lint_json(reports: DataFrame, col: str = "value") -> DataFrame:
-    """JSON report -> one row per finding; a finding without a rule has the text ``null``."""
+def lint_json(reports: DataFrame, col: str = "value", path: str | None = None) -> DataFrame:
+    """JSON report -> one row per finding; a finding without a rule has the text ``null``.
+
+    ``path`` names a column for the file of the finding.
+    """
     keep = [c for c in reports.columns if c != col]
     files = reports.select(*keep, F.explode(F.from_json(F.col(col), LINT_JSON)).alias("_file"))
-    return files.select(*keep, F.explode("_file.messages").alias("_m")).select(
-        *keep, F.coalesce(F.col("_m.ruleId"), F.lit("null")).alias("rule")
-    )
+    place = [F.col("_file.filePath").alias(path)] if path else []
+    found = files.select(*keep, *place, F.explode("_file.messages").alias("_m"))
+    return found.select(*keep, *([path] if path else []), F.coalesce(F.col("_m.ruleId"), F.lit("null")).alias("rule"))

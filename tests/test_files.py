@@ -1,3 +1,4 @@
+import random
 import json
 
 import pytest
@@ -113,6 +114,23 @@ def test_manifests(tree):
     assert m.manifest_origin_ok(rows).count() == 1
 
 
+def test_vendored_folders_by_all_parents(table):
+    """Nested and neighbouring folders, against a look at every parent folder of every file."""
+    rng = random.Random(2)
+    parts = ["a", "b", "a-b", "a.b", "a0", "é"]
+
+    def path():
+        return "./" + "/".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+
+    dirs = {(rng.choice("rst"), path()) for _ in range(25)}
+    files = [(rng.choice("rstu"), path() + "/f.js") for _ in range(200)] + [("r", None)]
+    got = m.drop_vendored(table("repo_id string, path string", *files), table("repo_id string, dir string", *dirs))
+    want = [(r, p) for r, p in files if p is None or not any((r, p[:i]) in dirs for i, c in enumerate(p) if c == "/")]
+    assert rows_of(got) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 0
+
+
 @pytest.mark.parametrize("url, ok", [
     (None, True), ("git@host:me/proj.git", True), ("https://host/you/proj", False),
     ("https://host/notme/proj", False)])
