@@ -9,11 +9,9 @@ import hashlib
 import heapq
 import json
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
-import pandas as pd
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +22,11 @@ from skilltide.storage import new_path
 from .files import write
 from .frequent import most_frequent
 from .lexicon import Lexicon, build
+from .rows import mapped
 from .ship import ship
 
 LEXICON_WORDS = 1 << 15
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 19
 LONG_WORD = 64  # words of more bytes are merged with a heap and not remembered
 # white space is spelled out, since engines differ on \s
 SPACE = r"\t-\r\x20\x85\xA0  -     　"
@@ -123,8 +122,9 @@ class _Words(dict):
         found = self.lexicon.get(raw) if self.lexicon else None
         ids = tuple(self.vocabulary.merge(raw) if found is None else found)
         if len(raw) <= LONG_WORD:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
+            if len(self) >= CACHE_WORDS:  # those that came first go; frequent ones soon come back
+                for old in list(islice(self, CACHE_WORDS // 4)):
+                    del self[old]
             self[word] = ids
         return ids
 
@@ -208,17 +208,10 @@ def _coded(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, le
     vocabulary = Vocabulary(content)
     name = send_lexicon(spark, frequent_words(docs, text_col, lexicon_words), vocabulary)
     shared = spark.sparkContext.broadcast(content)
-    columns = [c.split()[0] for c in schema.split(", ")]
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(texts: list[str | None]) -> list[tuple]:
         coder = _worker_coder(name, shared.value)
-        for pdf in batches:
-            out = []
-            for text in pdf["_text"]:
-                ids = coder.encode(text or "")
-                out.append(make(ids, coder.decode(ids)))
-            yield pd.DataFrame(out, columns=columns).assign(doc_id=pdf["_id"].to_numpy())
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(
-        code, f"{schema}, doc_id {id_type}").select("doc_id", *columns)
+        coded = [coder.encode(text or "") for text in texts]
+        return [make(ids, coder.decode(ids)) for ids in coded]
+
+    return mapped(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), code, schema)

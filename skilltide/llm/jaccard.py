@@ -211,13 +211,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(spark)
     bands = bands_for(threshold, rows, recall)
     source = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("doc_id"),
         text_key(F.col(text_col)).alias("text_key"), word_hashes(F.col(text_col)).alias("hashes"))
-    id_type = docs.schema[id_col].dataType.simpleString()
+    # ids pass pandas as texts, which would make rounded floats of longs with a null among them
     signed = settle(source.mapInPandas(
         _signer(size, bands, rows),
-        f"row long, doc_id {id_type}, text_key long, digest binary, n int, bands array<long>"),
-        "signatures")
+        "row long, doc_id string, text_key long, digest binary, n int, bands array<long>").withColumn(
+        "doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)), "signatures")
 
     # classes of equal sets; the representative is the row with the smallest id
     full = signed.where("n > 0")

@@ -243,8 +243,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, whose language is recognised with this score."""
+                      lang_col: str = "lang") -> DataFrame:
+    """The documents, with all their columns, whose language is recognised: those that are not ``und``."""
     model = train(docs, id_col, text_col, lang_col)
     judged = docs.select(F.struct("*").alias("row"), predicted(docs, model, text_col).alias("p"))
-    return judged.where((F.col("p.lang") != "und") & (F.col("p.score") >= min_score)).select("row.*")
+    return judged.where(F.col("p.lang") != "und").select("row.*")

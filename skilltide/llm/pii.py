@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from skilltide.storage import settle
 
+from .rows import mapped
 from .ship import ship
 from .tagger import Tagger, classes
 
@@ -316,26 +317,21 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
     names = [f"n_{k}" for k in KINDS]
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(all_texts: list[str | None]) -> list[tuple]:
         nothing = (*[0] * len(KINDS), hashlib.sha256(b"").hexdigest(), "", 0)
-        for pdf in batches:
-            out = [nothing] * len(pdf)
-            some = [i for i, text in enumerate(pdf["_text"]) if text]
-            texts = [pdf["_text"].iat[i] for i in some]
-            bases = [base_spans(t) for t in texts]
-            found = tagged(shared.value, texts) if shared.value else [[] for _ in texts]
-            for i, text, base, more in zip(some, texts, bases, found):
-                added = reconcile(text, base, more)
-                counts = [sum(s[2] == k for s in base) for k in KINDS]
-                digest = hashlib.sha256(listed(base).encode()).hexdigest()
-                out[i] = (*counts, digest, listed(base + added), len(added))
-            yield pd.DataFrame(out, columns=[*names, "base_sha256", "spans", "n_added"]).assign(
-                doc_id=pdf["_id"].to_numpy())
-
-    id_type = docs.schema[id_col].dataType.simpleString()
+        out = [nothing] * len(all_texts)
+        some = [i for i, text in enumerate(all_texts) if text]
+        texts = [all_texts[i] for i in some]
+        bases = [base_spans(t) for t in texts]
+        found = tagged(shared.value, texts) if shared.value else [[] for _ in texts]
+        for i, text, base, more in zip(some, texts, bases, found):
+            added = reconcile(text, base, more)
+            counts = [sum(s[2] == k for s in base) for k in KINDS]
+            digest = hashlib.sha256(listed(base).encode()).hexdigest()
+            out[i] = (*counts, digest, listed(base + added), len(added))
+        return out
+
     # texts without any place stay in the JVM
     text = F.when(F.col(text_col).rlike(PLACE), F.col(text_col)).alias("_text")
-    return docs.select(F.col(id_col).alias("_id"), text).mapInPandas(
-        find, ", ".join(f"{n} long" for n in names)
-        + f", base_sha256 string, spans string, n_added long, doc_id {id_type}").select(
-        "doc_id", *names, "base_sha256", "spans", "n_added")
+    return mapped(docs.select(F.col(id_col).alias("_id"), text), find,
+                  ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string, n_added long")

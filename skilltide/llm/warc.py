@@ -35,7 +35,7 @@ CAPTURES_PER_RANGE = 200_000
 FIRST_CAPTURE = datetime.datetime(2024, 1, 1)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ORDER = ["urlkey", "timestamp", "file", "offset"]
-RUN = "urlkey string, timestamp string, page_id long, file string, offset long, length long"
+RUN = "urlkey string, timestamp string, page_id string, file string, offset long, length long"
 
 
 def url_key(url: Column) -> Column:
@@ -102,6 +102,10 @@ def _whole(value) -> int | None:
     return None if pd.isna(value) else int(value)
 
 
+def _shown(number: int | None) -> str | None:
+    return None if number is None else str(number)
+
+
 def write_archives(pages: DataFrame, address: str, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html") -> DataFrame:
     """Write the archives below ``address``; the result lists the captures of each file as a sorted
@@ -125,8 +129,7 @@ def write_archives(pages: DataFrame, address: str, id_col: str = "page_id", url_
         def finished() -> pd.DataFrame:
             out.close()
             run.sort(key=lambda c: (c[0], c[1], c[3], c[4]))
-            frame = pd.DataFrame(run, columns=["urlkey", "timestamp", "page_id", "file", "offset", "length"])
-            return frame.astype({"page_id": "Int64"})
+            return pd.DataFrame(run, columns=["urlkey", "timestamp", "page_id", "file", "offset", "length"])
 
         for pdf in batches:
             for page_id, url, text, digest, key, first in zip(
@@ -138,7 +141,7 @@ def write_archives(pages: DataFrame, address: str, id_col: str = "page_id", url_
                 revisit = first is not None and page != first
                 member = record(page, url, text.encode(), digest, first, revisit)
                 out.write(member)
-                run.append((key, capture_time(page), page, name, size, len(member)))
+                run.append((key, capture_time(page), page_id, name, size, len(member)))
                 size += len(member)
                 if size >= FILE_BYTES:
                     yield finished()
@@ -146,7 +149,9 @@ def write_archives(pages: DataFrame, address: str, id_col: str = "page_id", url_
         if out is not None:
             yield finished()
 
-    return linked.select("page_id", "url", "payload", "digest", "urlkey", "first_id").mapInPandas(write, RUN)
+    # ids pass pandas as texts, which would make rounded floats of longs with a null among them
+    return linked.select(F.col("page_id").cast("string"), "url", "payload", "digest", "urlkey",
+                         F.col("first_id").cast("string")).mapInPandas(write, RUN)
 
 
 def merged_index(runs: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def merged_index(runs: DataFrame) -> DataFrame:
         def captures() -> Iterator[tuple]:
             for pdf in batches:
                 names[:] = list(pdf.columns)
-                yield from pdf.astype({"page_id": "Int64"}).itertuples(index=False, name=None)
+                yield from pdf.itertuples(index=False, name=None)
 
         def key(c: tuple) -> tuple:
             return c[0], c[1], c[3], c[4]
@@ -168,12 +173,13 @@ def merged_index(runs: DataFrame) -> DataFrame:
         for capture in merge(natural_runs(captures(), key), key):
             out.append(capture)
             if len(out) == 50_000:
-                yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64"})
+                yield pd.DataFrame(out, columns=names)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
-    return runs.repartitionByRange(ranges, *ORDER).mapInPandas(merge_range, RUN)
+    return runs.repartitionByRange(ranges, *ORDER).mapInPandas(merge_range, RUN).withColumn(
+        "page_id", F.col("page_id").cast("long"))
 
 
 def read_archives(index: DataFrame, address: str) -> DataFrame:
@@ -190,15 +196,16 @@ def read_archives(index: DataFrame, address: str) -> DataFrame:
                         source.close()
                     name, source = file, system.open_input_file(f"{folder}/{file}")
                 out.append(parse(source.read_at(int(length), int(offset))))
-            frame = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type",
+            shown = [r | {c: _shown(r[c]) for c in ("page_id", "refers_to")} for r in out]
+            yield pd.DataFrame(shown, columns=["page_id", "payload_bytes", "payload_digest", "record_type",
                                                "refers_to"])
-            yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
         if source is not None:
             source.close()
 
     placed = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return placed.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, "
-                              "record_type string, refers_to long")
+    found = placed.mapInPandas(read, "page_id string, payload_bytes long, payload_digest string, "
+                               "record_type string, refers_to string")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def capture_index(pages: DataFrame, address: str, id_col: str = "page_id", url_col: str = "url",
