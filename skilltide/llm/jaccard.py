@@ -30,7 +30,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 ROWS = 5
 RECALL = 0.99999
-BLOCK = 512
+BLOCK = 4096  # members of a bucket compared with as many others in one task
+BLOCK_SHINGLES = 1 << 19  # that those hold, about
 CHUNK = 1 << 17  # shingles hashed at a time
 WORD_BREAKS = "[^\\p{L}\\p{N}]+"
 
@@ -224,17 +225,18 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row",
                            "text_key", "n", "bands"))
     reps = settle(full.groupBy("digest").agg(F.count("*").alias("weight"), first.alias("r")).select(
-        "digest", "weight", F.col("r.row").alias("member"), "r.doc_id", "r.text_key", "r.bands"),
+        "digest", "weight", F.col("r.row").alias("member"), "r.doc_id", "r.text_key", "r.n", "r.bands"),
         "representatives")
 
-    exploded = reps.select("member", F.explode("bands").alias("bucket"))
+    exploded = reps.select("member", "n", F.explode("bands").alias("bucket"))
     buckets = exploded.groupBy("bucket").agg(
-        F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("member"), 20)).alias("s1"),
+        F.count("*").alias("m"), F.sum("n").alias("held"), F.sum(F.shiftright(F.xxhash64("member"), 20)).alias("s1"),
         F.sum(F.shiftright(F.xxhash64("member", F.lit(1)), 20)).alias("s2"),
-    ).where("m > 1").groupBy("m", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+    ).where("m > 1").groupBy("m", "s1", "s2").agg(
+        F.min("bucket").alias("bucket"), F.max("held").alias("held")).select("bucket", "m", "held")
     buckets = settle(buckets, "buckets").where("m > 1")
     with filtered_joins(spark):
-        members = settle(exploded.join(buckets, "bucket"), "bucket-members")
+        members = settle(exploded.drop("n").join(buckets, "bucket"), "bucket-members")
     own = members.groupBy("member").agg(F.collect_set("bucket").alias("buckets"))
 
     # full sets of the members, from their texts
@@ -256,7 +258,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sets = texts.mapInPandas(
         to_sets, "member long, weight long, buckets array<long>, shingles array<long>")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
     placed = members.select("member", "bucket", blocks.alias("blocks")).withColumn(
         "block", F.pmod(F.xxhash64("member", F.lit(2)), F.col("blocks")).cast("int"))
     spread = placed.select("member", "bucket", "block", F.explode(
