@@ -175,12 +175,12 @@ class CutOff(DeveloperJob):
 
 @query(_STORED)
 def stream_restart(d: Data) -> DataFrame:
-    """Several batches, one of them cut off between two tables; after that nothing of it is seen, and the
-    restarted stream repeats it. Stored batches are merged on the way."""
+    """Two batches, the second cut off between two tables; after that nothing of it is seen, and the
+    restarted stream repeats it. Then both are merged."""
     pages = new_path(d.spark, "pages")
     # an owner's repositories come together, as one search lists them
     owner = F.get_json_object("value", "$.nodes[0].owner.id")
-    d.pages.repartition(4, owner).write.text(pages)
+    d.pages.repartition(2, owner).write.text(pages)
     job, position = developer_job(d, CutOff, merge_every=2), new_path(d.spark, "check")
 
     def run() -> None:
