@@ -175,6 +175,23 @@ def wildcard_name_join(d: Data) -> DataFrame:
     return names.match_names(first.unionByName(second), stored).drop("lexeme")
 
 
+@query("""WITH patterns AS (
+  SELECT c_custkey, unnest(['%' || right(c_name, 4) || '%', 'customer#%' || right(c_name, 3),
+    '%#____' || substr(c_name, 14, 4) || '_']) AS pattern FROM customer),
+names AS (SELECT lower(c_name) AS name FROM customer UNION SELECT s_name FROM supplier)
+SELECT DISTINCT c_custkey, pattern, name FROM patterns JOIN names ON name ILIKE pattern""")
+def wildcard_login_join(d: Data) -> DataFrame:
+    """Wildcards anywhere, asked by every customer of all names; most runs are shared by all names."""
+    own = F.col("c_name")
+    customer = d.table("customer")
+    patterns = customer.select("c_custkey", F.explode(F.array(
+        F.concat(F.lit("%"), F.right(own, F.lit(4)), F.lit("%")),
+        F.concat(F.lit("customer#%"), F.right(own, F.lit(3))),
+        F.concat(F.lit("%#____"), F.substring(own, 14, 4), F.lit("_")))).alias("pattern"))
+    stored = customer.select(F.lower(own).alias("name")).union(d.table("supplier").select("s_name")).distinct()
+    return names.match_names(patterns, stored, "pattern").distinct()
+
+
 # --- places ---
 
 @query(f"""WITH {GAZETTEER}, texts AS (

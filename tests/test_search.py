@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows_of
@@ -11,7 +12,7 @@ from skilltide.functions.fixed import TOKEN_TYPES
 from skilltide.functions.text import extract_lexemes
 from skilltide.operators import ranked, search as op, tokens as t
 from skilltide.operators.locations import GAZETTEER, resolve_location
-from skilltide.operators.names import match_names
+from skilltide.operators.names import match_names, match_prefixes
 from skilltide.plans import ranking, searching
 from skilltide.schemas import TABLES
 
@@ -106,6 +107,28 @@ def test_live_wildcards(table):
     assert escaped == [("eslint_d", "eslint_d")]
 
 
+WORDS = st.text("aAb_%\u00e9", max_size=5)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(WORDS, max_size=6), st.lists(st.text("aAb_-\u00e9", max_size=6), max_size=8))
+def test_wildcards_against_every_pair(spark, patterns, names):
+    """Runs at the start, in the middle, at the end and none at all; repeats and nulls."""
+    left = spark.createDataFrame([(p,) for p in [*patterns, "a%b", "%a_%", None]], "lexeme string")
+    right = spark.createDataFrame([(n,) for n in [*names, "aab", "aab", None]], "name string")
+    every = [(p, n) for p, in left.collect() for n, in right.collect() if p is not None and n is not None]
+
+    def like(pattern, name):
+        rule = "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in pattern.lower())
+        return re.fullmatch(rule, name.lower()) is not None
+
+    assert rows_of(match_names(left, right)) == sorted([(p, n) for p, n in every if like(p, n)], key=str)
+    assert rows_of(match_prefixes(left, right)) == sorted(
+        [(p, n) for p, n in every if like(p + "%", n)], key=str)
+    assert rows_of(match_prefixes(left, right, escape=True)) == sorted(
+        [(p, n) for p, n in every if n.lower().startswith(p.lower())], key=str)
+
+
 def search(table, tables, text, page=1, order="grade"):
     ranks = ranking.rank_users(tables, order)
     results = searching.search(queries(table, text, page=page), ranks, searching.search_index(tables, ranks), tables)
