@@ -106,9 +106,10 @@ def _windows(rests: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, text_key, unit, license, dice): runs of lines that reach the threshold. Of runs that
     overlap, the one with the highest product of coefficient and common bigrams stays.
 
-    A run begins and ends at a line with a bigram of the template. For every first line the lines after it
-    are added one by one; a bigram counts where it first occurs from there on, that is if the line
-    of its occurrence before (``prev``) comes before the first line.
+    A run begins and ends at a line with a bigram of the template. Lines are taken from the last to the first, with
+    the next occurrence of every bigram from there on, nearest first; those of the line move to the front.
+    No run has more than ``high`` times the bigrams of its template, so the list is cut there and the work
+    grows with the lines, however often a notice is repeated.
     """
     key = ["doc_id", "text_key", "rest"]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -128,42 +129,55 @@ def _windows(rests: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
             .groupBy(*key, "template", "license", "t_size").agg(F.count("*").alias("common"))
             .where(F.col("common") >= least).drop("common"))
     hits = F.broadcast(table.select("template", "gram", F.lit(True).alias("hit")))
-    place = F.struct("prev", "lo")
+    place = F.struct("gram", "hi", F.coalesce("hit", F.lit(False)).alias("hit"))
     per_line = (
         _joined(places, fits, key).join(hits, ["template", "gram"], "left")
-        .groupBy(*key, "template", "license", "t_size", "hi")
-        .agg(F.collect_list(place).alias("every"), F.collect_list(F.when(F.col("hit"), place)).alias("hits")))
+        .groupBy(*key, "template", "license", "t_size", "lo").agg(F.collect_list(place).alias("places")))
     rows = per_line.groupBy(*key, "template", "license", "t_size").agg(
-        F.array_sort(F.collect_list(F.struct("hi", "every", "hits"))).alias("lines"))
-
-    def fresh(of: Column, start: Column) -> Column:
-        return F.size(F.filter(of, lambda o: (o["lo"] >= start) & (o["prev"] < start)))
-
-    def step(start: Column):
-        def add(acc: Column, line: Column) -> Column:
-            def scored(x: Column) -> Column:
-                dice = 2 * x["common"] / (x["size"] + F.col("t_size"))
-                return _let(F.struct(x["size"].alias("size"), x["common"].alias("common"), dice.alias("dice")),
-                            lambda y: F.struct(y["size"].alias("size"), y["common"].alias("common"), F.when(
-                                (y["dice"] >= threshold) & (y["dice"] * y["common"] > acc["best"]["score"]),
-                                F.struct((y["dice"] * y["common"]).alias("score"), y["dice"].alias("dice"),
-                                         line["hi"].alias("end"))).otherwise(acc["best"]).alias("best")))
-            more = F.struct((acc["size"] + fresh(line["every"], start)).alias("size"),
-                            (acc["common"] + fresh(line["hits"], start)).alias("common"))
-            # a run only grows
-            return F.when(acc["size"] > F.col("t_size") * high, acc).otherwise(_let(more, scored))
-        return add
-
-    none = F.struct(F.lit(0).alias("size"), F.lit(0).alias("common"), F.struct(
-        F.lit(0.0).alias("score"), F.lit(0.0).alias("dice"), F.lit(-1).alias("end")).alias("best"))
-    starts = F.array_distinct(F.flatten(F.transform(
-        "lines", lambda x: F.transform(x["hits"], lambda h: h["lo"]))))
-    every_hit = F.flatten(F.transform("lines", lambda x: x["hits"]))
-    ahead = rows.withColumn("hits", every_hit).withColumn("start", F.explode(starts)).where(
-        fresh(F.col("hits"), F.col("start")) >= least).drop("hits")
+        F.sort_array(F.collect_list(F.struct("lo", "places")), asc=False).alias("lines"))
+
+    def ended(acc: Column) -> Column:
+        """The best run so far, with the one that ends at the line of ``acc``."""
+        dice = 2 * acc["common"] / (acc["size"] + F.col("t_size"))
+        return _let(dice, lambda d: F.when(
+            (d >= threshold) & (d * acc["common"] > acc["best"]["score"]),
+            F.struct((d * acc["common"]).alias("score"), d.alias("dice"), acc["hi"].alias("end"))
+        ).otherwise(acc["best"]))
+
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("dice"), F.lit(-1).alias("end"))
+
+    def best_run(ahead: Column) -> Column:
+        start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("common"), F.lit(-1).alias("hi"), none.alias("best"))
+        return F.aggregate(ahead, start, lambda acc, x: F.struct(
+            (acc["size"] + 1).alias("size"), (acc["common"] + x["hit"].cast("int")).alias("common"),
+            x["hi"].alias("hi"), F.when(x["hi"] == acc["hi"], acc["best"]).otherwise(ended(acc)).alias("best")), ended)
+
+    reach = F.floor(F.col("t_size") * high).cast("int") + 1
+
+    def moved(ahead: Column, line: Column) -> Column:
+        grams = F.transform(line["places"], lambda x: x["gram"])
+        return F.slice(F.concat(
+            F.filter(line["places"], lambda x: x["hi"] == line["lo"]),
+            F.filter(line["places"], lambda x: x["hi"] > line["lo"]),
+            _let(grams, lambda own: F.filter(ahead, lambda x: ~F.array_contains(own, x["gram"])))), F.lit(1), reach)
+
+    def step(acc: Column, line: Column) -> Column:
+        def found(ahead: Column) -> Column:
+            enough = F.exists(line["places"], lambda x: x["hit"]) & (
+                F.size(F.filter(ahead, lambda x: x["hit"])) >= least)
+            run = F.when(enough, best_run(ahead)).otherwise(none)
+            return F.struct(ahead.alias("ahead"), _let(run, lambda r: F.when(
+                r["end"] >= 0, F.array_append(acc["runs"], F.struct(line["lo"].alias("start"), r.alias("best")))
+            ).otherwise(acc["runs"])).alias("runs"))
+        return _let(moved(acc["ahead"], line), found)
+
+    nothing = F.struct(
+        F.array().cast("array<struct<gram:bigint,hi:int,hit:boolean>>").alias("ahead"),
+        F.array().cast("array<struct<start:int,best:struct<score:double,dice:double,end:int>>>").alias("runs"))
     start = F.col("start")
-    runs = ahead.withColumn("best", F.aggregate(
-        F.filter("lines", lambda x: x["hi"] >= start), none, step(start))["best"]).where("best.end >= 0")
+    runs = rows.select(*key, "template", "license", F.explode(
+        F.aggregate("lines", nothing, step, lambda acc: acc["runs"])).alias("run")).select(
+        *key, "template", "license", "run.*")
     listed = F.sort_array(F.collect_list(F.struct(
         "best.score", "best.dice", (-F.col("template")).alias("order"), (-start).alias("back"), "start",
         F.col("best.end").alias("end"), "license")), asc=False)
