@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and a character BiLSTM-CRF that adds spans they miss.
 
 The tagger learns from spans that the patterns label in a bounded sample of the windows of all documents,
-and from the same windows with the spans rewritten in looser forms (``rewritten``). A span must hold a digit, an ``@`` or a
-bracketed "at"; so only windows around such places can have one, and all of them are decoded, in every
-whole text. Windows overlap by half. Their spans are reconciled over the whole text: pieces cut at
-window edges are joined, spans that overlap a pattern's are dropped, and of the rest the
-non-overlapping set of the highest total score is taken.
+and from the same windows with the spans rewritten in looser forms (``rewritten``). Overlapping windows cover
+every whole text. A span that the tagger marks counts only if it is ``plausible``: numbers need digits, an
+address an ``@`` or the word "at". So windows without any of these in reach need no decoding; all others
+are decoded. Their spans are reconciled over the whole text: pieces cut at window edges are joined,
+spans that overlap a pattern's are dropped, and of the rest the non-overlapping set of the highest
+total score is taken.
 """
 
 import hashlib
@@ -13,7 +14,7 @@ import heapq
 import random
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import zip_longest
 
 import numpy as np
@@ -25,13 +26,14 @@ from skilltide.storage import settle
 
 from .rows import mapped
 from .ship import ship
-from .tagger import Tagger, classes
+from .tagger import Lean, Tagger, classes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
-WINDOW, STRIDE, MARGIN = 96, 48, 32
-TRAIN_WINDOWS = 384
-EPOCHS = 8
+WINDOW, STRIDE, REACH = 192, 128, 64  # of decoding
+PADDED = 32  # shorter windows are filled up to a multiple
+TRAIN_WINDOWS, TRAIN_WINDOW, MARGIN = 480, 48, 24
+EPOCHS = 10
 CERTAIN = 0.8
 BATCH = 256
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,10 +42,12 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-PLACE = r"[0-9@]|[\[({] ?(?:at|AT) ?[\])}]"
-PLACES = re.compile(PLACE)
-LOOSE_EMAIL = re.compile(
-    r"[\w.%+-]+ ?(?:@|[\[({] ?(?:at|AT) ?[\])}]) ?[\w-]+(?: ?(?:\.|[\[({] ?(?:dot|DOT) ?[\])}]) ?[\w-]+)+\Z")
+NUMBERED = re.compile("[0-9@]")
+PLACES = re.compile(r"[0-9@]|[\W_](?:at|AT|At|aT)[\W_]")
+# words for the marks of an address, within any other marks
+SPELLED = ((re.compile(r"[\W_]{1,3}at[\W_]{1,3}", re.IGNORECASE), "@"),
+           (re.compile(r"[\W_]{1,3}dot[\W_]{1,3}", re.IGNORECASE), "."))
+LOOSE_EMAIL = re.compile(r"[\w.%+-]+\s?@\s?[\w-]+(?:\s?\.\s?[\w-]+)+")
 Span = tuple[int, int, str]
 
 
@@ -96,31 +100,27 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in ordered)
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over every place that may hold personal data, with MARGIN around it."""
-    out: list[tuple[int, int]] = []
-    regions: list[list[int]] = []
-    for m in PLACES.finditer(text):
-        lo, hi = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if regions and lo <= regions[-1][1]:
-            regions[-1][1] = hi
-        else:
-            regions.append([lo, hi])
-    for lo, hi in regions:
-        start = lo
-        while True:
-            out.append((start, min(start + WINDOW, hi)))
-            if start + WINDOW >= hi:
-                break
-            start += STRIDE
-    return out
+def windows(text: str, size: int = WINDOW, stride: int = STRIDE) -> list[tuple[int, int]]:
+    """Overlapping windows that cover the text."""
+    last = max(len(text) - size, 0)
+    starts = range(0, last + stride, stride) if last else range(bool(text))
+    return [(min(start, last), min(start, last) + min(size, len(text))) for start in starts]
+
+
+def worth_decoding(text: str) -> list[tuple[int, int]]:
+    """The windows that reach, by REACH characters, something without which no span is plausible."""
+    places = [m.start() for m in PLACES.finditer(text)]
+    return [(start, end) for start, end in windows(text)
+            if bisect_left(places, start - REACH) < bisect_left(places, end + REACH)] if places else []
 
 
 def plausible(text: str, kind: str) -> bool:
     """Whether a string that the tagger marked can be such a thing at all."""
     digits = _digits(text)
     if kind == "email":
-        return bool(LOOSE_EMAIL.match(text))
+        for spelled, mark in SPELLED:
+            text = spelled.sub(mark, text)
+        return bool(LOOSE_EMAIL.fullmatch(text))
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(map(_byte, parts)) and len(digits) < len(text)
@@ -174,9 +174,13 @@ def reconcile(text: str, base: list[Span], found: list[tuple[int, int, str, floa
 def rewritten(kind: str, text: str, r: random.Random) -> str:
     """The same thing in a form the patterns miss."""
     if kind == "email":
-        at, dot = r.choice([(" [at] ", "."), ("(at)", "."), (" (at) ", " (dot) "), ("[at]", "[dot]")])
+        left, right = r.choice(["[]", "()", "{}", "<>", "__", "--", "  ", "  "])
+        space = "" if left in " _-" else r.choice(["", " "])
+        at, dot = (f"{space}{left}{r.choice([word, word.upper()])}{right}{space}" for word in ("at", "dot"))
+        if left != " " and r.random() < 0.4:
+            dot = "."
         local, _, domain = text.partition("@")
-        return local + at + domain.replace(".", dot)
+        return local + r.choice([at, at, at, " @ "]) + domain.replace(".", dot)
     if kind == "ip":
         return text.replace(".", r.choice(["[.]", " . ", "(.)"]))
     digits = _digits(text)
@@ -189,7 +193,7 @@ def rewritten(kind: str, text: str, r: random.Random) -> str:
 
 
 def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and labels of windows around the places of the texts: as they are, and rewritten."""
+    """Classes and labels of the texts: as they are, and with their spans rewritten."""
     r = random.Random(9)
     inputs, golds = [], []
     for text in texts:
@@ -213,17 +217,15 @@ def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for start, end, kind in spans:
                 labels[start:end] = 2 + 2 * KINDS.index(kind)
                 labels[start] -= 1
-            for start, end in windows(whole):
-                row, gold = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-                row[:end - start] = classes(whole[start:end])
-                part = labels[start:end]
-                cut = 0  # a span that began before the window is not labelled in it
-                while cut < len(part) and part[cut] and part[cut] % 2 == 0:
-                    cut += 1
-                gold[cut:end - start] = part[cut:]
-                inputs.append(row)
-                golds.append(gold)
-    return np.array(inputs).reshape(-1, WINDOW), np.array(golds).reshape(-1, WINDOW)
+            inputs.append(classes(whole))
+            golds.append(labels)
+    size = padded(max(map(len, inputs), default=0))
+    return tuple(np.array([np.pad(row, (0, size - len(row))) for row in rows], np.int64).reshape(-1, size)
+                 for rows in (inputs, golds))
+
+
+def padded(length: int) -> int:
+    return -(-length // PADDED) * PADDED
 
 
 def new_tagger() -> Tagger:
@@ -237,12 +239,13 @@ def new_tagger() -> Tagger:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           train_windows: int = TRAIN_WINDOWS) -> Tagger | None:
-    """Learn from the windows that come first by a hash, of all windows of all documents: three quarters
-    labelled, as evenly over the kinds as there are any, the rest without a label. None without any example."""
+    """Learn from the windows that come first by a hash, of all windows of all documents: three fifths
+    labelled, as evenly over the kinds as there are any, a fifth with digits or ``@`` but without a label, a
+    fifth without either. None without any example."""
 
     ship(docs.sparkSession)
-    labelled = train_windows * 3 // 4
-    bounds = {**dict.fromkeys(KINDS, labelled), "": train_windows // 4}
+    labelled = train_windows * 3 // 5
+    bounds = {**dict.fromkeys(KINDS, labelled), "numbered": train_windows // 5, "plain": train_windows // 5}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The first windows of a task, for each kind and without."""
@@ -254,13 +257,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     starts, stops = ends.setdefault(kind, ([], []))
                     starts.append(s)
                     stops.append(e)
-                for start, end in windows(text):
+                for start, end in windows(text, TRAIN_WINDOW, TRAIN_WINDOW):
                     lo, hi = max(0, start - MARGIN), min(len(text), end + MARGIN)
                     shown = [kind for kind, (starts, stops) in ends.items()
                              if bisect_right(stops, lo) < bisect_left(starts, hi)]
                     digest = hashlib.blake2b(b"%d:%d" % (order, start), digest_size=7).digest()
                     entry = (-int.from_bytes(digest, "big"), text[lo:hi])
-                    for kind in shown or [""]:
+                    for kind in shown or ["numbered" if NUMBERED.search(text, lo, hi) else "plain"]:
                         part, full = kept[kind], len(kept[kind]) >= bounds[kind]
                         if full and not (part and entry > part[0]) or entry in part:
                             continue
@@ -269,12 +272,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            columns=["kind", "key", "piece"])
 
     drawn = settle(docs.select(F.xxhash64(id_col, F.lit(3)).alias("order"), F.col(text_col).alias("_text")).where(
-        F.col("_text").rlike(PLACE)).mapInPandas(cut, "kind string, key long, piece string"), "windows")
+        "_text <> ''").mapInPandas(cut, "kind string, key long, piece string"), "windows")
     first = {kind: drawn.where(F.col("kind") == kind).select("key", "piece").distinct().orderBy(
         "key", "piece").limit(n).collect() for kind, n in bounds.items()}
     # the kinds take turns, and a window of several kinds is taken once
     turns = dict.fromkeys(row for turn in zip_longest(*[first[k] for k in KINDS]) for row in turn if row)
-    rows = [*list(turns)[:labelled], *first[""]]
+    rows = [*list(turns)[:labelled], *first["numbered"], *first["plain"]]
     if not turns:
         return None
     ids, gold = examples([row["piece"] for row in rows])
@@ -283,25 +286,36 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return tagger
 
 
-def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
-    """Spans (start, end, kind, score) that the windows of each text show."""
-    where = [(i, start, end) for i, text in enumerate(texts) for start, end in windows(text)]
+def tagged(tagger: Tagger, texts: list[str], lean: Lean | None = None,
+           chosen: Callable[[str], list[tuple[int, int]]] = worth_decoding) -> list[list[tuple[int, int, str, float]]]:
+    """Spans (start, end, kind, score) that the windows of each text show, whatever they are batched with."""
     out: list[list] = [[] for _ in texts]
-    for at in range(0, len(where), BATCH):
-        part = where[at:at + BATCH]
-        ids = np.zeros((len(part), WINDOW), np.int64)
-        for row, (i, start, end) in zip(ids, part):
-            row[:end - start] = classes(texts[i][start:end])
-        paths, sure = tagger.decode(ids)
-        for (i, start, end), path, p in zip(part, paths, sure):
-            begins = np.flatnonzero(path % 2 == 1)
-            for b in begins:
+    lean = lean or tagger.lean()
+    waiting: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+
+    def decode(part: list[tuple[int, int, np.ndarray]], size: int) -> None:
+        ids = np.zeros((len(part), size), np.int64)
+        for row, (_, _, window) in zip(ids, part):
+            row[:len(window)] = window
+        for at, path, p in zip(*tagger.decode(ids, lean)):
+            i, start, window = part[at]
+            for b in np.flatnonzero(path[:len(window)] % 2 == 1):
                 e = b + 1
-                while e < end - start and path[e] == path[b] + 1:
+                while e < len(window) and path[e] == path[b] + 1:
                     e += 1
-                if e <= end - start:
-                    out[i].append((start + int(b), start + int(e), KINDS[(path[b] - 1) // 2],
-                                   float(p[b:e].mean())))
+                out[i].append((start + int(b), start + int(e), KINDS[(path[b] - 1) // 2], float(p[b:e].mean())))
+
+    for i, text in enumerate(texts):
+        for start, end in chosen(text):
+            size = padded(end - start)
+            part = waiting.setdefault(size, [])
+            part.append((i, start, classes(text[start:end])))
+            if len(part) == BATCH:
+                decode(part, size)
+                part.clear()
+    for size, part in waiting.items():
+        if part:
+            decode(part, size)
     return out
 
 
@@ -314,7 +328,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other columns are ignored.
     """
     tagger = train(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    shared = docs.sparkSession.sparkContext.broadcast((tagger, tagger.lean()) if tagger else None)
     names = [f"n_{k}" for k in KINDS]
 
     def find(all_texts: list[str | None]) -> list[tuple]:
@@ -323,7 +337,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         some = [i for i, text in enumerate(all_texts) if text]
         texts = [all_texts[i] for i in some]
         bases = [base_spans(t) for t in texts]
-        found = tagged(shared.value, texts) if shared.value else [[] for _ in texts]
+        found = [[] for _ in texts]
+        if shared.value:
+            tagger, lean = shared.value
+            found = tagged(tagger, texts, lean)
         for i, text, base, more in zip(some, texts, bases, found):
             added = reconcile(text, base, more)
             counts = [sum(s[2] == k for s in base) for k in KINDS]
@@ -331,7 +348,5 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out[i] = (*counts, digest, listed(base + added), len(added))
         return out
 
-    # texts without any place stay in the JVM
-    text = F.when(F.col(text_col).rlike(PLACE), F.col(text_col)).alias("_text")
-    return mapped(docs.select(F.col(id_col).alias("_id"), text), find,
+    return mapped(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), find,
                   ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string, n_added long")

@@ -4,23 +4,30 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-# every character of these has a class of its own; then digits, other letters by case, the rest
-OWN = "\0@.+-() _%,;:/\n='\"[]{}atdo"
+# padding, then every printable ASCII character but digits, which share a class, and the line break;
+# other characters of the first plane by case, then all the rest
+OWN = "\0\n" + "".join(chr(c) for c in range(32, 127) if not 48 <= c <= 57)
 DIGIT, LOWER, UPPER, OTHER = range(len(OWN), len(OWN) + 4)
 CLASSES = OTHER + 1
 
 
-def classes(text: str) -> np.ndarray:
-    """The class of each character."""
-    return np.array([_CLASS.get(c) if c in _CLASS else DIGIT if "0" <= c <= "9" else
-                     LOWER if c.islower() else UPPER if c.isupper() else OTHER for c in text], np.int64)
+def _class(c: str) -> int:
+    if c in OWN:
+        return OWN.index(c)
+    return DIGIT if "0" <= c <= "9" else LOWER if c.islower() else UPPER if c.isupper() else OTHER
+
+
+_TABLE = np.array([_class(chr(c)) for c in range(1 << 16)], np.uint8)
 
 
-_CLASS = {c: i for i, c in enumerate(OWN)}
+def classes(text: str) -> np.ndarray:
+    """The class of each character."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], OTHER).astype(np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -28,14 +35,60 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
+@dataclass
+class Lean:
+    """Weights in single precision, for scores only. Characters of a batch lie side by side in memory.
+
+    Logistic gates are 1 / (1 + exp(-x)) and tanh(x) is 2 / (1 + exp(-2x)) - 1: the weights have these
+    factors, so one call of exp serves gates and cell. ``joint`` takes the state and the embedding together.
+    """
+
+    embed: np.ndarray
+    joint: list[np.ndarray]
+    out: np.ndarray
+    out_b: np.ndarray
+
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """(time, labels, batch) scores for (batch, time) classes."""
+        batch, time = ids.shape
+        h = len(self.joint[0]) // 4
+        both = np.empty((time, 2 * h, batch), np.float32)
+        letters = np.ascontiguousarray(self.embed[ids.T].transpose(0, 2, 1))
+        z = np.empty((4 * h, batch), np.float32)
+        kept, fresh = np.empty((h, batch), np.float32), np.empty((h, batch), np.float32)
+        with np.errstate(over="ignore"):  # exp of a large number: the gate is 0
+            for way, weights in enumerate(self.joint):
+                known = np.zeros((weights.shape[1], batch), np.float32)
+                state, cell = known[:h], np.zeros((h, batch), np.float32)
+                for t in range(time) if way == 0 else range(time - 1, -1, -1):
+                    known[h:] = letters[t]
+                    np.matmul(weights, known, out=z)
+                    np.exp(z, out=z)
+                    z += 1
+                    np.reciprocal(z, out=z)
+                    np.multiply(z[h:2 * h], z[3 * h:], out=fresh)
+                    fresh *= 2
+                    fresh -= z[h:2 * h]
+                    cell *= z[:h]
+                    cell += fresh
+                    np.multiply(cell, -2, out=kept)
+                    np.exp(kept, out=kept)
+                    kept += 1
+                    np.divide(2, kept, out=kept)
+                    kept -= 1
+                    np.multiply(kept, z[2 * h:3 * h], out=state)
+                    both[t, way * h:(way + 1) * h] = state
+        return np.matmul(self.out, both) + self.out_b[:, None]
+
+
 @dataclass
 class Tagger:
     """``allowed[i, j]``: whether label j may follow label i. Windows are matrices of classes."""
 
     labels: int
     allowed: np.ndarray
-    width: int = 10
-    hidden: int = 12
+    width: int = 12
+    hidden: int = 20
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -76,10 +129,28 @@ class Tagger:
         both = np.concatenate([f, b], axis=2)
         return both @ self.p["out"] + self.p["out_b"], (x, both, held_f, held_b)
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi labels (batch, time) and the marginal probability of each of them."""
-        e, _ = self.emissions(ids)
+    def lean(self) -> Lean:
+        """The weights as decoding wants them."""
+        factors = -np.concatenate([np.ones(3 * self.hidden), np.full(self.hidden, 2.0)])
+        joint = [np.concatenate([self.p["u" + w], self.p["w" + w], self.p["c" + w][None]]) * factors for w in "fb"]
+        embed = np.concatenate([self.p["embed"], np.ones((CLASSES, 1))], axis=1)
+        return Lean(embed.astype(np.float32), [np.ascontiguousarray(j.T, np.float32) for j in joint],
+                    np.ascontiguousarray(self.p["out"].T, np.float32), self.p["out_b"].astype(np.float32))
+
+    def decode(self, ids: np.ndarray, lean: Lean | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows that may have another label than 0, their Viterbi labels (windows, time) and the
+        marginal probability of each of them.
+
+        A path that leaves label 0 gains its emissions and transitions over those of label 0. The most that
+        any such stretch can gain is found with one number a character, whatever the labels in it (``_most``);
+        where that is below nothing, the path is 0 everywhere and need not be searched for.
+        """
+        scores = (lean or self.lean()).emissions(ids)
         move = self.p["trans"] + self.blocked
+        open_ = np.flatnonzero(self._most(scores, move) > -1e-3)
+        e = np.ascontiguousarray(scores[:, :, open_].transpose(0, 2, 1), np.float64)
+        if not len(open_):
+            return open_, np.zeros((0, len(scores)), np.int64), np.zeros((0, len(scores)))
         score = e[0] + self.blocked[0]  # a window starts as after label 0
         back = np.empty(e.shape, np.int64)
         for t in range(1, len(e)):
@@ -94,7 +165,21 @@ class Tagger:
         alpha, beta = self._chain(e, move)
         total = _logsum(alpha[-1], 1)
         sure = np.exp(np.take_along_axis(alpha + beta, path[:, :, None], 2)[:, :, 0] - total)
-        return path.T, sure.T
+        return open_, path.T, sure.T
+
+    @staticmethod
+    def _most(e: np.ndarray, move: np.ndarray) -> np.ndarray:
+        """For each window a bound on what labels other than 0 gain, were any of them to follow any other."""
+        gain = e[:, 1:] - e[:, :1]
+        other = move - move[0, 0]
+        entered = other[:, 1:].max(axis=0) + np.where(other[0, 1:] > -1e3, 0, -1e4)
+        first = (gain + entered.astype(np.float32)[:, None]).max(axis=1)
+        further = (gain + other[1:, 1:].max(axis=0).astype(np.float32)[:, None]).max(axis=1)
+        most = held = first[0]
+        for t in range(1, len(e)):
+            held = np.maximum(first[t], held + further[t])
+            most = np.maximum(most, held)
+        return most + max(0.0, float(other[:, 0].max()))
 
     def _chain(self, e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log sums over all label sequences up to and from each character."""
@@ -155,11 +240,12 @@ class Tagger:
         return d_z @ self.p["w" + way].T
 
     def fit(self, ids: np.ndarray, gold: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.02) -> float:
-        """Adam over shuffled batches; returns the loss of the last epoch."""
+        """Adam over shuffled batches, with steps that shrink to a tenth; returns the loss of the last epoch."""
         order, step, loss = np.random.default_rng(5), 0, 0.0
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for _ in range(epochs):
+        for epoch in range(epochs):
+            pace = rate * (1 - 0.9 * epoch / epochs)
             shuffled, losses = order.permutation(len(ids)), []
             for at in range(0, len(ids), batch):
                 chosen = shuffled[at:at + batch]
@@ -171,7 +257,7 @@ class Tagger:
                     v = v * min(1.0, 5.0 / (norm + 1e-9))
                     first[k] = 0.9 * first[k] + 0.1 * v
                     second[k] = 0.99 * second[k] + 0.01 * v * v
-                    self.p[k] = self.p[k] - rate * (first[k] / (1 - 0.9 ** step)) / (
+                    self.p[k] = self.p[k] - pace * (first[k] / (1 - 0.9 ** step)) / (
                         np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)
             loss = float(np.mean(losses)) if losses else 0.0
         return loss

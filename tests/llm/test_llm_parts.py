@@ -107,11 +107,29 @@ def test_base_spans_against_the_patterns():
     assert pii.base_spans("1" * 200_000 + "a@" * 1000) == []
 
 
-def test_every_place_has_windows():
-    text = "x" * 500 + "4" * 300 + "y" * 500 + "@"
+@given(st.integers(0, 2000))
+def test_windows_cover_the_text(length):
+    text = "x" * length
     covered = {i for s, e in pii.windows(text) for i in range(s, e)}
-    assert covered >= {i for i, c in enumerate(text) if c in "4@"}
-    assert pii.windows("no such place") == [] and pii.windows("") == []
+    assert covered == set(range(length))
+
+
+def test_every_place_is_decoded():
+    text = "x" * 500 + "4" * 300 + "y" * 500 + "@" + "z" * 500 + " at " + "z" * 500
+    covered = {i for s, e in pii.worth_decoding(text) for i in range(s, e)}
+    assert covered >= {i for i, c in enumerate(text) if c in "4@ "}
+    assert pii.worth_decoding("no such place") == [] and pii.worth_decoding("") == []
+
+
+@pytest.mark.parametrize("text, kind, can", [
+    ("jane.doe at mail dot example dot com", "email", True), ("a_at_b_dot_c", "email", True),
+    ("a [AT] b.c", "email", True), ("a @ b . c", "email", True), ("look at that", "email", False),
+    ("nobody", "email", False), ("-dot" * 5000 + " at a!", "email", False), ("10(.)0(.)0(.)1", "ip", True),
+    ("10 . 0 . 0 . 256", "ip", False), ("4111/1111/1111/1111", "card", True),
+    ("4111/1111/1111/1112", "card", False), ("030 123 4567", "phone", True), ("12345", "phone", False)])
+def test_plausible(text, kind, can):
+    assert pii.plausible(text, kind) == can
+    assert not can or pii.PLACES.search(text)  # so windows without a place cannot hold one
 
 
 def test_reconcile_keeps_clear_of_the_base_and_joins_pieces():

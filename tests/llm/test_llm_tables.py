@@ -256,6 +256,39 @@ def test_personal_data(docs):
     assert rows[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_held_out_personal_data_in_other_forms(spark):
+    """Spans of documents that were not learned from, rewritten: most are found, and nothing else is.
+    Windows that are not decoded add nothing, and results do not depend on the batch."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
+    tagger = pii.train(docs.where("doc_id % 5 <> 0"))
+    r, texts, truths = random.Random(1), [], []
+    for row in docs.where("doc_id % 5 = 0").orderBy("doc_id").select("text").collect():
+        base = sorted(pii.base_spans(row["text"]))
+        if not base or any(a[1] > b[0] for a, b in zip(base, base[1:])):
+            continue
+        text, truth, at = "", [], 0
+        for start, end, kind in base:
+            text += row["text"][at:start]
+            loose = pii.rewritten(kind, row["text"][start:end], r)
+            truth.append((len(text), len(text) + len(loose), kind))
+            text, at = text + loose, end
+        texts.append(text + row["text"][at:])
+        truths.append(truth)
+    bases = [pii.base_spans(t) for t in texts]
+    together = pii.tagged(tagger, texts)
+    added = [pii.reconcile(*x) for x in zip(texts, bases, together)]
+    assert added == [pii.reconcile(*x) for x in zip(texts, bases, pii.tagged(tagger, texts, chosen=pii.windows))]
+    assert added[:20] == [pii.reconcile(t, b, pii.tagged(tagger, [t])[0]) for t, b in zip(texts[:20], bases)]
+    wanted = caught = other = 0
+    for truth, base, found in zip(truths, bases, added):
+        for start, end, kind in truth:
+            if not any(s < end and start < e for s, e, _ in base):
+                wanted += 1
+                caught += any(k == kind and s < end and start < e for s, e, k in found)
+        other += sum(not any(s < end and start < e for start, end, _ in truth) for s, e, _ in found)
+    assert wanted > 100 and caught >= 0.85 * wanted and other <= 0.02 * wanted, (wanted, caught, other)
+
+
 def test_rare_personal_data_is_learned_from(spark):
     """One labelled document of many, its spans behind a dozen other windows."""
     filler = " ".join(f"item {i} of the long list without anything of interest in it, as it happens to be" for i in range(20))
