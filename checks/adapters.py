@@ -375,10 +375,12 @@ class EventBatch:
 
     @cached_property
     def repositories(self) -> DataFrame:
-        return self.data.event_facts.select(
-            F.substring_index("repo_id", "-", 1).cast("long").alias("user_id"),
-            F.col("repo_id").alias("raw_id"), F.lit("JavaScript").alias("primary_language"),
-            F.array(F.lit("C++"), F.lit("Perl")).alias("languages")).distinct()
+        dialect = F.concat_ws(" ", "language", F.floor(F.col("k") / 10).cast("string"))
+        return self.data.event_facts.groupBy("repo_id").agg(
+            F.min("language").alias("primary_language"),
+            F.collect_set(F.when(F.col("k").isNotNull(), dialect)).alias("languages"),  # 30 at most
+        ).select(F.substring_index("repo_id", "-", 1).cast("long").alias("user_id"),
+                 F.col("repo_id").alias("raw_id"), "primary_language", "languages")
 
     @cached_property
     def grades(self) -> DataFrame:

@@ -10,7 +10,7 @@ from skilltide.storage import settle
 
 from .adapters import Data
 from .extraction import PROFILES
-from .grading import ALL_GRADES, MESSAGES
+from .grading import ALL_GRADES, FACTS, MESSAGES
 from .registry import query
 
 # The stored rows are the orders before 1999, the batch those since 1998 with changed prices.
@@ -153,7 +153,8 @@ def stored_table(d: Data, name: str) -> DataFrame:
         (F.col("n_nationkey") < 3).alias("synonym"))
     owned = technologies.withColumn("user_id", F.col("synonym").cast("long")).drop("synonym")
     if name == "languages":
-        return d.values([("JavaScript",), ("Ada",)], "language string")
+        return d.table("nation").select(
+            F.when(F.col("n_nationkey") == 0, "C++ 3").otherwise(F.col("n_name")).alias("language"))
     if name == "countries":
         return d.tables[name].filter("country = 'ASIA'")
     if name == "cities":
@@ -187,7 +188,10 @@ def persisted(d: Data, name: str) -> DataFrame:
     return persisting.merge_table(name, stored_table(d, name), rows)
 
 
-@query("SELECT unnest(['JavaScript', 'Ada', 'C++', 'Perl']) AS language")
+@query(f"""WITH {FACTS}
+SELECT n_name AS language FROM nation WHERE n_nationkey <> 0 UNION SELECT 'C++ 3' FROM nation WHERE n_nationkey = 0
+UNION SELECT language || ' ' || (k // 10) FROM facts WHERE k IS NOT NULL
+UNION SELECT min(language) FROM facts GROUP BY repo_id""")
 def persist_languages(d: Data) -> DataFrame:
     return persisted(d, "languages")
 
