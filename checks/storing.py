@@ -1,5 +1,7 @@
 """Merges into stored tables and lookups by key."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from skilltide.functions import ids
@@ -11,7 +13,7 @@ from skilltide.storage import settle
 from .adapters import Data
 from .extraction import PROFILES
 from .grading import ALL_GRADES, FACTS, MESSAGES
-from .registry import query
+from .registry import SQL, query
 
 # The stored rows are the orders before 1999, the batch those since 1998 with changed prices.
 STORED = """
@@ -306,3 +308,31 @@ def graded_by_user(d: Data) -> DataFrame:
 def settled_table(d: Data) -> DataFrame:
     return settle(d.table("orders").filter("o_orderstatus = 'F'").select(
         "o_orderkey", "o_totalprice"), "orders")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000")
+def table_scan(d: Data) -> DataFrame:
+    return src.read_table(d.spark, "orders.parquet", d.folder).filter(
+        (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000)
+    ).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+# the queries above that show the rows of one table after the batch, or of two
+SHOWN = {"languages": "persist_languages", "countries": "persist_places", "cities": "persist_places",
+         "users": "persist_users", "developers": "persist_developers", "contacts": "persist_contacts",
+         "technologies": "persist_technologies", "technologies_users": "persist_technologies_users",
+         "technologies_users_settings": "persist_settings", "repositories": "persist_repositories",
+         "grades": "persist_grades"}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{' and '.join(t for t in SHOWN if SHOWN[t] == name)}' AS tables, count(*) AS n_rows FROM ({SQL[name]})"
+    for name in dict.fromkeys(SHOWN.values())))
+def persist_all_tables(d: Data) -> DataFrame:
+    """All tables after one batch, from a single call."""
+    stored = {name: stored_table(d, name) for name in SHOWN}
+    after = persisting.persist(d.batch, stored, F.lit("2024-02-01 00:00:00"))
+    groups = [[t for t in SHOWN if SHOWN[t] == name] for name in dict.fromkeys(SHOWN.values())]
+    counts = [after[t].agg(F.count("*").alias("n")).select(F.lit(" and ".join(g)).alias("tables"), "n")
+              for g in groups for t in g]
+    return reduce(DataFrame.unionByName, counts).groupBy("tables").agg(F.sum("n").alias("n_rows"))
