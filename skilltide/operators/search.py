@@ -18,6 +18,7 @@ from .ranked import top_n_per_group
 
 BLOCK_RANKS = 1 << 20
 GROWTH = 8  # times as many blocks are opened when pages are not full
+COMMON_LOGINS = 1000  # a word that more logins have is scored once for all sets that share it
 REPEATED = 1.64493406685  # fixed value: the sum that weights of repeats approach
 
 
@@ -164,18 +165,37 @@ def _best_in_blocks(sets: DataFrame, leading: DataFrame, lexemes: DataFrame, mat
     return top_n_per_group(both, ["key"], [F.desc("rank")], F.col("need")).select("key", "rank")
 
 
-def best_by_login(wanted: DataFrame, index: SearchIndex) -> DataFrame:
+def best_by_login(wanted: DataFrame, index: SearchIndex, common: int = COMMON_LOGINS) -> DataFrame:
     """(key, rank, score): the best ``need`` users whose login has a word of the set.
 
     The score is the share of the words, each weighed by how often the login repeats it.
+
+    A user among the best has a word of at most ``common`` logins, or is among the best by the other words
+    alone: having nothing else, it is only passed by users it is passed by there too. These candidates are
+    scored in full. The best by common words are found once for all sets that have the same ones.
     """
-    words = wanted.select("key", "need", F.size("names").alias("_size"), F.explode("names.lexeme").alias("token"))
+    words = settle(wanted.select("key", "need", F.size("names").alias("_size"),
+                                 F.explode("names.lexeme").alias("token")), "login-words")
+    users = index.logins.join(words.select("token").distinct(), "token", "left_semi").groupBy("token").agg(
+        F.count("*").alias("users"))
+    sized = settle(words.join(users, "token"), "login-counts")
+    rare = sized.filter(F.col("users") <= common).join(index.logins, "token").select("key", "rank")
+    shared = sized.filter(F.col("users") > common).groupBy("key", "need", "_size").agg(
+        F.array_sort(F.collect_list("token")).alias("tokens"))
+    parts = shared.groupBy("tokens", "_size").agg(F.max("need").alias("need"))
     weight = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("times")), F.lit(0.0),
                          lambda acc, n: acc + 1 / (n * n))
-    scored = words.join(index.logins, "token").groupBy("key", "need", "rank").agg(
-        F.sum(weight / F.col("_size") / REPEATED).alias("score"))
-    return top_n_per_group(scored, ["key"], [F.desc("score"), F.desc("rank")], F.col("need")).select(
-        "key", "rank", "score")
+
+    def scored(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys, "need", "rank").agg(F.sum(weight / F.col("_size") / REPEATED).alias("score"))
+
+    order = [F.desc("score"), F.desc("rank")]
+    hits = parts.select("*", F.explode("tokens").alias("token")).join(index.logins, "token")
+    best = top_n_per_group(scored(hits, "tokens", "_size"), ["tokens", "_size"], order, F.col("need"))
+    candidates = rare.unionByName(
+        shared.join(best.select("tokens", "_size", "rank"), ["tokens", "_size"]).select("key", "rank")).distinct()
+    full = scored(candidates.join(words, "key").join(index.logins, ["token", "rank"]), "key")
+    return top_n_per_group(full, ["key"], order, F.col("need")).select("key", "rank", "score")
 
 
 def best_ranked(queries: DataFrame, last: int | None, page_size: int) -> DataFrame:

@@ -24,7 +24,7 @@ def stop_words(lexemes: DataFrame) -> DataFrame:
 def named_tokens(lexemes: DataFrame, names: DataFrame, escape: bool = False) -> DataFrame:
     """Stored names (token_type, name) that a word of the query matches; once per stored name."""
     words = lexemes.select("query_id", "lexeme").distinct()
-    hits = match_names(words, names, escape=escape).drop("lexeme").distinct()
+    hits = match_names(words, names.distinct(), escape=escape).drop("lexeme").distinct()
     return hits.select("query_id", "token_type", F.lower("name").alias("lexeme"))
 
 

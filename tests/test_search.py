@@ -274,3 +274,35 @@ def test_words_of_logins(table, tables):
     assert search(table, more, "john doe")[0] == [2, 1]
     found = search(table, more, "doe")[1].orderBy("position").collect()
     assert [(r.user_id, r.login_match) for r in found] == [(2, 1), (1, 0)]
+
+
+@pytest.mark.parametrize("common", [0, 4, 1000])
+def test_best_logins_against_every_login(spark, table, common):
+    """Common words are looked up once for all sets that share them; the best are those of scoring everyone."""
+    rng = random.Random(common)
+    words = ["red", "blue", "ink", "jet", "kit"]
+    logins = {rank: [w for w in words if rng.random() < 0.5] + rng.choices(words, k=rng.randrange(3)) + [f"u{rank}"]
+              for rank in range(1, 61)}
+    rows = [(w, rank, own.count(w)) for rank, own in logins.items() for w in set(own)]
+    index = op.SearchIndex(None, None, table("token string, rank long, times long", *rows), 60)
+    sets = [rng.sample(words, rng.randrange(3)) + rng.sample([f"u{i}" for i in range(70)], rng.randrange(1, 3))
+            for _ in range(12)] + [["red"], ["red", "blue"], ["unknown"]]
+    wanted = [(str(k), [("githubLogin", w) for w in s], rng.randrange(1, 9)) for k, s in enumerate(sets)]
+    best = op.best_by_login(table(
+        "key string, names array<struct<token_type: string, lexeme: string>>, need int", *wanted), index, common)
+
+    def score(own, asked):
+        return sum(sum(1 / n ** 2 for n in range(1, own.count(w) + 1)) for w in asked) / len(asked) / op.REPEATED
+
+    expected = []
+    for k, (names, need) in enumerate(w[1:] for w in wanted):
+        all_scores = [(round(score(own, [w for _, w in names]), 9), rank) for rank, own in logins.items()]
+        expected += [(str(k), rank, s) for s, rank in sorted(all_scores, reverse=True)[:need] if s > 0]
+    assert rows_of(best.withColumn("score", F.round("score", 9))) == sorted(expected, key=str)
+
+
+def test_repeated_names_are_matched_once(table):
+    names = table("token_type string, name string, language string",
+                  *[("githubLogin", "Ann", None)] * 50, ("technology", "ann", "C"), ("technology", "ann", "D"))
+    found = t.named_tokens(table("query_id string, pos int, lexeme string", ("q", 0, "ann"), ("q", 1, "bob")), names)
+    assert rows_of(found) == [("q", "githubLogin", "ann"), ("q", "technology", "ann"), ("q", "technology", "ann")]
