@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from conftest import rows_of
 from skilltide.functions.fixed import TOKEN_TYPES
 from skilltide.functions.text import extract_lexemes
@@ -306,3 +307,15 @@ def test_repeated_names_are_matched_once(table):
                   *[("githubLogin", "Ann", None)] * 50, ("technology", "ann", "C"), ("technology", "ann", "D"))
     found = t.named_tokens(table("query_id string, pos int, lexeme string", ("q", 0, "ann"), ("q", 1, "bob")), names)
     assert rows_of(found) == [("q", "githubLogin", "ann"), ("q", "technology", "ann"), ("q", "technology", "ann")]
+
+
+def test_wildcard_logins_are_not_sorted_again(spark, table, tmp_path):
+    """Customers that come twice give their pairs once, without comparing all pairs."""
+    ids = [1, 1, 2, 90001, None]
+    table("c_custkey long, c_name string", *[(i, f"Customer#{i or 0:09d}") for i in ids]).write.parquet(
+        f"{tmp_path}/customer.parquet")
+    table("s_name string", ("Supplier#000000001",)).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = entry.queries()["wildcard_login_join"](spark, str(tmp_path))
+    rows = rows_of(found)
+    assert len(rows) == len(set(rows)) and (1, "customer#%001", "customer#000090001") in rows
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() != "Aggregate"
