@@ -16,7 +16,7 @@ from ..functions.fixed import (
     VENDOR_DIR_PATTERN,
 )
 from ..sources.languages import extension, language_of
-from .manifests import dependency_names, is_manifest, manifest_url, runs_node
+from .manifests import is_manifest, manifest_url, package
 
 REPO = ("repo_id", "repo_name")
 
@@ -55,19 +55,21 @@ def file_facts(files: DataFrame, badges: Mapping[str, str] = AUTOMATION_BADGES,
     """What is needed of each file (repo_id, repo_name, login, path, size, content), without its
     content. A narrow projection: unused columns are never computed."""
     path, content = F.col("path"), F.col("content")
-    language, manifest, code = language_of(path), is_manifest(path), without_comments(content)
-    return files.select(
-        *REPO, "login", "path", "size", language.alias("language"),
+    language, manifest, code = F.col("language"), F.col("is_manifest"), without_comments(content)
+    known = files.select(
+        *REPO, "login", "path", "size", "content", language_of(path).alias("language"),
+        is_manifest(path).alias("is_manifest"))
+    return known.withColumn("_package", F.when(manifest, package(content))).select(
+        *REPO, "login", "path", "size", "language",
         F.when(language.isNotNull(), F.coalesce(count_code_lines(code), F.lit(0)))
         .alias("code_lines"),
         F.when(language.isin("C", "C++"), included_headers(code)).alias("headers"),
         F.when(extension(path) == ".md", badge_tools(content, badges, max_badge_chars))
         .alias("badge_tools"),
         content.rlike(NODE_SHEBANG_PATTERN).alias("node_shebang"),
-        manifest.alias("is_manifest"),
+        "is_manifest",
         F.when(manifest, manifest_url(content)).alias("manifest_url"),
-        F.when(manifest, dependency_names(content)).alias("dependencies"),
-        F.when(manifest, runs_node(content)).alias("runs_node"),
+        "_package.dependencies", "_package.runs_node",
     )
 
 

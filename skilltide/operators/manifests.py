@@ -23,9 +23,7 @@ def manifest_url(content: Column) -> Column:
     return F.get_json_object(content, "$.repository.url")
 
 
-def dependency_names(content: Column) -> Column:
-    """Names in both dependency lists of a manifest; scoped names are left out."""
-    parsed = F.from_json(content, DEPENDENCIES)
+def _dependency_names(parsed: Column) -> Column:
     empty = F.array().cast("array<string>")
     names = F.concat(
         F.coalesce(F.map_keys(parsed.getField("dependencies")), empty),
@@ -34,12 +32,22 @@ def dependency_names(content: Column) -> Column:
     return F.filter(names, lambda n: ~F.startswith(n, F.lit("@")))
 
 
-def runs_node(content: Column) -> Column:
-    """A script of the manifest starts Node.js."""
-    scripts = F.map_values(F.from_json(content, SCRIPTS).getField("scripts"))
+def _runs_node(parsed: Column) -> Column:
+    scripts = F.map_values(parsed.getField("scripts"))
     return F.coalesce(F.exists(scripts, lambda s: F.startswith(s, F.lit("node "))), F.lit(False))
 
 
+def package(content: Column) -> Column:
+    """(dependencies, runs_node) of a manifest: the names in both dependency lists, without scoped ones, and
+    whether a script starts Node.js.
+
+    The parsed text is the item of a list of one: for each field taken from it directly it would be parsed anew.
+    """
+    parsed = F.array(F.from_json(content, f"{DEPENDENCIES}, {SCRIPTS}"))
+    return F.get(F.transform(parsed, lambda p: F.struct(
+        _dependency_names(p).alias("dependencies"), _runs_node(p).alias("runs_node"))), F.lit(0))
+
+
 def manifests(facts: DataFrame) -> DataFrame:
     """Manifest files with their folder, stated address and dependencies."""
     return facts.filter("is_manifest").select(
@@ -105,7 +113,10 @@ def drop_vendored(files: DataFrame, vendored: DataFrame) -> DataFrame:
 
 def manifest_dependencies(manifest_rows: DataFrame) -> DataFrame:
     """(repository, dependency) per entry of the dependency lists."""
-    return manifest_rows.select(*REPO, F.explode("dependencies").alias("dependency"))
+    # the outer form: for the inner one Spark tests the lists first, and parses each manifest again for it
+    entries = F.explode_outer(F.transform("dependencies", lambda n: F.struct(n.alias("dependency"))))
+    return manifest_rows.select(*REPO, entries.alias("_entry")).filter("_entry IS NOT NULL").select(
+        *REPO, "_entry.dependency")
 
 
 def uses_node(manifest_rows: DataFrame, shebang_repositories: DataFrame) -> DataFrame:

@@ -188,3 +188,23 @@ def test_dispatch(table):
     repos = table("repo_id string, languages array<string>", ("a", ["C", "C++", "HTML"]), ("b", ["Ada"]),
                   ("c", ["JavaScript", "C"]))
     assert rows_of(f.dispatch(repos)) == [("a", "cpp"), ("c", "cpp"), ("c", "javascript")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_manifests_are_parsed_once(tree):
+    files = tree(
+        ("./package.json", '{"dependencies": {"a": "1", "@b/c": "1"}, "devDependencies": {"d": "1"}, '
+                           '"scripts": {"start": "node x.js"}}'),
+        ("./x/bower.json", '{"dependencies": [1], "devDependencies": {"e": {"f": 1}}, "scripts": "node y"}'),
+        ("./y/bower.json", '{"dependencies": {"g": "1"}, "scripts": {"start": 7, "s": "node"}}'),
+        ("./z/package.json", None), ("./i/package.json", "{broken"), ("./index.js", '{"dependencies": {"h": "1"}}'))
+    rows = m.manifests(f.file_facts(files))
+    names = m.manifest_dependencies(rows)
+    assert rows_of(names.select("dependency")) == [("a",), ("d",), ("e",), ("g",)]
+    assert rows_of(rows.select("path", "runs_node")) == [
+        ("./i/package.json", False), ("./package.json", True), ("./x/bower.json", False), ("./y/bower.json", False),
+        ("./z/package.json", False)]
+    assert plan(names).count("from_json(") == 1
