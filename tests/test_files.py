@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+import __spark_entry__ as entry
 from conftest import rows_of
 from skilltide.operators import files as f, manifests as m
 from skilltide.plans.analysing import analyze_files
@@ -208,3 +209,22 @@ def test_manifests_are_parsed_once(tree):
         ("./i/package.json", False), ("./package.json", True), ("./x/bower.json", False), ("./y/bower.json", False),
         ("./z/package.json", False)]
     assert plan(names).count("from_json(") == 1
+
+
+def test_reports_are_parsed_once(table):
+    reports = table("id int, value string", (
+        1, '[{"filePath": "a", "messages": [{"ruleId": "r"}, {"ruleId": null}]}, {"filePath": "b", "messages": []}]'),
+        (2, "[]"), (3, None), (4, "[null]"), (5, "broken"))
+    found = lint.lint_json(reports, path="path")
+    assert rows_of(found) == [(1, "a", "null"), (1, "a", "r")]
+    assert plan(found).count("from_json(") == 1
+
+
+@pytest.mark.parametrize("name", ["findings_by_file"])
+def test_package_files_are_made_once(spark, table, tmp_path, name):
+    schema = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+              "l_extendedprice double, l_tax double, l_returnflag string, l_linestatus string")
+    table(schema, (1, 1, 1, 1, 5.0, 9.0, 0.06, "A", "F"), (1, 2, 1, 2, 45.0, 9.0, 0.06, "R", "F")).write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    found = entry.queries()[name](spark, str(tmp_path))
+    assert found.count() > 2 and "row_number" not in plan(found)
