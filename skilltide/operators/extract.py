@@ -16,8 +16,8 @@ REPOSITORY = (
 PROFILE_FIELDS = ("full_name", "description", "location", "company", "email", "blog")
 
 
-def _flat(owner: Column, repo: Column) -> list[Column]:
-    decoded = decode_owner_id(owner.getField("id"))
+def _flat(owner: Column, repo: Column, decoded: Column | None = None) -> list[Column]:
+    decoded = decode_owner_id(owner.getField("id")) if decoded is None else decoded
     return [
         decoded.getField("user_type").alias("user_type"),
         decoded.getField("id").alias("owner_id"),
@@ -75,8 +75,10 @@ def all_repositories(nodes: DataFrame) -> DataFrame:
     lists = [F.coalesce(F.col(f"node.owner.{kind}.nodes"), empty)
              for kind in ("pinnedRepositories", "repositories")]
     own = [F.filter(x, lambda r: _is_own(r, owner)) for x in lists]
-    rows = nodes.select(owner.alias("owner"), F.explode(F.concat(found, *own)).alias("repo"))
-    return rows.select(*_flat(F.col("owner"), F.col("repo")))
+    # the id of an owner is decoded once for the three lists
+    rows = nodes.select(owner.alias("owner"), decode_owner_id(F.col("node.owner.id")).alias("decoded"),
+                        F.explode(F.concat(found, *own)).alias("repo"))
+    return rows.select(*_flat(F.col("owner"), F.col("repo"), F.col("decoded")))
 
 
 def filter_candidates(repos: DataFrame, min_age_days: int, languages: Sequence[str]) -> DataFrame:

@@ -31,8 +31,8 @@ class Developers(NamedTuple):
 def extract_candidates(pages: DataFrame, analysed: DataFrame, rules: CandidateRules,
                        as_of: Column, col: str = "value") -> DataFrame:
     """One row per candidate repository of owners that have enough of them."""
-    return fresh_candidates(
-        found_candidates(parse_pages(pages, col), rules), analysed, rules, as_of)
+    found = settle(found_candidates(parse_pages(pages, col), rules), "found")
+    return fresh_candidates(found, analysed, rules, as_of)
 
 
 def found_candidates(nodes: DataFrame, rules: CandidateRules) -> DataFrame:
@@ -44,7 +44,7 @@ def found_candidates(nodes: DataFrame, rules: CandidateRules) -> DataFrame:
 def fresh_candidates(repos: DataFrame, analysed: DataFrame, rules: CandidateRules,
                      as_of: Column) -> DataFrame:
     """Those that were not analysed lately, of owners that have enough of them."""
-    fresh = ex.drop_recent(repos, analysed, as_of, rules.reanalyse_after_days)
+    fresh = settle(ex.drop_recent(repos, analysed, as_of, rules.reanalyse_after_days), "fresh")
     return ex.with_min_group(fresh, rules.min_repositories)
 
 
@@ -56,14 +56,14 @@ def enrich_users(repos: DataFrame, profiles: DataFrame | Bucketed, weeks: DataFr
     ``profiles`` and ``weeks`` (owner_login, name, owner_commits, all_commits) are tables, or tables in
     buckets of requested_id and of owner_login, of which those of the batch are read.
     """
-    keys = ["owner_login", "name"]
+    keys = ["name", "owner_login"]  # sorts compare the first eight bytes, which logins may share
     if isinstance(weeks, Bucketed):
         weeks = weeks.of(repos, "owner_login")
     needed = weeks.join(repos.select(*keys), keys, "left_semi")
     rated = repos.join(ex.commit_ratios(needed, keys), keys)
-    own = ex.with_min_group(
-        ex.filter_by_ratio(rated, rules.min_owner_ratio), rules.min_repositories
-    )
+    # the owners are counted in it, and both results are made from it
+    mostly = settle(ex.filter_by_ratio(rated, rules.min_owner_ratio), "rated")
+    own = ex.with_min_group(mostly, rules.min_repositories)
     owned = ex.with_archive_url(own).select(*ex.REPOSITORY, "archive_url", "owner_ratio")
     owners = owned.select(*ex.OWNER).distinct()
     if isinstance(profiles, Bucketed):
