@@ -93,7 +93,7 @@ def order_messages(d: Data, developers: Developers) -> DataFrame:
     repos = developers.repositories.select("repo_id", "name", "primary_language", key.alias("key"))
     lines = d.table("lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(
         F.sum("l_quantity").cast("long").alias("lines"), F.min("l_partkey").alias("part"))
-    both = repos.join(lines, "key")
+    both = settle(repos.join(lines, "key"), "order-lines")  # three kinds of messages are made from it
 
     def message(kind: str, language, text) -> DataFrame:
         return both.select("repo_id", "name", language.alias("language"),

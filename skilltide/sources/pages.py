@@ -83,7 +83,8 @@ def parsed_pages(texts: DataFrame, col: str = "value", responses: bool = False)
     body = F.get_json_object(value, "$.data.search") if responses else value
     parsed = texts.select(
         value.alias("text"), route.alias("route"), F.when(route == "result", page_struct(body)).alias("page"),
-        F.get_json_object(value, "$.errors").alias("errors"))
+        # a text that is no error is not parsed for it
+        F.when(route == "error", F.get_json_object(value, "$.errors")).alias("errors"))
     broken = F.col("page._corrupt_record").isNotNull()
     other = F.when(broken, "broken").when(F.col("route") != "result", F.col("route")).when(
         F.coalesce(F.size("page.nodes"), F.lit(0)) < 1, "empty")

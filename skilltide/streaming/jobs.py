@@ -85,6 +85,8 @@ class DeveloperJob:
         tables = {"rejected": parsed.filter(F.col("kind").isin("error", "failure", "broken")).select(
             "kind", "text")}
         if not grades.isEmpty():
+            technologies = self.step("technologies", dependencies_of(messages).select(
+                F.col("repo_id").alias("raw_id"), "language", "technology"))
             known = users.withColumnsRenamed({"owner_id": "user_id", "owner_login": "login"})
             batch = Batch(
                 users=known,
@@ -92,8 +94,7 @@ class DeveloperJob:
                     F.col("owner_id").alias("user_id"), F.col("repo_id").alias("raw_id"),
                     "primary_language", "languages"),
                 grades=grades,
-                technologies=dependencies_of(messages).select(
-                    F.col("repo_id").alias("raw_id"), "language", "technology"),
+                technologies=technologies,
                 locations=resolve_location(
                     known.filter("location IS NOT NULL"), ["user_id"], "location", self.gazetteer),
             )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from skilltide.plans.candidates import CandidateRules, enrich_users, extract_candidates
+from skilltide.sources.pages import parsed_pages
 
 
 def plan(df) -> str:
@@ -28,3 +29,10 @@ def test_pages_are_parsed_once_for_users_and_repositories(spark, table):
     assert rows_of(users.select("owner_id", "owner_login")) == [(7, "me")]
     for df in (repos, users, owned):
         assert "from_json" not in plan(df)
+
+
+def test_a_page_is_not_parsed_again_for_errors(table):
+    pages = table("value string", (PAGE % (1, 1),), ('{"errors": "no"',))
+    parsed = parsed_pages(pages)
+    assert "get_json_object" not in plan(parsed)
+    assert sorted(r["kind"] for r in parsed.collect()) == ["broken", "node"]
