@@ -409,6 +409,9 @@ class StoredTables(Mapping):
             self.made[name] = getattr(self, "make_" + name)()
         return self.made[name]
 
+    def __contains__(self, name) -> bool:
+        return name in TABLES
+
     def __iter__(self):
         return iter(TABLES)
 

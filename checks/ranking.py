@@ -243,6 +243,7 @@ def standings_after_batches(d: Data) -> Standings:
     part = F.pmod(F.xxhash64("raw_id"), F.lit(3))
     whole = {name: d.tables[name] for name in (
         "users", "developers", "technologies_users", "technologies_users_settings")}
+    whole[ranking.VERIFIED] = ranking.with_verified(d.tables)[ranking.VERIFIED]  # no batch changes it
     whole |= {name: settle(d.tables[name].withColumn("_part", part), name) for name in ("repositories", "grades")}
 
     def upto(n: int):

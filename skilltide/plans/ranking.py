@@ -1,22 +1,42 @@
 """The ranking of developers and the pages made from it."""
 
+from collections import ChainMap
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import rank as r
-from ..storage import replace
+from ..storage import replace, settle
 
 Tables = dict[str, DataFrame]
+VERIFIED = "verified"
 
 
-def figures(tables: Tables, users: DataFrame | None = None) -> DataFrame:
-    """(user_id, login, full_name, avg_grade, updated_by_analyzer, total_lines_of_code) of developers
-    with a verified technology and complete figures; of these ``users`` (user_id) only, if given."""
+def with_verified(tables: Tables) -> Tables:
+    """The tables and, stored, their verified technologies, for several steps that need these. To be made
+    anew when technologies_users, their settings or developers change."""
+    rows = settle(verified_technologies(tables), "verified")
+    return ChainMap({VERIFIED: rows}, tables)
+
+
+def verified_technologies(tables: Tables, users: DataFrame | None = None) -> DataFrame:
+    """(user_id, language, technology) that were verified, of these ``users`` (user_id) only, if given; read
+    from the tables of ``with_verified``, else made."""
     def of(name: str) -> DataFrame:
         return tables[name] if users is None else tables[name].join(users, "user_id", "left_semi")
 
-    verified = r.verified_technologies(
+    if VERIFIED in tables:
+        return of(VERIFIED)
+    return r.verified_technologies(
         of("technologies_users"), of("technologies_users_settings"), of("developers"))
-    repositories = of("repositories")
+
+
+def figures(tables: Tables, users: DataFrame | None = None) -> DataFrame:
+    """(user_id, login, full_name, avg_grade, updated_by_analyzer, total_lines_of_code) of developers
+    with a verified technology and complete figures; of these ``users`` (user_id) only, if given."""
+    verified = verified_technologies(tables, users)
+    repositories = tables["repositories"]
+    if users is not None:
+        repositories = repositories.join(users, "user_id", "left_semi")
     stats = r.user_stats(repositories, r.category_sums(repositories, tables["grades"]))
     known = stats.join(tables["users"].select("user_id", "login", "full_name"), "user_id")
     return known.join(verified.select("user_id"), "user_id", "left_semi")
@@ -29,9 +49,7 @@ def rank_users(tables: Tables, order: str = "grade") -> DataFrame:
 
 def with_documents(ranks: DataFrame, tables: Tables) -> DataFrame:
     """Add grades (JSON texts), languages and technologies as lists, for the rows to be shown."""
-    verified = r.verified_technologies(
-        tables["technologies_users"], tables["technologies_users_settings"], tables["developers"]
-    ).join(ranks.select("user_id"), "user_id", "left_semi")
+    verified = verified_technologies(tables).join(ranks.select("user_id"), "user_id", "left_semi")
     shown = tables["repositories"].join(ranks.select("user_id"), "user_id", "left_semi")
     means = r.category_means(r.category_sums(shown, tables["grades"]))
     return (

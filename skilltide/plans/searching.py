@@ -5,9 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.fixed import MAX_SUGGESTIONS, SEARCH_PAGE_SIZE
 from ..operators import search as s, suggest as sg, tokens as t
 from ..operators.locations import resolve_location
-from ..operators.rank import verified_technologies
 from ..storage import settle
-from .ranking import with_documents
+from .ranking import verified_technologies, with_documents
 
 Tables = dict[str, DataFrame]
 
@@ -54,9 +53,7 @@ def search_tokens(queries: DataFrame, tables: Tables, max_lexemes: int | None =
 def search_index(tables: Tables, ranks: DataFrame, block_ranks: int = s.BLOCK_RANKS) -> s.SearchIndex:
     """Index of the verified technologies and their languages, and of the words of logins, stored for many
     searches. To be made anew with the ranking."""
-    verified = verified_technologies(
-        tables["technologies_users"], tables["technologies_users_settings"], tables["developers"])
-    return s.build_index(verified, ranks, block_ranks)
+    return s.build_index(verified_technologies(tables), ranks, block_ranks)
 
 
 def search(queries: DataFrame, ranks: DataFrame, index: s.SearchIndex, tables: Tables,

@@ -1,8 +1,10 @@
 """Costly steps are made once, whatever reads them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_of
+from skilltide.plans import ranking, searching
 from skilltide.plans.candidates import CandidateRules, enrich_users, extract_candidates
 from skilltide.sources.pages import parsed_pages
 
@@ -36,3 +38,37 @@ def test_a_page_is_not_parsed_again_for_errors(table):
     parsed = parsed_pages(pages)
     assert "get_json_object" not in plan(parsed)
     assert sorted(r["kind"] for r in parsed.collect()) == ["broken", "node"]
+
+
+@pytest.fixture
+def tables(table):
+    """Users 1 to 4; only the last has red-bolt, blue and c."""
+    used = [(u, lang, tech) for u, lang, tech in (
+        (1, "c", "red-bolt"), (2, "java", "red-bolt"), (2, "java", "blue"), (3, "c", "blue"), (4, "c", "red-bolt"),
+        (4, "c", "blue"), (4, "java", "blue"))]
+    return {
+        ranking.VERIFIED: table("user_id long, language string, technology string", *used),
+        "repositories": table("raw_id string, user_id long, name string, lines_of_code long, updated_by_analyzer string",
+                              *[(f"r{u}", u, "n", 1, "2024") for u in (1, 2, 3, 4)]),
+        "grades": table("category string, raw_id string, value double", *[("A", f"r{u}", u / 8) for u in (1, 2, 3, 4)]),
+        "users": table("user_id long, login string, full_name string", *[(u, f"u{u}", "") for u in (1, 2, 3, 4)]),
+        "languages": table("language string", ("c",), ("java",)),
+        "technologies": table("language string, technology string", ("c", "red-bolt"), ("c", "blue")),
+    }
+
+
+def test_verified_technologies_are_taken_from_their_table(table, tables):
+    """Ranking, batches of the standings and the index do without the tables it was made from."""
+    assert ranking.figures(tables).count() == 4
+    assert rows_of(ranking.figures(tables, table("user_id long", (2,), (9,))).select("user_id")) == [(2,)]
+    index = searching.search_index(tables, ranking.rank_users(tables))
+    assert index.postings.filter("token = 'blue'").count() == 3
+
+
+def test_with_verified_stores_them(table):
+    given = {"technologies_users": table("user_id long, language string, technology string", (1, "c", "x"), (2, "c", "x")),
+             "technologies_users_settings": table("user_id long, language string, technology string, verified boolean",
+                                                  (1, "c", "x", True), (2, "c", "x", False)),
+             "developers": table("user_id long", (1,), (2,))}
+    rows = ranking.with_verified(given)[ranking.VERIFIED]
+    assert rows_of(rows) == [(1, "c", "x")] and "Join" not in plan(rows)
