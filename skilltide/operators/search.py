@@ -35,14 +35,16 @@ class SearchIndex(NamedTuple):
 
 def postings(technologies: DataFrame, ranks: DataFrame) -> DataFrame:
     """(kind, token, rank) from (user_id, language, technology) and the ranking."""
+    # with the user among their columns, distinct rows are found where the join has put them
     return (
         technologies.join(ranks.select("user_id", "rank"), "user_id")
-        .select("rank", F.explode(F.array(
+        .select("user_id", "rank", F.explode(F.array(
             F.struct(F.lit("language").alias("kind"), F.col("language").alias("text")),
             F.struct(F.lit("technology").alias("kind"), F.col("technology").alias("text")),
         )).alias("x"))
-        .select("rank", "x.kind", F.explode(text_tokens(F.col("x.text"))).alias("token"))
-        .distinct()
+        .select("user_id", "rank", "x.kind", "x.text").distinct()
+        .select("user_id", "rank", "kind", F.explode(text_tokens(F.col("text"))).alias("token"))
+        .distinct().drop("user_id")
     )
 
 
@@ -152,15 +154,19 @@ def _best_in_blocks(sets: DataFrame, leading: DataFrame, lexemes: DataFrame, mat
     asked = leading.join(sets.select("key"), "key", "left_semi")
     candidates = asked.join(tokens, ["token_type", "lexeme"]).join(near, ["token_type", "token"]).select(
         "key", "rank").distinct()
-    others = lexemes.filter("languages + technologies > 1 AND technologies > 0")
+    # the leading one is known of all candidates
+    others = lexemes.filter("languages + technologies > 1 AND technologies > 0").join(
+        leading.select("key", "token_type", "lexeme"), ["key", "token_type", "lexeme"], "left_anti")
     several = candidates.join(others.select("key").distinct(), "key", "left_semi")
     single = candidates.join(others.select("key").distinct(), "key", "left_anti")
-    hits = several.join(near, "rank").join(tokens, ["token_type", "token"]).join(
-        others, ["key", "token_type", "lexeme"])
+    # who has them, from their tokens alone; a candidate meets only the lexemes of its own set
+    held = near.join(tokens.join(others.select("token_type", "lexeme").distinct(), ["token_type", "lexeme"]),
+                     ["token_type", "token"]).select("rank", "token_type", "lexeme").distinct()
+    hits = several.join(others, "key").join(held, ["rank", "token_type", "lexeme"])
     checked = hits.groupBy("key", "rank").agg(
         F.bool_or((F.col("token_type") == "language") | (F.col("languages") == 0)).alias("_language"),
-        F.count_distinct(F.when(F.col("token_type") == "technology", F.col("lexeme"))).alias("_n"),
-        F.first("technologies").alias("_all")).filter("_language AND _n = _all")
+        F.count_if(F.col("token_type") == "technology").alias("_n"),
+        F.first("technologies").alias("_all")).filter("_language AND _n = _all - 1")
     both = single.unionByName(checked.select("key", "rank")).join(sets, "key")
     return top_n_per_group(both, ["key"], [F.desc("rank")], F.col("need")).select("key", "rank")
 

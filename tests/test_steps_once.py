@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_of
+from skilltide.operators import search as s
 from skilltide.plans import ranking, searching
 from skilltide.plans.candidates import CandidateRules, enrich_users, extract_candidates
 from skilltide.sources.pages import parsed_pages
@@ -72,3 +73,18 @@ def test_with_verified_stores_them(table):
              "developers": table("user_id long", (1,), (2,))}
     rows = ranking.with_verified(given)[ranking.VERIFIED]
     assert rows_of(rows) == [(1, "c", "x")] and "Join" not in plan(rows)
+
+
+def test_several_names_meet_only_their_own_postings(table, tables):
+    queries = table("query_id string, text string, page int", ("both", "red-bolt blue", 1), ("all", "blue red-bolt c", 1),
+                    ("java", "java red-bolt", 1), ("one", "blue", 1))
+    ranks = ranking.rank_users(tables)
+    index = searching.search_index(tables, ranks)
+    found = searching.search(queries, ranks, index, tables)
+    assert rows_of(found.select("query_id", "user_id")) == [
+        ("all", 4), ("both", 2), ("both", 4), ("java", 2), ("java", 4), ("one", 2), ("one", 3), ("one", 4)]
+    names = F.array(*[F.struct(F.lit("technology").alias("token_type"), F.lit(x).alias("lexeme"))
+                      for x in ("red-bolt", "blue")])
+    sets = table("key string, need int", ("k", 20)).withColumn("names", names)
+    best = s.best_by_names(sets, index)
+    assert best.count() == 2 and "count(distinct" not in plan(best)
