@@ -301,7 +301,7 @@ WHERE l_tax > 0.05 OR repo_id IN (SELECT repo_id FROM packages WHERE NOT is_mani
 UNION ALL SELECT repo_id, repo_name, 'JavaScript', 'lines_of_code', coalesce(n, '0')
 FROM good LEFT JOIN scripts USING (repo_id)""")
 def assemble_messages(d: Data) -> DataFrame:
-    files = d.package_files
+    files = settle(d.package_files, "package-files")  # they are read twice
     repositories = files.select("repo_id").distinct().withColumn(
         "languages", F.array(F.lit("JavaScript")))
     findings = d.values([], "repo_id string, language string, rule string")

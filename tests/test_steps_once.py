@@ -1,8 +1,9 @@
 """Costly steps are made once, whatever reads them."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from checks import files as checked
 from conftest import rows_of
 from skilltide.operators import search as s
 from skilltide.plans import ranking, searching
@@ -88,3 +89,19 @@ def test_several_names_meet_only_their_own_postings(table, tables):
     sets = table("key string, need int", ("k", 20)).withColumn("names", names)
     best = s.best_by_names(sets, index)
     assert best.count() == 2 and "count(distinct" not in plan(best)
+
+
+def test_package_files_are_made_once(table, monkeypatch):
+    class Given:
+        @property
+        def package_files(self):
+            rows = table("repo_id string, n int", ("a", 1), ("a", 2))
+            return rows.withColumn("copy", F.row_number().over(Window.partitionBy("repo_id").orderBy("n")))
+
+        def values(self, rows, schema):
+            return table(schema, *rows)
+
+    monkeypatch.setattr(checked, "analyse", lambda files, repositories, findings: (files, repositories))
+    files, repositories = checked.assemble_messages(Given())
+    assert files.count() == 2 and repositories.count() == 1
+    assert "Window" not in plan(files) and "Window" not in plan(repositories)
