@@ -4,10 +4,11 @@
 2. ``bands`` x ``rows`` minima per set. The number of bands is the smallest at which a pair of the
    threshold's similarity shares a band with at least the target recall.
 3. Shuffle on band hashes. Buckets with equal members are merged, single ones dropped.
-4. Pairs are verified on the full shingle sets, bucket by bucket. A bucket of more than BLOCK members
-   is cut into blocks, one task entry for each pair of blocks; what leaves it is one row per member
-   (its number of links, and the smallest member it hangs on), never the pairs. A pair that meets in
-   several buckets counts in the smallest of them.
+4. Pairs are verified on the full shingle sets. The buckets with the same smallest member, which a group of
+   near copies mostly has in common, are one group, so that a set is sent once for all of them. A group of more
+   than BLOCK members is cut into blocks, one task entry for each pair of blocks; what leaves it is one row
+   per member (its number of links, and the smallest member it hangs on), never the pairs. A pair that
+   meets in several buckets counts in the smallest of them.
 5. Components of the verified links.
 """
 
@@ -30,7 +31,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 ROWS = 5
 RECALL = 0.99999
-BLOCK = 4096  # members of a bucket compared with as many others in one task
+BLOCK = 4096  # members of a group compared with as many others in one task
 BLOCK_SHINGLES = 1 << 19  # that those hold, about
 CHUNK = 1 << 17  # shingles hashed at a time
 WORD_BREAKS = "[^\\p{L}\\p{N}]+"
@@ -139,10 +140,11 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -
 
 def _verifier(threshold: float):
     def judge(rows: list) -> Iterator[tuple]:
-        """rows: (member, weight, block, hashes of the set, buckets) of one pair of blocks."""
+        """rows: (member, weight, block, hashes of the set, buckets, parts, buckets of the group) of one
+        pair of blocks."""
         # rows that share id and text both come with the set of their class
         rows = list({r[0]: r for r in rows}.values())
-        part_a, part_b, bucket = rows[0][5], rows[0][6], rows[0][7]
+        part_a, part_b = rows[0][5], rows[0][6]
         left = [r for r in rows if r[2] == part_a]
         right = left if part_a == part_b else [r for r in rows if r[2] == part_b]
         if not left or not right:
@@ -162,8 +164,8 @@ def _verifier(threshold: float):
         for i, j in zip(*np.nonzero(linked)):
             one, two = left[i], right[j]
             common = one[4] & two[4]
-            if min(common) != bucket:
-                continue  # the pair counts in another bucket
+            if not common or min(common) not in one[7]:
+                continue  # the pair meets nowhere, or counts in another group
             links[one[0]] += two[1]
             links[two[0]] += one[1]
             a, b = find(one[0]), find(two[0])
@@ -178,15 +180,15 @@ def _verifier(threshold: float):
         out: list = []
         names = ["member", "links", "root"]
         for pdf in batches:
-            for member, weight, block, part_a, part_b, bucket, hashes, buckets in zip(
+            for member, weight, block, part_a, part_b, head, here, hashes, buckets in zip(
                     pdf["member"], pdf["weight"], pdf["block"], pdf["part_a"], pdf["part_b"],
-                    pdf["bucket"], pdf["shingles"], pdf["buckets"]):
-                now = (bucket, part_a, part_b)
+                    pdf["head"], pdf["here"], pdf["shingles"], pdf["buckets"]):
+                now = (head, part_a, part_b)
                 if now != key:
                     out.extend(judge(held) if held else ())
                     held, key = [], now
                 held.append((member, weight, block, np.asarray(hashes), frozenset(buckets),
-                             part_a, part_b, bucket))
+                             part_a, part_b, frozenset(here)))
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=names)
                 out = []
@@ -230,13 +232,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     exploded = reps.select("member", "n", F.explode("bands").alias("bucket"))
     buckets = exploded.groupBy("bucket").agg(
-        F.count("*").alias("m"), F.sum("n").alias("held"), F.sum(F.shiftright(F.xxhash64("member"), 20)).alias("s1"),
+        F.count("*").alias("m"), F.min("member").alias("head"), F.sum(F.shiftright(F.xxhash64("member"), 20)).alias("s1"),
         F.sum(F.shiftright(F.xxhash64("member", F.lit(1)), 20)).alias("s2"),
     ).where("m > 1").groupBy("m", "s1", "s2").agg(
-        F.min("bucket").alias("bucket"), F.max("held").alias("held")).select("bucket", "m", "held")
+        F.min("bucket").alias("bucket"), F.min("head").alias("head")).select("bucket", "m", "head")
     buckets = settle(buckets, "buckets").where("m > 1")
     with filtered_joins(spark):
-        members = settle(exploded.drop("n").join(buckets, "bucket"), "bucket-members")
+        members = settle(exploded.join(buckets, "bucket").drop("m"), "bucket-members")
     own = members.groupBy("member").agg(F.collect_set("bucket").alias("buckets"))
 
     # full sets of the members, from their texts
@@ -259,14 +261,16 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = texts.mapInPandas(
         to_sets, "member long, weight long, buckets array<long>, shingles array<long>")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
-    placed = members.select("member", "bucket", blocks.alias("blocks")).withColumn(
+    grouped = members.groupBy("head", "member").agg(F.collect_set("bucket").alias("here"), F.max("n").alias("n"))
+    sizes = grouped.groupBy("head").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
+    placed = grouped.join(sizes, "head").select("member", "head", "here", blocks.alias("blocks")).withColumn(
         "block", F.pmod(F.xxhash64("member", F.lit(2)), F.col("blocks")).cast("int"))
-    spread = placed.select("member", "bucket", "block", F.explode(
+    spread = placed.select("member", "head", "here", "block", F.explode(
         F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "member", "bucket", "block", F.least("block", "other").alias("part_a"),
+        "member", "head", "here", "block", F.least("block", "other").alias("part_a"),
         F.greatest("block", "other").alias("part_b"))
-    tasks = spread.join(sets, "member").repartition("bucket", "part_a", "part_b").sortWithinPartitions(
-        "bucket", "part_a", "part_b")
+    tasks = spread.join(sets, "member").repartition("head", "part_a", "part_b").sortWithinPartitions(
+        "head", "part_a", "part_b")
     with filtered_joins(spark):
         found = settle(tasks.mapInPandas(_verifier(threshold), "member long, links long, root long"),
                        "verified")

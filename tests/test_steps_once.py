@@ -1,5 +1,6 @@
 """Costly steps are made once, whatever reads them."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -105,3 +106,13 @@ def test_package_files_are_made_once(table, monkeypatch):
     files, repositories = checked.assemble_messages(Given())
     assert files.count() == 2 and repositories.count() == 1
     assert "Window" not in plan(files) and "Window" not in plan(repositories)
+
+
+def test_buckets_of_one_smallest_member_are_verified_together():
+    """1 meets 2 in bucket 10 and 3 in bucket 11; 2 and 3 are alike but meet in no bucket of theirs."""
+    from skilltide.llm.jaccard import _verifier
+    one = [list(range(10))] * 3
+    rows = pd.DataFrame({"member": [1, 2, 3], "weight": [1, 1, 1], "block": 0, "part_a": 0, "part_b": 0, "head": 1,
+                         "here": [[10, 11], [10], [11]], "shingles": one, "buckets": [[10, 11], [10], [11]]})
+    out = pd.concat(_verifier(0.8)(iter([rows])))
+    assert sorted(map(tuple, out.to_numpy().tolist())) == [(1, 2, 1), (2, 1, 1), (3, 1, 1)]
