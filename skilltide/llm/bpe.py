@@ -9,8 +9,7 @@ import hashlib
 import heapq
 import json
 from array import array
-from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import regex
 from pyspark import SparkFiles
@@ -21,6 +20,7 @@ from skilltide.storage import new_path
 
 from .files import write
 from .frequent import most_frequent
+from .kept import kept
 from .lexicon import Lexicon, build
 from .rows import mapped
 from .ship import ship
@@ -112,15 +112,16 @@ class Vocabulary:
 
 
 class _Words(dict):
-    """Words seen by a worker; a missing one is looked up in the lexicon, else merged."""
+    """Words seen by a worker, with their ids as 32-bit numbers; a missing one is looked up in the
+    lexicon, else merged."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         raw = word.encode("utf-8", "replace")
         found = self.lexicon.get(raw) if self.lexicon else None
-        ids = tuple(self.vocabulary.merge(raw) if found is None else found)
+        ids = array("I", self.vocabulary.merge(raw) if found is None else found).tobytes()
         if len(raw) <= LONG_WORD:
             if len(self) >= CACHE_WORDS:  # those that came first go; frequent ones soon come back
                 for old in list(islice(self, CACHE_WORDS // 4)):
@@ -146,7 +147,7 @@ class Coder:
 
     def _plain(self, text: str, out: array) -> None:
         words = self.words
-        out.extend(chain.from_iterable([words[w] for w in SPLIT.findall(text)]))
+        out.frombytes(b"".join([words[w] for w in SPLIT.findall(text)]))
 
     def decode(self, ids) -> str:
         """The text of a list of ids; bytes that are no UTF-8 become replacement characters."""
@@ -173,9 +174,9 @@ def send_lexicon(spark: SparkSession, words: list[str], vocabulary: Vocabulary)
     return address.rpartition("/")[2]
 
 
-@lru_cache(maxsize=2)
 def _worker_coder(name: str, content: str) -> Coder:
-    return Coder(Vocabulary(content), Lexicon(SparkFiles.get(name)))
+    """The coder of a lexicon, with the words it has seen; a worker holds one."""
+    return kept(("coder", name), lambda: Coder(Vocabulary(content), Lexicon(SparkFiles.get(name))))
 
 
 def encoded(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",

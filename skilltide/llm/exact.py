@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from skilltide.storage import settle
 
+from .kept import forget
 from .rows import filtered_joins, packed, same, text_key
 from .ship import ship
 
@@ -66,6 +67,7 @@ def suspects(prints: DataFrame, rows: int) -> DataFrame:
         return max(0, int(math.log2(span / n * math.log(2)))) if span > n else 0
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         values = np.sort(pdf["print"].to_numpy())
         own = values // span
         starts = np.flatnonzero(np.diff(own, prepend=-1))

@@ -24,6 +24,7 @@ from skilltide.storage import settle
 
 from .components import components
 from .exact import one_of_each
+from .kept import forget
 from .rows import filtered_joins, text_key
 from .ship import ship
 
@@ -97,6 +98,7 @@ def _signer(size: int, bands: int, rows: int):
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
+        forget()
         for pdf in batches:
             sets = _sets(pdf["hashes"], size)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -161,15 +163,16 @@ def _verifier(threshold: float):
                 x = root[x]
             return x
 
-        for i, j in zip(*np.nonzero(linked)):
-            one, two = left[i], right[j]
-            common = one[4] & two[4]
-            if not common or min(common) not in one[7]:
-                continue  # the pair meets nowhere, or counts in another group
-            links[one[0]] += two[1]
-            links[two[0]] += one[1]
-            a, b = find(one[0]), find(two[0])
-            root[max(a, b)] = min(a, b)
+        for one, row in zip(left, linked):  # the pairs of a whole block would be many times its members
+            for j in np.flatnonzero(row):
+                two = right[j]
+                common = one[4] & two[4]
+                if not common or min(common) not in one[7]:
+                    continue  # the pair meets nowhere, or counts in another group
+                links[one[0]] += two[1]
+                links[two[0]] += one[1]
+                a, b = find(one[0]), find(two[0])
+                root[max(a, b)] = min(a, b)
         for member, n in links.items():
             if n:
                 yield member, n, find(member)

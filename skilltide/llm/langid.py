@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kept import forget
 from .ship import ship
 
 BUCKETS = 1 << 14
@@ -166,6 +167,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return empty
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         found = np.zeros(BUCKETS, np.int64)
         for pdf in batches:
             for text in pdf["_text"]:
@@ -220,6 +222,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        forget()
         own = shared.value
         return pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score"])
 
