@@ -11,25 +11,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each links every neighbour of a node to the smallest
     one, so a hub with a third of all nodes is a partial minimum and never a list. Every round is
-    written, and the number of rounds grows with the logarithm of the longest path.
+    written, and the number of rounds grows with the logarithm of the longest path. It ends when every
+    node with a smaller neighbour has no other, that is when all are stars.
     """
     links = settle(edges.where("u <> v").select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    seen = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            "u", F.least("u", "m").alias("m"))
+        low = settle(both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select(
+            "u", F.least("u", "low").alias("m"), "n"), "lowest")
+        if not low.where("m < u AND n > 1").count():
+            return low.select(F.col("u").alias("node"), F.col("m").alias("root"))
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v")
-        large = large.distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         # small star: every smaller neighbour of v, and v itself, hang on the smallest
         small = large.join(least, "v").select("u", "v", "m")
         links = settle(small.select(F.col("m").alias("u"), "v").unionByName(
             small.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct(),
             "links")
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return links.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(
-                links.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-        seen = state

@@ -3,12 +3,12 @@
 1. Texts with equal sets of word shingles form a class; one representative of each goes on.
 2. ``bands`` x ``rows`` minima per set. The number of bands is the smallest at which a pair of the
    threshold's similarity shares a band with at least the target recall.
-3. Shuffle on band hashes. Buckets with equal members are merged, single ones dropped.
-4. Pairs are verified on the full shingle sets. The buckets with the same smallest member, which a group of
-   near copies mostly has in common, are one group, so that a set is sent once for all of them. A group of more
-   than BLOCK members is cut into blocks, one task entry for each pair of blocks; what leaves it is one row
-   per member (its number of links, and the smallest member it hangs on), never the pairs. A pair that
-   meets in several buckets counts in the smallest of them.
+3. Shuffle on band hashes. Single buckets are dropped; those with the same smallest member, which a group of
+   near copies mostly has in common, are merged into one bucket that this member names.
+4. Pairs are verified on the full shingle sets, which are sent once for each bucket. A bucket of more than BLOCK
+   members is cut into blocks, one task entry for each pair of blocks; what leaves it is one row per
+   member (its number of links, and the smallest member it hangs on), never the pairs. A pair that meets
+   in several buckets counts in the smallest of them.
 5. Components of the verified links.
 """
 
@@ -127,8 +127,17 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     out = np.zeros((len(left), len(right)), bool)
+    own = left is right
+    if own:  # equal hashes stand by owner, so behind an entry are those of later sets only
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        place = np.split(place, np.cumsum(sizes_r)[:-1])
+        ends = np.searchsorted(flat, flat, "right")
     for i, s in enumerate(left):
-        lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+        if own:
+            lo, hi = place[i] + 1, ends[place[i]]
+        else:
+            lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
         lengths = hi - lo
         total = int(lengths.sum())
         if total:
@@ -137,45 +146,53 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -
             # integer form of common / union >= threshold, exact for thresholds like 0.8
             union = sizes_l[i] + sizes_r - common
             out[i] = common * 1_000_000 >= union * round(threshold * 1_000_000)
+    if own:
+        out |= out.T
+        np.fill_diagonal(out, sizes_l > 0)
     return out
 
 
 def _verifier(threshold: float):
     def judge(rows: list) -> Iterator[tuple]:
-        """rows: (member, weight, block, hashes of the set, buckets, parts, buckets of the group) of one
-        pair of blocks."""
+        """rows: (member, weight, block, hashes of the set, buckets, parts, bucket) of one pair of blocks."""
         # rows that share id and text both come with the set of their class
         rows = list({r[0]: r for r in rows}.values())
-        part_a, part_b = rows[0][5], rows[0][6]
+        part_a, part_b, bucket = rows[0][5:]
         left = [r for r in rows if r[2] == part_a]
         right = left if part_a == part_b else [r for r in rows if r[2] == part_b]
         if not left or not right:
             return
-        linked = _linked([r[3] for r in left], [r[3] for r in right], threshold)
-        if left is right:
-            linked = np.triu(linked, 1)
-        links = dict.fromkeys((r[0] for r in rows), 0)
-        root = {r[0]: r[0] for r in rows}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for one, row in zip(left, linked):  # the pairs of a whole block would be many times its members
-            for j in np.flatnonzero(row):
-                two = right[j]
-                common = one[4] & two[4]
-                if not common or min(common) not in one[7]:
-                    continue  # the pair meets nowhere, or counts in another group
-                links[one[0]] += two[1]
-                links[two[0]] += one[1]
-                a, b = find(one[0]), find(two[0])
-                root[max(a, b)] = min(a, b)
-        for member, n in links.items():
-            if n:
-                yield member, n, find(member)
+        sets = [r[3] for r in left]
+        linked = _linked(sets, sets if left is right else [r[3] for r in right], threshold)
+        first = 0 if left is right else len(left)  # where the right ones stand among all
+        rows = left if left is right else left + right
+        members = np.array([r[0] for r in rows], np.int64)
+        weights = np.array([r[1] for r in rows], np.int64)
+        links, root = np.zeros_like(members), members.copy()
+        elsewhere: dict[int, list[int]] = {}  # right ones by the smaller buckets that they are in as well
+        for j, r in enumerate(right):
+            for b in r[4]:
+                if b < bucket:
+                    elsewhere.setdefault(b, []).append(j)
+        elsewhere = {b: np.array(x) for b, x in elsewhere.items()}
+        for i, (one, row) in enumerate(zip(left, linked)):  # the pairs of a whole block would be many times its members
+            if left is right:
+                row[:i + 1] = False
+            two = first + np.flatnonzero(row)
+            if not len(two):
+                continue
+            joined = np.unique(np.append(root[two], root[i]))
+            for x in joined[1:]:
+                root[root == x] = joined[0]
+            for b in one[4]:
+                if b in elsewhere:
+                    row[elsewhere[b]] = False  # the pair counts there
+            two = first + np.flatnonzero(row)
+            links[i] += weights[two].sum()
+            links[two] += weights[i]
+        for member, n, x in zip(members.tolist(), links.tolist(), root.tolist()):
+            if n or x != member:
+                yield member, n, x
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
@@ -183,15 +200,14 @@ def _verifier(threshold: float):
         out: list = []
         names = ["member", "links", "root"]
         for pdf in batches:
-            for member, weight, block, part_a, part_b, head, here, hashes, buckets in zip(
+            for member, weight, block, part_a, part_b, head, hashes, buckets in zip(
                     pdf["member"], pdf["weight"], pdf["block"], pdf["part_a"], pdf["part_b"],
-                    pdf["head"], pdf["here"], pdf["shingles"], pdf["buckets"]):
+                    pdf["head"], pdf["shingles"], pdf["buckets"]):
                 now = (head, part_a, part_b)
                 if now != key:
                     out.extend(judge(held) if held else ())
                     held, key = [], now
-                held.append((member, weight, block, np.asarray(hashes), frozenset(buckets),
-                             part_a, part_b, frozenset(here)))
+                held.append((member, weight, block, np.asarray(hashes), buckets, part_a, part_b, head))
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=names)
                 out = []
@@ -233,21 +249,20 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "digest", "weight", F.col("r.row").alias("member"), "r.doc_id", "r.text_key", "r.n", "r.bands"),
         "representatives")
 
-    exploded = reps.select("member", "n", F.explode("bands").alias("bucket"))
-    buckets = exploded.groupBy("bucket").agg(
-        F.count("*").alias("m"), F.min("member").alias("head"), F.sum(F.shiftright(F.xxhash64("member"), 20)).alias("s1"),
-        F.sum(F.shiftright(F.xxhash64("member", F.lit(1)), 20)).alias("s2"),
-    ).where("m > 1").groupBy("m", "s1", "s2").agg(
-        F.min("bucket").alias("bucket"), F.min("head").alias("head")).select("bucket", "m", "head")
-    buckets = settle(buckets, "buckets").where("m > 1")
+    exploded = reps.select("member", F.explode("bands").alias("band"))
+    buckets = settle(exploded.groupBy("band").agg(
+        F.count("*").alias("m"), F.min("member").alias("bucket")).where("m > 1"), "buckets").where("m > 1")
     with filtered_joins(spark):
-        members = settle(exploded.join(buckets, "bucket").drop("m"), "bucket-members")
-    own = members.groupBy("member").agg(F.collect_set("bucket").alias("buckets"))
+        own = exploded.join(buckets, "band").groupBy("member").agg(F.collect_set("bucket").alias("buckets"))
+        wanted = settle(reps.join(own, "member").select(
+            "member", "weight", "n", "buckets", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")),
+            "members")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
+    # few: at most bands times all shingles / BLOCK_SHINGLES, and as many times all members / BLOCK
+    cut = wanted.select("n", F.explode("buckets").alias("head")).groupBy("head").agg(
+        F.count("*").alias("m"), F.sum("n").alias("held")).select("head", blocks.alias("blocks")).where("blocks > 1")
 
     # full sets of the members, from their texts
-    wanted = settle(reps.join(own, "member").select(
-        "member", "weight", "buckets", F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")),
-        "members")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"),
                         text_key(F.col(text_col)).alias("text_key"))
     wanted = wanted.where("weight > 0")
@@ -263,17 +278,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sets = texts.mapInPandas(
         to_sets, "member long, weight long, buckets array<long>, shingles array<long>")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int")
-    grouped = members.groupBy("head", "member").agg(F.collect_set("bucket").alias("here"), F.max("n").alias("n"))
-    sizes = grouped.groupBy("head").agg(F.count("*").alias("m"), F.sum("n").alias("held"))
-    placed = grouped.join(sizes, "head").select("member", "head", "here", blocks.alias("blocks")).withColumn(
+    placed = sets.withColumn("head", F.explode("buckets")).join(F.broadcast(cut), "head", "left").withColumn(
+        "blocks", F.coalesce("blocks", F.lit(1))).withColumn(
         "block", F.pmod(F.xxhash64("member", F.lit(2)), F.col("blocks")).cast("int"))
-    spread = placed.select("member", "head", "here", "block", F.explode(
-        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "member", "head", "here", "block", F.least("block", "other").alias("part_a"),
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "member", "weight", "buckets", "shingles", "head", "block", F.least("block", "other").alias("part_a"),
         F.greatest("block", "other").alias("part_b"))
-    tasks = spread.join(sets, "member").repartition("head", "part_a", "part_b").sortWithinPartitions(
-        "head", "part_a", "part_b")
+    tasks = spread.repartition("head", "part_a", "part_b").sortWithinPartitions("head", "part_a", "part_b")
     with filtered_joins(spark):
         found = settle(tasks.mapInPandas(_verifier(threshold), "member long, links long, root long"),
                        "verified")

@@ -12,6 +12,7 @@ import corpus_pipeline
 from skilltide.llm import (bpe, components, decontaminate, exact, frequent, jaccard, langid, licenses, pii,
                            toxicity, urls, warc)
 from skilltide.llm.queries import QUERIES
+from skilltide.storage import settle
 
 SMALL = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,6 +108,16 @@ def test_components(spark):
     assert got == {x: root[x] for x in linked}
 
 
+@pytest.mark.parametrize("edges,rounds", [([(0, i) for i in range(1, 9)] + [(20, 21)], 0), ([(0, 1), (1, 2)], 1)])
+def test_components_end_when_all_are_stars(spark, monkeypatch, edges, rounds):
+    written = []
+    monkeypatch.setattr(components, "settle", lambda df, name, **more: written.append(name) or settle(df, name, **more))
+    got = {x["node"]: x["root"] for x in components.components(
+        spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: 20 if x >= 20 else 0 for e in edges for x in e}
+    assert written.count("links") == 1 + rounds
+
+
 def test_contamination(docs):
     rows = by_text(DOC_OPS["decontaminate"](docs), docs)
     assert (rows[8]["n_hit"], rows[8]["n_items"]) == (14, 1)
