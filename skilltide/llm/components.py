@@ -15,12 +15,12 @@ def components(edges: DataFrame) -> DataFrame:
     node with a smaller neighbour has no other, that is when all are stars.
     """
     links = settle(edges.where("u <> v").select(
-        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "links")
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select(
-            "u", F.least("u", "low").alias("m"), "n"), "lowest")
-        if not low.where("m < u AND n > 1").count():
+        low = settle(both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).select(
+            "u", F.least("u", "low").alias("m"), "high"), "lowest")
+        if not low.where("m < u AND m < high").count():
             return low.select(F.col("u").alias("node"), F.col("m").alias("root"))
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v")
         least = large.groupBy("v").agg(F.min("u").alias("m"))

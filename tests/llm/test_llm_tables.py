@@ -108,7 +108,8 @@ def test_components(spark):
     assert got == {x: root[x] for x in linked}
 
 
-@pytest.mark.parametrize("edges,rounds", [([(0, i) for i in range(1, 9)] + [(20, 21)], 0), ([(0, 1), (1, 2)], 1)])
+@pytest.mark.parametrize("edges,rounds", [
+    ([(0, i) for i in range(1, 9)] + [(20, 21), (21, 20), (3, 0), (0, 3)], 0), ([(0, 1), (1, 2), (2, 1)], 1)])
 def test_components_end_when_all_are_stars(spark, monkeypatch, edges, rounds):
     written = []
     monkeypatch.setattr(components, "settle", lambda df, name, **more: written.append(name) or settle(df, name, **more))
