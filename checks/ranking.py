@@ -6,7 +6,7 @@ from skilltide.operators import rank as r
 from skilltide.operators import ranked
 from skilltide.plans import ranking
 from skilltide.plans.standings import Standings
-from skilltide.storage import new_path, settle
+from skilltide.storage import new_path, settle, small_broadcasts
 
 from .adapters import Data
 from .registry import query
@@ -241,10 +241,12 @@ def global_row_numbers(d: Data) -> DataFrame:
 def standings_after_batches(d: Data) -> Standings:
     """The ranking of a third of the repositories, then the others in two batches."""
     part = F.pmod(F.xxhash64("raw_id"), F.lit(3))
-    whole = {name: d.tables[name] for name in (
-        "users", "developers", "technologies_users", "technologies_users_settings")}
-    whole[ranking.VERIFIED] = ranking.with_verified(d.tables)[ranking.VERIFIED]  # no batch changes it
-    whole |= {name: settle(d.tables[name].withColumn("_part", part), name) for name in ("repositories", "grades")}
+    with small_broadcasts(d.spark):
+        whole = {name: d.tables[name] for name in (
+            "users", "developers", "technologies_users", "technologies_users_settings")}
+        whole[ranking.VERIFIED] = ranking.with_verified(d.tables)[ranking.VERIFIED]  # no batch changes it
+        whole |= {name: settle(d.tables[name].withColumn("_part", part), name)
+                  for name in ("repositories", "grades")}
 
     def upto(n: int):
         return whole | {name: whole[name].filter(F.col("_part") <= n).drop("_part")

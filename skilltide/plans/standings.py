@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..storage import SmallFiles, settle
+from ..storage import SmallFiles, settle, small_broadcasts
 from .ranking import Tables, figures
 
 RANGE_ROWS = 1_000_000
@@ -49,7 +49,8 @@ class Standings:
 
     def build(self, rows: DataFrame) -> None:
         """Store the ranking of these ``figures``, whatever was stored."""
-        self._replace(self._laid(settle(rows.select(_COLUMNS), "figures")))
+        with small_broadcasts(self.spark):
+            self._replace(self._laid(settle(rows.select(_COLUMNS), "figures")))
 
     def _laid(self, rows: DataFrame) -> list[dict]:
         """Write sorted rows in new ranges; the entries of these."""
@@ -129,11 +130,16 @@ class Standings:
         Their figures are worked out from the tables before and after the batch, so that they equal
         those of a ranking from scratch to the last bit.
         """
-        ids = settle(users.select("user_id").distinct(), "moved-users")
-        self.update(figures(before, ids), figures(after, ids))
+        with small_broadcasts(self.spark):
+            ids = settle(users.select("user_id").distinct(), "moved-users")
+            self.update(figures(before, ids), figures(after, ids))
 
     def update(self, old: DataFrame, new: DataFrame) -> None:
         """Replace rows of ``figures`` by new ones; users may come or go."""
+        with small_broadcasts(self.spark):
+            self._update(old, new)
+
+    def _update(self, old: DataFrame, new: DataFrame) -> None:
         state = self.ranges
         old, new = (settle(x.select(_COLUMNS), "moved") for x in (old, new))
         gone, come = old.subtract(new), new.subtract(old)

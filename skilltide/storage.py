@@ -1,11 +1,16 @@
 """Where intermediate tables go: the shared folder the cluster names."""
 
 import json
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+BROADCAST_BYTES = 1 << 19
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Only a local session may do without that setting."""
@@ -39,6 +44,35 @@ def settle(df: DataFrame, name: str, path: str | None = None, by: str | None = N
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+@contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Run queries that broadcast nothing estimated at more than ``BROADCAST_BYTES``; a lower setting stays.
+
+    The estimate is that of compressed files. What the driver holds of a broadcast table is many times as large,
+    a chain of joins has several of them at a time, and those of a chain before go only when the driver
+    collects its garbage.
+    """
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {name: spark.conf.get(name, None) for name in names}
+    usual = spark.conf.get(names[0])  # what holds where nothing was set
+    try:
+        for name in names:
+            spark.conf.set(name, str(min(_bytes(before[name] or usual), BROADCAST_BYTES)))
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark writes it, such as ``10m``, in bytes."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 class SmallFiles:
     """Small JSON files below a folder of any file system Spark knows; each appears whole or not at all."""
 
