@@ -16,7 +16,7 @@ from ..plans.persisting import ROWS, Batch
 from ..schemas import TABLES
 from ..sources.bucketed import Bucketed
 from ..sources.pages import parsed_pages
-from ..storage import settle
+from ..storage import settle, small_broadcasts
 from .changes import append_changes, merge_committed
 from .commits import Commits, id_bits
 
@@ -65,10 +65,11 @@ class DeveloperJob:
 
     def __call__(self, pages: DataFrame, batch_id: int) -> None:
         log = Commits(pages.sparkSession, self.root)
-        if not log.has(batch_id):  # else it was cut off between its commit and the stream's own
-            self.store(log, pages, batch_id)
-        if self.merge_every:
-            merge_committed(pages.sparkSession, self.root, self.merge_every)
+        with small_broadcasts(pages.sparkSession):
+            if not log.has(batch_id):  # else it was cut off between its commit and the stream's own
+                self.store(log, pages, batch_id)
+            if self.merge_every:
+                merge_committed(pages.sparkSession, self.root, self.merge_every)
 
     def store(self, log: Commits, pages: DataFrame, batch_id: int) -> None:
         now = log.time_of(batch_id, self.now())

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from skilltide.plans import standings as plan
+from skilltide.sources.pages import read_pages
 from skilltide.storage import BROADCAST_BYTES, settle, small_broadcasts
+from skilltide.streaming.jobs import DeveloperJob, run_stream
 
 STATIC, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
@@ -62,3 +64,16 @@ def test_standings_broadcast_little(spark, table, tmp_path, monkeypatch):
     standings.build(one)
     standings.update(one, one.withColumn("avg_grade", F.col("avg_grade") + 0.125))
     assert len(seen) > 3 and seen == [[str(BROADCAST_BYTES)] * 2] * len(seen)
+
+
+def test_a_streamed_batch_broadcasts_little(spark, tmp_path):
+    seen = []
+
+    class Recording(DeveloperJob):
+        def store(self, log, pages, batch_id):
+            seen.append(limits(pages.sparkSession))
+
+    job = Recording(str(tmp_path / "stored"), None, None, None, None, None, None, merge_every=None)
+    spark.range(1).selectExpr("'{}' AS value").write.text(str(tmp_path / "pages"))
+    run_stream(read_pages(spark, str(tmp_path / "pages")), job, str(tmp_path / "c"), None).awaitTermination()
+    assert seen == [[str(BROADCAST_BYTES)] * 2]
